@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from leadlattice.llm.chat_format import expand_prefixes, read_back
 from leadlattice.llm.common import table
+from leadlattice.llm.hamming_search import sign_codes, top_k
+from leadlattice.llm.minhash_dedup import near_duplicates
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +39,47 @@ FROM w GROUP BY conv_id
 """
 
 
+def op2_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = sign_codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_k(codes, codes.where(F.col("id") % 100 == 0), k=10)
+
+
+OP2_SQL = """
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x > 0 AS INTEGER)) AS bits FROM embeddings),
+d AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id,
+    CAST(list_sum(list_transform(list_zip(q.bits, c.bits), lambda p: abs(p[1] - p[2]))) AS INTEGER) AS distance
+  FROM c AS q, c WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d)
+SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
+"""
+
+
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, share=(80, 100))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS sh FROM t
+), u AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u AS a JOIN u AS b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r AS (SELECT doc_id AS id, doc_id AS near FROM s UNION SELECT r.id, p.b FROM r JOIN p ON r.near = p.a),
+m AS (SELECT id, min(near) AS component_id FROM r GROUP BY id)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM s JOIN m ON s.doc_id = m.id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat_format": op1_chat_format}
+    return {"op1_chat_format": op1_chat_format, "op2_hamming_topk": op2_hamming_topk, "op7_minhash_dedup": op7_minhash_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_hamming_topk": OP2_SQL, "op7_minhash_dedup": OP7_SQL}
