@@ -55,12 +55,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column, out: str, chunks: int = 2048) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column, out: str, ties: Sequence[str] = (), chunks: int = 2048) -> DataFrame:
     """Adds `out`, the exclusive running sum of a whole-number weight within each key, without gathering a key in one task.
 
     The order is (hash of the order columns, order columns), one of many fixed ones. Rows are chunked by the
     hash, chunk totals are summed per key, and only rows of one chunk are sorted together. A key may hold
-    any share of the rows. Rows equal in all order columns are interchangeable.
+    any share of the rows. Rows equal in all order columns are interchangeable: `ties` put them in some order.
     """
     d = df.withColumn("_w", weight.cast("long")).withColumn("_chunk", F.pmod(F.xxhash64(*order, F.lit(17)), F.lit(chunks)).cast("int"))
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,7 +68,13 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight
         d.groupBy(*keys, "_chunk").agg(F.sum("_w").alias("_total"))
         .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_k_chunk"), F.coalesce(F.sum("_total").over(by_chunk), F.lit(0)).alias("_base"))
     )
-    within = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys, "_chunk").orderBy(*order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     placed = d.withColumn(out, F.coalesce(F.sum("_w").over(within), F.lit(0)))
     cond = [placed[k].eqNullSafe(base[f"_k_{k}"]) for k in keys] + [placed["_chunk"] == base["_k_chunk"]]
     return placed.join(base, cond).withColumn(out, F.col(out) + F.col("_base")).drop("_w", "_chunk", "_base", "_k_chunk", *[f"_k_{k}" for k in keys])
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; a written table that Spark joins as it sees fit otherwise."""
+    df = materialize(df, "small")
+    return F.broadcast(df) if df.count() <= most else df

@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 
 from leadlattice.llm.chat_format import expand_prefixes, read_back
 from leadlattice.llm.common import table
+from leadlattice.llm.embedding_dedup import near_duplicate_vectors
 from leadlattice.llm.hamming_search import sign_codes, top_k
+from leadlattice.llm.html_extract import extract_main_text
+from leadlattice.llm.language_id import identify
 from leadlattice.llm.minhash_dedup import near_duplicates
+from leadlattice.llm.mixing import mix
+from leadlattice.llm.packing import pack
+from leadlattice.llm.sharding import shard
+from leadlattice.llm.toxicity import score_toxicity
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +62,32 @@ SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+OP5_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e AS a, e AS b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+r AS (SELECT vec_id AS id, vec_id AS near FROM e UNION SELECT r.id, p.b FROM r JOIN p ON r.near = p.a),
+m AS (SELECT id, min(near) AS component_id FROM r GROUP BY id)
+SELECT vec_id, (SELECT count(*) FROM p WHERE p.a = e.vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM e JOIN m ON vec_id = id
+"""
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, share=(80, 100))
 
@@ -77,9 +110,31 @@ FROM s JOIN m ON s.doc_id = m.id
 """
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), shards=16)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chat_format": op1_chat_format, "op2_hamming_topk": op2_hamming_topk, "op7_minhash_dedup": op7_minhash_dedup}
+    return {
+        "op1_chat_format": op1_chat_format, "op2_hamming_topk": op2_hamming_topk, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity,
+        "op5_embedding_dedup": op5_embedding_dedup, "op6_html_extract": op6_html_extract, "op7_minhash_dedup": op7_minhash_dedup, "op8_mixing": op8_mixing,
+        "op9_best_fit_packing": op9_best_fit_packing, "op10_sharding": op10_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_hamming_topk": OP2_SQL, "op7_minhash_dedup": OP7_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_hamming_topk": OP2_SQL, "op5_embedding_dedup": OP5_SQL, "op7_minhash_dedup": OP7_SQL}
