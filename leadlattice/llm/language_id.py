@@ -107,40 +107,58 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     return Model(langs, np.concatenate(centroids) if centroids else np.zeros((0, PLACES)), np.array(owner, int), idf, np.array(least))
 
 
+def nearest(text: str | None, lettered: bool, model: Model) -> tuple[str, float, bool]:
+    """(language, cosine to the nearest centroid, rejected) of one whole text."""
+    if not lettered or text is None or not model.langs:
+        return UNKNOWN, 0.0, True
+    near = model.centroids @ _weighted(counts(text), model.idf)
+    at = int(near.argmax())
+    score = float(min(1.0, max(0.0, near[at])))
+    return model.langs[model.owner[at]], score, bool(score < model.least[model.owner[at]])
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred, score (cosine to the nearest centroid, 0 to 1) and rejected to docs (doc_id, text).
+    """(doc_id, lang_pred, score, rejected) of each row of docs (doc_id, text); score is the cosine, 0 to 1.
 
     Only the text is looked at, as a whole. lang_pred is a learned language, or `und` with score 0 if the text is
     null, has no letter, or nothing was learned; rejected marks those, and texts whose cosine is below the least
     accepted one of the language. Equal cosines go to the language first in code point order. An empty table
     gives an empty one; repeated rows each get a row; further columns are left out.
     """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model
         for pdf in batches:
-            langs, scores, rejected = [], [], []
-            for text, lettered in zip(pdf["text"], pdf["lettered"], strict=True):
-                if not lettered or not m.langs:
-                    langs.append(UNKNOWN), scores.append(0.0), rejected.append(True)
-                    continue
-                near = m.centroids @ _weighted(counts(text), m.idf)
-                at = int(near.argmax())
-                lang, score = m.owner[at], float(min(1.0, max(0.0, near[at])))
-                langs.append(m.langs[lang]), scores.append(score), rejected.append(bool(score < m.least[lang]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": langs, "score": scores, "rejected": rejected})
+            got = [nearest(t, l, model) for t, l in zip(pdf["text"], pdf["lettered"], strict=True)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "rejected": [g[2] for g in got]})
 
     lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text", lettered.alias("lettered")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
+def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns, whose text the model does not reject."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(at)]
+            yield batch.filter(pa.array([not nearest(t, t is not None and any(map(str.isalpha, t)), model)[2] for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(doc_id: str = "doc_id", of: int = 5):  # noqa: ANN201
     """crc32 of the id as text, modulo `of`."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % of
 
 
+def fit_on_folds(docs: DataFrame, training_remainders: tuple[int, ...] = (1, 2, 3, 4)) -> Model:
+    return fit(docs.where(fold().isin(*training_remainders)).select("doc_id", "text", "lang"))
+
+
 def identify(docs: DataFrame, training_remainders: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
     """Fits on the training folds of docs (doc_id, text, lang) and predicts every row: doc_id, held_out, lang_pred, score, rejected."""
-    model = fit(docs.where(fold().isin(*training_remainders)).select("doc_id", "text", "lang"))
+    model = fit_on_folds(docs, training_remainders)
     out = predict(docs.select("doc_id", "text"), model)
     return out.select("doc_id", F.coalesce(~fold().isin(*training_remainders), F.lit(True)).alias("held_out"), "lang_pred", "score", "rejected")

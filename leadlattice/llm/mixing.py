@@ -86,9 +86,9 @@ def place(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def takes(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
-    """(row, doc_id, source, size, mark, source_size, target, block, words, times): a row for each block that a document reaches into.
+    """(row, doc_id, source, size, mark, source_size, target, block, at, words, times): a row for each block that a document reaches into.
 
-    `words` of the document lie in `block`, and the mix takes the block `times` times. A document without words
+    `words` of the document, from its word `at` on, lie in `block`, and the mix takes the block `times` times. A document without words
     has one row with a null block.
     """
     placed, sources = place(docs)
@@ -97,13 +97,13 @@ def takes(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> Dat
     reach = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")))
     pieces = placed.select("*", F.explode_outer(reach).alias("block"))
     words = F.least(end, (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    pieces = pieces.withColumn("words", F.coalesce(words, F.lit(0)))
+    pieces = pieces.withColumn("words", F.coalesce(words, F.lit(0))).withColumn("at", F.greatest(F.col("start"), F.col("block") * block_words) - F.col("start"))
     # Joined on the block first: a source with most of the rows spreads over its blocks.
     used = used.withColumnRenamed("source", "u_source").withColumnRenamed("block", "u_block")
     got = pieces.join(used, (pieces["block"] == F.col("u_block")) & pieces["source"].eqNullSafe(F.col("u_source")), "left").withColumn("times", F.coalesce("times", F.lit(0)))
     about = F.broadcast(sources) if sources.count() <= 100_000 else sources
     about = about.select(F.col("source").alias("s_source"), "source_size", "target")
-    return got.join(about, got["source"].eqNullSafe(F.col("s_source"))).select("row", "doc_id", "source", "size", "mark", "source_size", "target", "block", "words", "times")
+    return got.join(about, got["source"].eqNullSafe(F.col("s_source"))).select("row", "doc_id", "source", "size", "mark", "source_size", "target", "block", "at", "words", "times")
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
@@ -118,3 +118,26 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataF
     t = takes(docs, block_words, seed)
     out = t.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
+    """The mix as rows of docs: a row for each time that a document, or the part of it in taken blocks, is taken.
+
+    A row holds the document's text if all of its blocks are taken that often, else its words in the taken blocks
+    joined by spaces; n_chars, where there is such a column, counts the new text. Documents that the mix doesn't
+    take have no row. Rows equal in doc_id, source and text share their other columns.
+    """
+    part = F.struct("at", "words", "times")
+    by_row = takes(docs, block_words, seed).where("times > 0 or block is not null").groupBy("row", "doc_id", "source", "mark", "size").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    taken = by_row.groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("mark").alias("m_mark")).agg(F.collect_list("parts").alias("copies"))
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    same = marked["doc_id"].eqNullSafe(F.col("m_id")) & marked["source"].eqNullSafe(F.col("m_source")) & (marked["_mark"] == F.col("m_mark"))
+    rows = marked.dropDuplicates(["doc_id", "source", "_mark"]).join(taken, same).withColumn("_parts", F.explode("copies")).withColumn("_time", F.explode(F.sequence(F.lit(1), F.lit(MOST_REPEATS))))
+    rows = rows.withColumn("_kept", F.filter("_parts", lambda p: p["times"] >= F.col("_time"))).where(F.size("_kept") > 0)
+    words = F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})"), F.lit(1))
+    some = F.array_join(F.flatten(F.transform("_kept", lambda p: F.slice("_words", (p["at"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    whole = F.size("_kept") == F.size("_parts")
+    rows = rows.withColumn("_words", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(some))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)

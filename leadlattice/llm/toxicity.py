@@ -277,13 +277,30 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int, hits long")
 
 
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below the threshold; null texts stay."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(lexicon)
+        for batch in batches:
+            yield batch.filter(pa.array([t.as_py() is None or scorer.score(t.as_py())[0] < threshold for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(doc_id: str = "doc_id", of: int = 3):  # noqa: ANN201
     """crc32 of the id as text, modulo `of`."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % of
 
 
+def fit_on_folds(docs: DataFrame, labels: DataFrame) -> Lexicon:
+    """Learns from the labels of folds 0 and 2 only."""
+    return fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic").where(fold() != 1))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fits on labels of the training folds (0 and 2) and scores all docs: doc_id, held_out, score, predicted, hits."""
-    lexicon = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic").where(fold() != 1))
+    lexicon = fit_on_folds(docs, labels)
     out = score(docs, lexicon)
     return out.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score", "predicted", "hits")
