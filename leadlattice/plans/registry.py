@@ -1,15 +1,260 @@
-"""The registered queries of the library's own operators, and SQL for each."""
+"""The registered queries of the library's own operators, and SQL for each that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leadlattice.functions import geo, text
+from leadlattice.functions.similarity import ratio
+from leadlattice.operators import areas, catalogue, classification, costs, evaluation, linkage, market, scoring, synthetic
+from leadlattice.plans import oracle, views
+from leadlattice.plans.views import places, suppliers, table
+from leadlattice.sources.files import lead_rows
+
+HIGHS, LOWS = [0.76, 0.80, 0.84, 0.88, 0.90, 0.94], [0.55, 0.60, 0.65, 0.70, 0.75]
+DESTINATIONS = [*market.DEMAND, "plitvice"]
+CATEGORIES = ["boat_tour", "day_trip", "food_drink", "water_sports", "walking_tour", "adventure", "cultural", "private_guide", "transfer", "other"]
+
+
+def name_key(spark: SparkSession, sf: str) -> DataFrame:
+    d = linkage.with_keys(views.listings(spark, sf))
+    return d.select("id", "norm_name", "domain", "e164", F.array_join("address_set", " ").alias("address_words"), "cell_lat", "cell_lng")
+
+
+def idf(spark: SparkSession, sf: str) -> DataFrame:
+    k = linkage.with_keys(views.listings(spark, sf)).select("name_set")
+    return linkage.idf_table(k, "name_set", linkage.corpus_size(k)).select("token", "df", F.round("idf", 6).alias("idf"), "is_generic")
+
+
+def generic_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    k = table(spark, sf, "part").select(F.split(F.lower("p_name"), " ").alias("words"))
+    return linkage.idf_table(k, "words", linkage.corpus_size(k)).where("is_generic").select("token", "df")
+
+
+def shared_domains(spark: SparkSession, sf: str) -> DataFrame:
+    return linkage.shared_domains(linkage.with_keys(places(spark, sf)), linkage.with_keys(suppliers(spark, sf)))
+
+
+def site_domains(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "pages").select(text.host(F.col("url")).alias("host"), text.registrable_domain(F.col("url")).alias("domain"))
+    return d.groupBy("domain").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("host").alias("hosts"))
+
+
+def block_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return linkage.candidates(linkage.with_keys(places(spark, sf)), linkage.with_keys(suppliers(spark, sf)))
+
+
+def _linked(spark: SparkSession, sf: str) -> DataFrame:
+    return linkage.link(places(spark, sf), suppliers(spark, sf), fuzzy=False)
+
+
+def match_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    d = _linked(spark, sf)
+    return d.select("place_id", "supplier_id", "verdict", F.round("score", 4).alias("score"), F.round("confidence", 3).alias("confidence"), "decided_by", "signal")
+
+
+def match_verdicts_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
+    return linkage.link(places(spark, sf), suppliers(spark, sf), fuzzy=True, trail=True).drop("best_score")
+
+
+def token_lcs_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("token")).union(table(spark, sf, "nation").select(F.lower("n_name"))).distinct()
+    # Words of names, a vocabulary that does not grow with the rows: each meets each once.
+    return t.alias("a").join(t.alias("b"), F.expr("a.token < b.token")).selectExpr("a.token as a", "b.token as b").withColumn("ratio", F.round(ratio(F.col("a"), F.col("b")), 6))
+
+
+def _truth(spark: SparkSession, sf: str) -> DataFrame:
+    p, s = (linkage.with_keys(x).where("norm_name <> ''") for x in (places(spark, sf), suppliers(spark, sf)))
+    first = s.groupBy("norm_name").agg(F.min("id").alias("true_supplier"))
+    return p.join(first, "norm_name").select(F.col("id").alias("place_id"), "true_supplier")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    names = ("precision", "recall", "f1", "review_rate", "automation_rate")
+    return df.withColumns({c: F.round(c, 6) for c in names if c in df.columns})
+
+
+def confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(evaluation.confusion(evaluation.outcomes(_linked(spark, sf), _truth(spark, sf))))
+
+
+def _swept(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.sweep(_linked(spark, sf), _truth(spark, sf), evaluation.threshold_grid(spark, HIGHS, LOWS))
+
+
+def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(_swept(spark, sf)).select("high", "low", *evaluation.NAMES, "precision", "recall", "f1", "review_rate")
+
+
+def threshold_grid_cost(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.cheapest(evaluation.with_cost(_swept(spark, sf)).withColumn("missed_minutes", F.lit(evaluation.MISSED_MINUTES)), ("missed_minutes",))
+
+
+def cost_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    prices = spark.createDataFrame([(m,) for m in (20, 60, 120, 240, 480)], "missed_minutes int")
+    return evaluation.cheapest(evaluation.with_cost(_swept(spark, sf).crossJoin(F.broadcast(prices)), F.col("missed_minutes")), ("missed_minutes",))
+
+
+def decisions_by_stage(spark: SparkSession, sf: str) -> DataFrame:
+    return _linked(spark, sf).groupBy(F.concat_ws("/", "verdict", "decided_by").alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _leads(spark: SparkSession, sf: str) -> DataFrame:
+    reviews = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("review_count"))
+    s = table(spark, sf, "supplier").join(reviews, "s_suppkey", "left")
+    pick = lambda names, by: F.element_at(F.array(*[F.lit(n) for n in names]), F.expr(f"cast(s_suppkey % {by} + 1 as int)"))
+    return s.select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.expr("case when s_suppkey % 17 = 0 then null else 3.0d + (s_suppkey * 37 % 100) / 50.0d end").alias("rating"), "review_count",
+        F.expr("case when s_suppkey % 3 = 0 then null else concat('http://s', s_suppkey, '.hr') end").alias("website"), F.expr("case when s_suppkey % 4 = 0 then '' else '021' end").alias("phone"),
+        F.expr("""case when s_suppkey % 5 = 0 then null else named_struct('booking', element_at(array('online_booking', 'enquiry_form', 'phone_or_email_only', 'unclear'), cast(s_suppkey % 4 + 1 as int)),
+          'languages', slice(array('en', 'hr', '', 'de'), 1, cast(s_suppkey % 5 as int)), 'contact_email', case when s_suppkey % 2 = 0 then 'a@b.hr' end, 'marketplace_presence', case when s_suppkey % 7 = 0 then array('m') else array() end) end""").alias("extract"),
+        pick(DESTINATIONS, 13).alias("destination"), pick(CATEGORIES, 10).alias("category"), F.expr("case when s_suppkey % 20 = 9 then array('food_drink', 'other', 'adventure') end").alias("site_categories"),
+    )
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.score_leads(_leads(spark, sf), market.demand_table(spark))
+
+
+def lead_scores(spark: SparkSession, sf: str) -> DataFrame:
+    d = _scored(spark, sf)
+    return d.select("id", *[F.round(c, 4).alias(c) for c in ("quality", "readiness", "gap_fit", "composite")], "band")
+
+
+def band_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.band_cutoffs(_scored(spark, sf))
+
+
+def bands(spark: SparkSession, sf: str) -> DataFrame:
+    d = _scored(spark, sf).withColumn("composite", F.round("composite", 4)).persist()
+    cut = scoring.band_cutoffs(d)
+    return d.crossJoin(F.broadcast(cut)).groupBy(scoring.fixed_band(F.col("composite"), F.col("band_a"), F.col("band_b")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def category_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    d = _leads(spark, sf).select(F.col("category").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("operators"))
+    cells = market.demand_table(spark).where("destination = 'split'").select(F.col("category").alias("c"), scoring.gap_value(F.col("demand").cast("double"), F.col("supply").cast("double")).alias("gap"))
+    rest = scoring.gap_value(F.lit(float(market.DEFAULT_DEMAND)), F.lit(float(market.DEFAULT_SUPPLY)))
+    return d.join(F.broadcast(cells), "c", "left").select(F.col("c").alias("category"), "operators", F.round(F.coalesce("gap", rest), 3).alias("gap_fit"))
+
+
+def rule_classification(spark: SparkSession, sf: str) -> DataFrame:
+    types = F.expr("""element_at(array(array('parking', 'atm'), array('bar', 'bank'), array('tour_agency', 'point_of_interest'), array('museum'), array('tour_agency', 'school')), cast(p_partkey % 5 + 1 as int))""")
+    d = classification.prefilter(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), types.alias("types")))
+    return d.select("id", "rule_verdict", "rule_confidence", "rule_reason")
+
+
+def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr("case when p_size < 3 then null else p_type end").alias("tier"))
+    return catalogue.stratified_sample(items, limit=1200)
+
+
+def nearest_rank_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.nearest_rank_quantiles(table(spark, sf, "orders"), "o_totalprice", [0.1, 0.25, 0.5, 0.75, 0.9, 0.99])
+
+
+def first_wins(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", F.round("value", 4).alias("value"))
+    return catalogue.first_wins(d, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
+
+
+def distance(spark: SparkSession, sf: str) -> DataFrame:
+    km = geo.haversine_km(F.col("lat"), F.col("lng"), F.lit(43.5081), F.lit(16.4402))
+    return views.listings(spark, sf).select("id", F.round(km, 4).alias("km"), F.round(geo.geo_similarity(km / 100), 4).alias("near"))
+
+
+def point_in_region(spark: SparkSession, sf: str) -> DataFrame:
+    return areas.permitted(views.listings(spark, sf)).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+def cover_circle(spark: SparkSession, sf: str) -> DataFrame:
+    return areas.cover_circle(spark, 43.5081, 16.4402, 15.0, 2.0).select(F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "half_side_km", "depth")
+
+
+def quadtree_cells(spark: SparkSession, sf: str) -> DataFrame:
+    cells = spark.sql("SELECT 43.5081d lat, 16.4402d lng, 4.0d half_side_km, 0 depth")
+    for _ in range(3):
+        cells = areas.subdivide(cells)
+    return cells.select(F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "half_side_km", "depth")
+
+
+def html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", F.sha2(text.html_to_text(F.col("html")), 256).alias("text_sha256"))
+
+
+def site_text_cap(spark: SparkSession, sf: str) -> DataFrame:
+    return catalogue.site_texts(table(spark, sf, "pages")).select("host", "n_pages", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def rate_limited(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "events").select(F.col("user_id").alias("client"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
+    return catalogue.rate_limited(d, seconds=21_600, most=2).select("id", "earlier", "limited")
+
+
+def api_cost(spark: SparkSession, sf: str) -> DataFrame:
+    skus = ", ".join(f"'{s}'" for s in costs.RATES)
+    ledger = table(spark, sf, "events").select(F.expr(f"element_at(array({skus}), cast(user_id % 5 + 1 as int))").alias("sku"), F.lit(1).cast("long").alias("n"))
+    return costs.api_cost(ledger, costs.rate_table(spark)).select("sku", "calls", F.round("usd", 4).alias("usd"), F.round("usd_after_free", 4).alias("usd_after_free"))
+
+
+def token_cost(spark: SparkSession, sf: str) -> DataFrame:
+    usage = table(spark, sf, "events").selectExpr("event_type as model", "event_id % 997 as input_tokens", "event_id % 89 as output_tokens", "event_id % 13 as cache_write_tokens", "event_id % 211 as cache_read_tokens", "event_id % 5000 = 4999 as batched")
+    return costs.token_cost(usage)
+
+
+def sweep_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    return costs.estimate_sweep(spark.sql("SELECT * FROM VALUES (4, 3), (9, 1), (24, 3), (400, 5) AS t(cells, queries)"))
+
+
+def at_scale(spark: SparkSession, sf: str) -> DataFrame:
+    return costs.at_scale(spark.sql("SELECT * FROM VALUES ('discover', 0.98d), ('classify', 0.3657d), ('enrich', 1.9639d) AS t(stage, usd)"), [1, 10, 50, 200, 500])
+
+
+def _taxonomy(spark: SparkSession, sf: str) -> DataFrame:
+    return catalogue.taxonomy_nodes(table(spark, sf, "part").select(F.concat_ws("/", F.replace("p_type", F.lit(" "), F.lit("/")), "p_brand").alias("path")).distinct())
+
+
+def taxonomy_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    return _taxonomy(spark, sf)
+
+
+def taxonomy_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    mapped = table(spark, sf, "part").where("p_size = 7").select(F.concat_ws("/", F.replace("p_type", F.lit(" "), F.lit("/")), "p_brand").alias("path"))
+    return catalogue.coverage(_taxonomy(spark, sf), mapped)
+
+
+def warehouse_rows(spark: SparkSession, sf: str) -> DataFrame:
+    d = lead_rows(_scored(spark, sf), datetime(2026, 1, 2, 3, 4, 5, tzinfo=UTC))
+    return d.select("run_id", F.col("run_date").cast("string").alias("run_date"), "destination", "place_source_id", "composite", "band", F.array_join("languages", ",").alias("languages"))
+
+
+def synthetic_suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    return synthetic.synthetic_suppliers(views.listings(spark, sf))
+
+
+def shared_phones(spark: SparkSession, sf: str) -> DataFrame:
+    return catalogue.shared_identifiers(linkage.with_keys(views.listings(spark, sf)), "e164")
+
+
+def corruption_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return synthetic_suppliers(spark, sf).select(F.explode("corruptions").alias("corruption")).groupBy("corruption").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ALL = [
+    name_key, idf, generic_tokens, shared_domains, site_domains, block_candidates, match_verdicts, match_verdicts_fuzzy, token_lcs_ratio, confusion, threshold_sweep, threshold_grid_cost,
+    cost_sensitivity, decisions_by_stage, lead_scores, band_cutoffs, bands, category_gaps, rule_classification, stratified_sample, nearest_rank_quantiles, first_wins, distance,
+    point_in_region, cover_circle, quadtree_cells, html_text, site_text_cap, rate_limited, api_cost, token_cost, sweep_estimate, at_scale, taxonomy_prefixes, taxonomy_coverage,
+    warehouse_rows, synthetic_suppliers, shared_phones, corruption_histogram,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {q.__name__: q for q in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.SQL
