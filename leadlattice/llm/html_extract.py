@@ -28,7 +28,8 @@ MARKS = frozenset(
     "ad ads adbox adslot advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies dialog disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices paywall popup promo promoted promotion related recommended respond replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 _TOKEN = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
-SIGMA = 1.5
+#: Deviation of the smoothing in lines, and the ratio of cluster means below which they count as two.
+SIGMA, APART = 1.5, 0.4
 
 
 @dataclass
@@ -80,8 +81,6 @@ class Lines(HTMLParser):
             return
         _, out, region = self.open[-1] if self.open else ("", False, 0)
         if not out and (tag in SILENT or tag in FURNITURE or (tag == "header" and not region) or (attrs and self._marked(attrs))):
-            if tag not in BLOCK:
-                self._flush()
             out = True
         if tag in MAIN and not region:
             self.regions += 1
@@ -106,7 +105,7 @@ class Lines(HTMLParser):
             self._parts.append(" ")
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                if tag in BLOCK or self.open[at][1] != (at > 0 and self.open[at - 1][1]):
+                if tag in BLOCK:
                     self._pop(at)
                 elif at == len(self.open) - 1:
                     self.open.pop()
@@ -118,6 +117,8 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][1]:
+            return
         self._parts.append(data)
         if any(t == "a" for t, _, _ in self.open[-4:]):
             self._link += len(data.strip())
@@ -138,14 +139,14 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def _content(values: np.ndarray) -> np.ndarray:
-    """Which values are above the border between two clusters (two means from the extremes)."""
+    """Which values are above the border between two clusters (two means from the extremes); all, if the two are not far apart."""
     low, high = values.min(), values.max()
     for _ in range(20):
         upper = values > (low + high) / 2
         if not upper.any() or upper.all():
             break
         low, high = values[~upper].mean(), values[upper].mean()
-    return values >= (low + high) / 2
+    return values >= (low + high) / 2 if low < APART * high else np.ones(len(values), bool)
 
 
 def main_text(html: str | None) -> str:
