@@ -110,10 +110,11 @@ FROM s JOIN m ON s.doc_id = m.id
 """
 
 
-def tokenizer_path() -> str:
+def tokenizer_paths() -> tuple[str, str]:
+    """The vocabulary as a tokenizer, and as ranks."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +122,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack(table(spark, sf_dir, "documents"), *tokenizer_paths())
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
