@@ -12,7 +12,7 @@ from leadlattice.llm.common import materialize, table
 from leadlattice.llm.minhash_dedup import near_duplicates
 from leadlattice.llm.mixing import mixed_documents
 from leadlattice.llm.packing import pack
-from leadlattice.llm.queries import tokenizer_path
+from leadlattice.llm.queries import tokenizer_paths
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each piece of each document in sequences of 2048 ids."""
-    return pack(docs, tokenizer_path())
+    return pack(docs, *tokenizer_paths())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
