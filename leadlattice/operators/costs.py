@@ -52,8 +52,9 @@ def token_cost(usage: DataFrame) -> DataFrame:
 
 
 def cents(c: Column) -> Column:
-    """Rounded to cents by the binary value, so 4.515, which is a little less in binary, gives 4.51."""
-    return F.floor(c * 100 + 0.5) / 100
+    """Rounded to cents by the binary value: 0.735 and 4.515, which are a little less in binary, go down."""
+    up = F.floor(c * 100 + 0.5)
+    return F.when(up / 100 - c > 0.005, up - 1).otherwise(up) / 100
 
 
 def estimate_sweep(sweeps: DataFrame, pages: float = 1.8) -> DataFrame:

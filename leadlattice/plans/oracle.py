@@ -16,6 +16,11 @@ def lcs(a: str, b: str) -> str:
     return f"CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 ELSE {rows}[-1] END"
 
 
+def _cents(x: str) -> str:
+    up = f"floor(({x}) * 100 + {d(0.5)})"
+    return f"(CASE WHEN {up} / 100 - ({x}) > {d(0.005)} THEN {up} - 1 ELSE {up} END) / 100"
+
+
 _DEMAND = ", ".join(f"('{dest}', '{c}', {a}, {b})" for dest, cells in market.DEMAND.items() for c, (a, b) in cells.items())
 _IDF = """, n_v AS (SELECT greatest(count(*), 1) AS n FROM key_v),
 name_df AS (SELECT token, count(*) AS df FROM (SELECT unnest(name_set) AS token FROM key_v) GROUP BY token),
@@ -167,7 +172,7 @@ SELECT id, tier FROM r JOIN k USING (tier) WHERE rk <= take""",
     "rate_limited": "WITH a AS (SELECT e.event_id AS id, (SELECT count(*) FROM events x WHERE x.user_id = e.user_id AND (x.ts < e.ts AND x.ts > e.ts - INTERVAL 6 HOUR OR x.ts = e.ts AND x.event_id < e.event_id)) AS earlier FROM events e) SELECT id, earlier, earlier >= 2 AS limited FROM a",
     "api_cost": f"SELECT sku, count(*) AS calls, round(count(*) * {d('rate')} / 1000, 4) AS usd, round(greatest(0, count(*) - free) * {d('rate')} / 1000, 4) AS usd_after_free FROM events JOIN {_SKUS} ON user_id % 5 = k GROUP BY sku, rate, free",
     "token_cost": f"WITH t AS (SELECT event_type AS model, count(*) AS calls, sum(event_id % 997) AS i, sum(event_id % 89) AS o, sum(event_id % 13) AS w, sum(event_id % 211) AS r, bool_or(event_id % 5000 = 4999) AS b FROM events GROUP BY 1) SELECT model, calls, round(CASE WHEN b THEN {d(0.5)} ELSE {d(1)} END * ((i * {d(3)} + w * {d(3)} * {d(1.25)} + r * {d(3)} * {d(0.1)} + o * {d(15)}) / {d(1000000)}), 6) AS usd, round(r / {d('i + w + r')}, 3) AS cache_hit_rate FROM t",
-    "sweep_estimate": f"WITH s(cells, queries) AS (VALUES (4, 3), (9, 1), (24, 3), (400, 5)), c AS (SELECT *, CAST(trunc(cells * queries * {d(1.8)}) AS INTEGER) AS calls FROM s), m AS (SELECT *, CAST(trunc(calls * {d(1.6)}) AS INTEGER) AS calls_max FROM c) SELECT cells, queries, calls, calls_max, round(calls * {d(35)} / 1000, 2) AS usd, round(calls_max * {d(35)} / 1000 + calls_max * {d(10.75)} * {d(0.0012)}, 2) AS usd_max, round(calls * {d(35)} / 1000 * {d(0.78)}, 2) AS gbp, round((calls_max * {d(35)} / 1000 + calls_max * {d(10.75)} * {d(0.0012)}) * {d(0.78)}, 2) AS gbp_max, CAST(trunc(calls * {d(0.35)} + calls * {d(10.75)} * {d(0.12)}) AS INTEGER) AS seconds, CAST(trunc(calls_max * {d(0.35)} + calls_max * {d(10.75)} * {d(0.12)}) AS INTEGER) AS seconds_max FROM m",
+    "sweep_estimate": f"WITH s(cells, queries) AS (VALUES (4, 3), (9, 1), (24, 3), (400, 5)), c AS (SELECT *, CAST(trunc(cells * queries * {d(1.8)}) AS INTEGER) AS calls FROM s), m AS (SELECT *, CAST(trunc(calls * {d(1.6)}) AS INTEGER) AS calls_max FROM c), u AS (SELECT *, calls * {d(35)} / 1000 AS usd0, calls_max * {d(35)} / 1000 + calls_max * {d(10.75)} * {d(0.0012)} AS usd1 FROM m) SELECT cells, queries, calls, calls_max, {_cents('usd0')} AS usd, {_cents('usd1')} AS usd_max, {_cents(f'usd0 * {d(0.78)}')} AS gbp, {_cents(f'usd1 * {d(0.78)}')} AS gbp_max, CAST(trunc(calls * {d(0.35)} + calls * {d(10.75)} * {d(0.12)}) AS INTEGER) AS seconds, CAST(trunc(calls_max * {d(0.35)} + calls_max * {d(10.75)} * {d(0.12)}) AS INTEGER) AS seconds_max FROM u",
     "at_scale": f"WITH o AS (SELECT {d(0.98)} + {d(0.3657)} + {d(1.9639)} AS one), n(destinations) AS (VALUES (1), (10), (50), (200), (500)) SELECT destinations, round(one * destinations, 4) AS usd, round(one * destinations * {d(0.78)}, 4) AS gbp, round(destinations * {d(240)}, 2) AS manual_gbp, round(destinations * {d(240)} / (one * destinations * {d(0.78)}), 1) AS ratio FROM o, n",
     "taxonomy_prefixes": f"WITH {_TAX} SELECT array_to_string(parts, '/') AS path, parts[-1] AS name, CAST(len(parts) AS INTEGER) AS tier, CASE WHEN len(parts) > 1 THEN array_to_string(parts[1:len(parts) - 1], '/') END AS parent FROM node_v",
     "taxonomy_coverage": f"WITH {_TAX}, u AS (SELECT DISTINCT parts[1:i] AS parts FROM (SELECT parts, unnest(range(1, len(parts) + 1)) AS i FROM path_v WHERE p_size = 7)) SELECT CAST(len(n.parts) AS INTEGER) AS tier, count(*) AS nodes, count(u.parts) AS mapped FROM node_v n LEFT JOIN u ON n.parts = u.parts GROUP BY 1",
