@@ -25,17 +25,37 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
 
 
+def _hooked(edges: DataFrame) -> DataFrame:
+    """(u, m) for every node: the least of itself and its neighbours."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
+    return both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+
+
+def _by_stars(edges: DataFrame, max_rounds: int) -> DataFrame:
+    now, mark = edges, None
+    for _ in range(max_rounds):
+        now = materialize(_star(_star(now, large=True), large=False), "edges")
+        was, mark = mark, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if mark == was:
+            break
+    return now.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b): the least node that links reach from it.
 
     Nodes without an edge are absent. Loops and repeated edges do no harm; an empty table gives an
-    empty one. Each round is written to the shared folder, so lineage stays short.
+    empty one. A first round hooks each node to its least neighbour and contracts the edges, which ends most graphs of
+    small groups; what is left, a small part of the edges, goes through star steps until nothing changes.
+    Each round is written to the shared folder, so lineage stays short.
     """
-    now = materialize(edges.where("a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).distinct(), "edges")
-    mark = None
-    for _ in range(max_rounds):
-        was, mark = mark, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if mark[0] == 0 or mark == was:
-            break
-        now = materialize(_star(_star(now, large=True), large=False), "edges")
-    return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")).union(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
+    hooks = materialize(_hooked(edges), "hooks")
+    # Edges are contracted along hooks; since a hook is an edge itself, a node and what it hooked to stay connected.
+    one, two = hooks.select(F.col("u").alias("a"), F.col("m").alias("ma")), hooks.select(F.col("u").alias("b"), F.col("m").alias("mb"))
+    left = edges.join(one, "a").join(two, "b").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).where("a <> b")
+    left = materialize(left.distinct(), "left")
+    if left.isEmpty():
+        return hooks.select(F.col("u").alias("node"), F.col("m").alias("component"))
+    roots = _by_stars(left, max_rounds).toDF("r", "root")
+    return hooks.join(roots, hooks["m"] == roots["r"], "left").select(F.col("u").alias("node"), F.coalesce("root", "m").alias("component"))

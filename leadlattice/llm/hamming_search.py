@@ -87,7 +87,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, occupancy: int = 16
 
     entries = index.select(
         "code", "first_id", F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), _part(F.col("code"), g).alias("value")) for s, g in enumerate(segments)])).alias("e")
-    ).select("code", "first_id", "e.*")
+    ).select("code", "first_id", "e.*").hint("merge")  # neither probes nor entries have a bound, so neither is broadcast
     best, done, active = spark.createDataFrame([], state), None, materialize(asked.withColumn("bound", F.lit(BITS)), "active")
     for r in range(max(w for _, w in segments) + 1):
         probes = [_probes(F.col("q"), s, g, r) for s, g in enumerate(segments) if r <= g[1]]

@@ -18,7 +18,7 @@ UNKNOWN = "und"
 #: Byte n-grams of these lengths are hashed into so many places.
 LENGTHS, PLACES = (1, 2, 3), 8192
 #: The fit uses at most so many labelled texts per language, those of least hashed id.
-SAMPLE_PER_LANGUAGE = 400
+SAMPLE_PER_LANGUAGE = 250
 CENTROIDS = 4
 #: A text is rejected if its similarity is below this share of what the least typical training texts have.
 REJECT_QUANTILE, REJECT_SHARE = 0.001, 0.2
@@ -93,10 +93,12 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
 
     rows = sorted((r["lang"], r["doc_id"], bytes(r["v"])) for r in texts.mapInArrow(run, texts.select("lang", "doc_id").schema.simpleString()[7:-1].replace(":", " ") + ", v binary").collect())
     langs = sorted({r[0] for r in rows})
-    x = np.stack([np.frombuffer(r[2], np.float32).astype(np.float64) for r in rows]) if rows else np.zeros((0, PLACES))
+    x = np.stack([np.frombuffer(r[2], np.float32) for r in rows]) if rows else np.zeros((0, PLACES), np.float32)
     of = np.array([langs.index(r[0]) for r in rows], int)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.1 if len(x) else np.ones(PLACES)
-    x = _unit(x * idf)
+    idf = idf.astype(np.float32)
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     centroids, owner, least = [], [], []
     for i in range(len(langs)):
         mine = x[of == i]

@@ -18,6 +18,8 @@ BANDS, ROWS = 25, 5
 SKETCH_BITS = 512
 #: A pair of similarity 0.8 differs in 45 sketch bits on average, with a deviation of 10: five of them are allowed.
 SKETCH_LIMIT = 95
+#: Bits of the parity bitmap of a whole set, and members that each bucket is compared with at first.
+PARITY_BITS, PIVOTS = 1024, 4
 _U64 = np.uint64
 _STEP = _U64(0x9E3779B97F4A7C15)
 _CACHE_LIMIT = 400_000
@@ -82,15 +84,21 @@ def odd_sketch(mins: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
+    """The parity of how many shingles fall on each place. Two bitmaps differ in no more bits than their sets in shingles."""
+    odd = np.bincount((_mix(shingles + _STEP) % _U64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, same, n_shingles, bands, sketch) of every row: `same` is a digest of the words in order, null without words."""
+    """(doc_id, same, n_shingles, bands, sketch, parity) of every row: `same` is a digest of the words in order, null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, multipliers = _WordHashes(), _multipliers()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, same, sizes, bands, sketches = [], [], [], [], []
+                ids, same, sizes, bands, sketches, parities = [], [], [], [], [], []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     tokens = words(text.as_py() or "")
                     shingles = shingle_hashes(tokens, hashes, width) if tokens else np.zeros(0, _U64)
@@ -100,10 +108,11 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     sizes.append(len(shingles))
                     bands.append(band_keys(mins) if tokens else np.zeros(0, np.int64))
                     sketches.append(odd_sketch(mins) if tokens else np.zeros(0, np.int64))
-                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (bands, sketches)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), *lists], ["doc_id", "same", "n_shingles", "bands", "sketch"])
+                    parities.append(parity_bitmap(shingles) if tokens else np.zeros(0, np.int64))
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (bands, sketches, parities)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), *lists], ["doc_id", "same", "n_shingles", "bands", "sketch", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, same binary, n_shingles long, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, same binary, n_shingles long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
@@ -127,18 +136,26 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, width: int, share: tuple[in
     return joined.select("a", "b", "one", "two").mapInArrow(run, "a long, b long").distinct()
 
 
-def _sketch_close(one: str, two: str) -> Column:
-    differing = sum((F.bit_count(F.col(one)[i].bitwiseXOR(F.col(two)[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col(one)[0].bitwiseXOR(F.col(two)[0])))
-    return differing <= SKETCH_LIMIT
+def _differing(one: Column, two: Column, bits: int) -> Column:
+    first, *rest = [F.bit_count(one[i].bitwiseXOR(two[i])) for i in range(bits // 64)]
+    return sum(rest, first)
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members (key, id, ...) with the component that each id has by the links found so far."""
-    comps = connected_components(links)
-    return members.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _may_link(a: str, b: str, share: tuple[int, int]) -> Column:
+    """Whether sizes, parity bitmaps and odd sketches allow the share. The first two never reject a linked pair.
+
+    At the share, sets of sizes x and y differ in at most (x + y) (den - num) / (den + num) shingles, and their
+    bitmaps in no more bits. An id that has several texts passes.
+    """
+    num, den = share
+    one, two = F.col(a), F.col(b)
+    fits = (den * one["n"] >= num * two["n"]) & (den * two["n"] >= num * one["n"])
+    near = _differing(one["parity"], two["parity"], PARITY_BITS) * (den + num) <= (one["n"] + two["n"]) * (den - num)
+    sketch = _differing(one["sketch"], two["sketch"], SKETCH_BITS) <= SKETCH_LIMIT
+    return one["several"] | two["several"] | (fits & near & sketch)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100), pivot_rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased (A-Z) runs without ASCII white space. A text's set holds its distinct shingles of
@@ -150,57 +167,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     table gives an empty one; further columns are ignored.
 
     Texts of equal words are one class. Classes meet in bands of five MinHash values; each class has an odd
-    sketch, the parity bitmap of its values, and the XOR population count of two sketches rejects far pairs.
-    A bucket is never expanded into all pairs at first: pivot rounds compare each member with one other, then
-    components are formed, and only members of one bucket that are still apart are paired. So large groups cost
-    their size, and yet every pair that shares a band is linked, joined through others, or rejected by its sketch
-    or by its sets.
+    sketch, the parity bitmap of its values, and the XOR population count of two sketches rejects far pairs; so does,
+    without error, the count over bitmaps of the whole sets. A bucket is never expanded into all pairs: each member meets
+    a few pivots first, components are formed, and then the join emits only members of one bucket that are still
+    apart and that the bitmaps let pass. So large groups cost about their size, and yet every pair that shares a band is
+    linked, joined through others, or rejected by a bitmap or by its sets.
     """
     spark_docs = docs.select("doc_id", "text")
     signed = materialize(signatures(spark_docs, width), "signed")
     linkable = signed.where("doc_id is not null and same is not null")
     classes = materialize(
-        linkable.groupBy("same").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
+        linkable.groupBy("same").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in ("bands", "sketch", "parity")]), "classes"
     )
     entries = classes.select(F.explode("bands").alias("key"), "id")
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("pivot")).where("c > 1")
-    members = materialize(entries.join(shared, "key").select("key", "id", "pivot").distinct(), "members")
-    about = classes.groupBy("id").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("sketch").alias("sketch"))
-    about = materialize(about.join(members.select("id").distinct(), "id", "left_semi"), "about")
-    texts = materialize(spark_docs.where("doc_id is not null and text is not null").join(about.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "texts")
-    num, den = share
-
-    def close(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose set sizes and sketches allow the share."""
-        sides = [about.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n_min", "n_max", "sketch")]) for s in "ab"]
-        fits = (F.lit(den) * F.col("n_max_a") >= F.lit(num) * F.col("n_min_b")) & (F.lit(den) * F.col("n_max_b") >= F.lit(num) * F.col("n_min_a"))
-        return pairs.join(sides[0], "a").join(sides[1], "b").where(fits & _sketch_close("sketch_a", "sketch_b")).select("a", "b")
-
+    pivots = F.array_distinct(F.array(F.min("id"), *[F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(1, PIVOTS)]))
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), pivots.alias("pivots")).where("c > 1")
+    members = materialize(entries.join(shared, "key").select("key", "id", "pivots"), "members")
+    about = classes.groupBy("id").agg(F.max("n").alias("n"), (F.count(F.lit(1)) > 1).alias("several"), F.min("sketch").alias("sketch"), F.min("parity").alias("parity"))
+    about = materialize(about.join(members.select("id").distinct(), "id", "left_semi").select("id", F.struct("n", "several", "sketch", "parity").alias("at")), "about")
+    texts = materialize(spark_docs.where("doc_id is not null and text is not null").join(about.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "texts")
+    sides = [about.select(F.col("id").alias(s), F.col("at").alias(f"at_{s}")) for s in "ab"]
     ordered = lambda one, two: (F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
-    tried = materialize(close(members.where("id <> pivot").select(*ordered(F.col("id"), F.col("pivot"))).distinct()), "pairs")
+
+    first = members.select("id", F.explode("pivots").alias("pivot")).where("id <> pivot").select(*ordered(F.col("id"), F.col("pivot"))).distinct()
+    tried = materialize(first.join(sides[0], "a").join(sides[1], "b").where(_may_link("at_a", "at_b", share)).select("a", "b"), "pairs")
     links = materialize(similar_pairs(texts, tried, width, share), "links")
-    for turn in range(1, pivot_rounds + 1):
-        parted = _labelled(members.select("key", "id"), links)
-        sizes = parted.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-        sizes = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("within")).where("parts > 1")
-        rows, apart = sizes.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("within")) / 2), F.lit(0.0))).first()
-        if apart == 0:
-            break
-        parted = materialize(parted.join(sizes.select("key"), "key"), "parted")
-        if apart <= 20 * rows or turn == pivot_rounds:
-            one, two = (parted.select("key", F.col("id").alias(f"id_{s}"), F.col("component").alias(f"of_{s}")).join(about.select(F.col("id").alias(f"id_{s}"), F.col("sketch").alias(f"sketch_{s}")), f"id_{s}") for s in "ab")
-            met = one.join(two, (one["key"] == two["key"]) & (F.col("of_a") < F.col("of_b")) & _sketch_close("sketch_a", "sketch_b"))
-            fresh = met.select(*ordered(F.col("id_a"), F.col("id_b"))).distinct()
-        else:
-            pivots = parted.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("p"))
-            fresh = parted.join(pivots, "key").where("component <> p.component").select(*ordered(F.col("id"), F.col("p.id"))).distinct()
-        fresh = materialize(close(fresh.join(tried, ["a", "b"], "left_anti")), "pairs")
-        links = links.union(materialize(similar_pairs(texts, fresh, width, share), "links"))
-        tried = tried.union(fresh)
-        if apart <= 20 * rows:
-            break
-    comps = connected_components(links)
-    by_class = classes.select("same", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("of_class"))
+    comps = connected_components(links).withColumnRenamed("node", "id")
+    parted = members.select("key", "id").distinct().join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_keys = parted.groupBy("key").agg((F.min("component") < F.max("component")).alias("open")).where("open").select("key")
+    parted = materialize(parted.join(open_keys, "key").join(about, "id"), "parted")
+    one, two = (parted.select("key", F.col("id").alias(f"id_{s}"), F.col("component").alias(f"of_{s}"), F.col("at").alias(f"at_{s}")) for s in "ab")
+    met = one.join(two, (one["key"] == two["key"]) & (F.col("of_a") < F.col("of_b")) & _may_link("at_a", "at_b", share))
+    fresh = materialize(met.select(*ordered(F.col("id_a"), F.col("id_b"))).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(similar_pairs(texts, fresh, width, share), "links")
+    if not more.isEmpty():
+        comps = connected_components(links.union(more)).withColumnRenamed("node", "id")
+    by_class = classes.select("same", "id").join(comps, "id", "left").select("same", F.coalesce("component", "id").alias("of_class"))
     of_doc = linkable.join(by_class, "same").groupBy("doc_id").agg(F.min("of_class").alias("of_doc"))
     found = signed.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left").withColumn("component_id", F.coalesce("of_doc", "doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -99,7 +99,8 @@ def takes(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> Dat
     words = F.least(end, (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
     pieces = pieces.withColumn("words", F.coalesce(words, F.lit(0))).withColumn("at", F.greatest(F.col("start"), F.col("block") * block_words) - F.col("start"))
     # Joined on the block first: a source with most of the rows spreads over its blocks.
-    used = used.withColumnRenamed("source", "u_source").withColumnRenamed("block", "u_block")
+    # The slots' size can't be told from the few sources they come from, so the join is told not to broadcast them.
+    used = used.withColumnRenamed("source", "u_source").withColumnRenamed("block", "u_block").hint("merge")
     got = pieces.join(used, (pieces["block"] == F.col("u_block")) & pieces["source"].eqNullSafe(F.col("u_source")), "left").withColumn("times", F.coalesce("times", F.lit(0)))
     about = F.broadcast(sources) if sources.count() <= 100_000 else sources
     about = about.select(F.col("source").alias("s_source"), "source_size", "target")
