@@ -12,7 +12,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from leadlattice.llm.common import small
 
@@ -165,9 +164,10 @@ class Scorer(dict):
 
 def _sample(docs: DataFrame, known: DataFrame) -> DataFrame:
     """At most the stated number of whole texts of each class, by least hashed id."""
-    ids = docs.where("text is not null").select("doc_id").join(known, "doc_id").withColumn("h", F.xxhash64("doc_id", F.lit(9)))
-    ranked = ids.withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id")))
-    chosen = ranked.where(F.col("n") <= F.when(F.col("toxic") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_CLEAN)).select("doc_id", "toxic").distinct()
+    ids = docs.where("text is not null").select("doc_id").distinct().join(known, "doc_id")
+    # Each task sorts out its own least ids first, so no task reads all rows of a class.
+    least = [ids.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(most) for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    chosen = least[0].union(least[1]).select("doc_id", "toxic")
     return docs.where("text is not null").select("doc_id", "text").join(small(chosen), "doc_id").select("doc_id", "toxic", "text")
 
 
