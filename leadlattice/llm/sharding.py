@@ -12,16 +12,22 @@ from leadlattice.llm.common import materialize
 
 #: Ranges in each shard, keys in a sample for each range, and how overfull a range may stay.
 RANGES_PER_SHARD, SAMPLE_PER_RANGE, OVERFULL = 64, 24, 2.5
+#: How many times the sample's number of keys tasks put forward for it, as expected at most.
+AHEAD = 4
 #: Ranges of one key stay together up to this share of a shard.
 WHOLE_GROUP = 0.05
 _LOW = -(1 << 63)
 
 
-def _sampled(rows: DataFrame, n: int, seed: int) -> list[tuple[int, int]]:
-    """At most n (key, sub) pairs, drawn without replacement by size: those of least exponential variate over size."""
+def _sampled(rows: DataFrame, n: int, seed: int, total: int) -> list[tuple[int, int]]:
+    """At most n (key, sub) pairs, drawn without replacement by size: those of least exponential variate over size.
+
+    A row of size s is below a variate t with a probability of at most s * t. So of rows whose sizes add up to `total`
+    no more than AHEAD * n are expected below t = AHEAD * n / total, and only those leave their tasks.
+    """
     uniform = (F.pmod(F.xxhash64("key", "sub", "doc_id", F.lit(seed)), F.lit(1 << 53)) + 1).cast("double") / float((1 << 53) + 1)
-    drawn = rows.select("key", "sub", (-F.log(uniform) / F.col("size")).alias("e")).orderBy("e", "key", "sub").limit(n)
-    return sorted((r["key"], r["sub"]) for r in drawn.collect())
+    drawn = rows.select("key", "sub", (-F.log(uniform) / F.col("size")).alias("e")).where(F.col("e") <= AHEAD * n / max(1, total))
+    return sorted((r["key"], r["sub"]) for r in drawn.orderBy("e", "key", "sub").limit(n).collect())
 
 
 def _splitters(sample: list[tuple[int, int]], parts: int) -> list[tuple[int, int]]:
@@ -76,7 +82,8 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
     )
     rows = materialize(rows, "sized")
     parts = shards * RANGES_PER_SHARD
-    sample = _sampled(rows, parts * SAMPLE_PER_RANGE, 1)
+    every = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    sample = _sampled(rows, parts * SAMPLE_PER_RANGE, 1, every)
     cuts = _splitters(sample, parts) if sample else []
     sums = _measured(rows, cuts)
     total = sum(b for b, _ in sums.values())
@@ -85,7 +92,7 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
         if not over:
             break
         inside = rows.withColumn("range", _range_of(cuts, F.col("key"), F.col("sub"))).where(F.col("range").isin(over))
-        again = _sampled(inside, parts * SAMPLE_PER_RANGE, turn)
+        again = _sampled(inside, parts * SAMPLE_PER_RANGE, turn, sum(sums[r][0] for r in over))
         grown = set(cuts)
         for r in over:
             mine = [x for x in again if bisect_right(cuts, x) == r]
