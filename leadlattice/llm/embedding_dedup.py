@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from leadlattice.llm.common import materialize
 from leadlattice.llm.components import connected_components
 
-#: Hash tables, and probed buckets per table and vector besides its own. Recall is measured in the tests.
+#: Least number of hash tables, and probed buckets per table and vector besides its own.
 TABLES, PROBES = 8, 5
+#: Tables are added until a pair at the threshold is missed by all of them no more often than this.
+MISS = 2.5e-4
 #: Two vectors of cosine 0.9 differ in 18 of 128 projected signs on average, with a deviation of 4: seven are allowed.
 SIGN_WORDS, SIGN_LIMIT = 2, 46
 
@@ -67,7 +69,26 @@ def bucket_keys(x: np.ndarray, tables: int, per_table: int, probes: int) -> np.n
     return out
 
 
-def _hashed(classes: DataFrame, per_table: int) -> DataFrame:
+def tables_needed(width: int, per_table: int, threshold: float) -> int:
+    """So many tables that a pair of exactly the threshold's cosine is missed with probability MISS at most, TABLES at least.
+
+    How often one table finds such a pair is measured on random pairs; it depends on the width and on the hashes
+    that a table joins, and tables find independently. Thresholds at which one table finds less than 1 % of pairs
+    get the tables for 1 %.
+    """
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1000, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cosine = min(1.0, max(-1.0, threshold))
+    a, b = (bucket_keys(v, TABLES, per_table, PROBES) for v in (x, cosine * x + math.sqrt(1 - cosine * cosine) * y))
+    found = ((a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)).mean()
+    return max(TABLES, math.ceil(math.log(MISS) / math.log1p(-min(0.99, max(0.01, found)))))
+
+
+def _hashed(classes: DataFrame, tables: int, per_table: int) -> DataFrame:
     """(id, own keys, probed keys, sign words) of each class (id, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +98,7 @@ def _hashed(classes: DataFrame, per_table: int) -> DataFrame:
                 x = np.stack([np.asarray(v, np.float64) for v in part.column(1).to_numpy(zero_copy_only=False)])
                 width = 1 << max(6, (x.shape[1] - 1).bit_length())
                 x = np.pad(x / np.linalg.norm(x, axis=1, keepdims=True), ((0, 0), (0, width - x.shape[1])))
-                keys = bucket_keys(x, TABLES, per_table, PROBES)
+                keys = bucket_keys(x, tables, per_table, PROBES)
                 bits = np.concatenate([rotate(x, 77_000 + w)[:, :64] > 0 for w in range(SIGN_WORDS)], axis=1)
                 signs = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
                 lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(a).ravel()), a.shape[1]).cast(pa.list_(pa.int64())) for a in (keys[:, :, 0], keys[:, :, 1:].reshape(len(x), -1), signs)]
@@ -91,7 +112,7 @@ def _cosine(one: Column, two: Column) -> Column:
     return dot(one, two) / (F.sqrt(dot(one, one)) * F.sqrt(dot(two, two)))
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, per_table: int | None = None) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Two rows are linked if their cosine in double precision reaches the threshold. n_links counts the other rows
@@ -103,8 +124,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFr
     Rows with equal vectors are one class, so copies cost one entry: each row links with the others of its class and
     with all rows of linked classes. Classes are hashed into several tables; a pair meets if one's own bucket is
     among the other's own or probed ones. The join rejects pairs whose projected sign bits are far apart, and the
-    exact cosine of the full vectors decides. The number of polytope hashes per table follows the logarithm of the
-    number of classes, so that buckets stay small.
+    exact cosine of the full vectors decides. The number of polytope hashes per table, if not given, follows the
+    logarithm of the number of classes, so that buckets stay small; the number of tables follows from it, so that
+    recall at the threshold is the same at every size.
     """
     v = F.col("embedding").cast("array<double>")
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
@@ -112,12 +134,13 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFr
     clean = F.when(sound & F.col("vec_id").isNotNull(), F.transform(v, lambda x: x + F.lit(0.0)))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), clean.alias("v"))
     classes = materialize(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("n")), "classes")
-    n_classes = classes.count()
     widths = [r[0] for r in classes.select(F.size("v")).distinct().collect()]
-    per_table = max(1, round(math.log(max(2, n_classes)) / math.log(2 * max([64, *widths]))))
+    if per_table is None:
+        per_table = max(1, round(math.log(max(2, classes.count())) / math.log(2 * max([64, *widths]))))
     found = None
     for width in widths:
-        hashed = materialize(_hashed(classes.where(F.size("v") == width), per_table), "hashed")
+        tables = tables_needed(1 << max(6, (width - 1).bit_length()), per_table, threshold)
+        hashed = materialize(_hashed(classes.where(F.size("v") == width), tables, per_table), "hashed")
         own = hashed.select("id", "signs", F.explode("own").alias("key"))
         asking = own.union(hashed.select("id", "signs", F.explode("probed").alias("key")))
         a, b = asking.toDF("a", "signs_a", "key"), own.toDF("b", "signs_b", "key")

@@ -225,6 +225,24 @@ def test_vectors_against_all_pairs(spark):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("per_table", [2, 3, 4])
+def test_recall_at_the_threshold_is_the_same_at_every_size(spark, per_table):
+    rng = np.random.default_rng(20 + per_table)
+    x = rng.normal(size=(400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    v = np.concatenate([x, 0.9001 * x + math.sqrt(1 - 0.9001**2) * y])
+    cos = v @ v.T / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(v, axis=1))
+    want = (cos >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, [float(z) for z in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    got = rows(embedding_dedup.near_duplicate_vectors(df, per_table=per_table), "vec_id")
+    assert want.sum() >= 800
+    assert all(got[i]["n_links"] <= n for i, n in enumerate(want))
+    assert sum(r["n_links"] for r in got.values()) >= 0.995 * want.sum()
+
+
 # ---------------------------------------------------------------- pages
 
 PAGES = [
