@@ -27,6 +27,10 @@ SCOPE = frozenset("article aside body div footer form header html li main nav se
 MARKS = frozenset(
     "ad ads adbox adslot advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies dialog disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices paywall popup promo promoted promotion related recommended respond replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Those of them that mark talk about an article, which may be longer than the article.
+TALK = frozenset("comment comments commentlist disqus replies respond".split())
+#: Elements that hold the content whatever their class says.
+NEVER_MARKED = MAIN | frozenset("html body".split())
 _TOKEN = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 #: Deviation of the smoothing in lines, and the ratio of cluster means below which they count as two.
 SIGMA, APART = 1.5, 0.4
@@ -37,28 +41,46 @@ class Line:
     text: str
     tags: int
     link_chars: int
-    out: bool
     region: int
     heading: bool
 
 
+@dataclass
+class Mark:
+    """An open or closed element that a class, id or role marks; whether it is furniture is known at the page's end."""
+
+    parent: int
+    depth: int
+    talk: bool
+    chars: int = 0
+    main: bool = False
+    article: bool = False
+    furniture: bool = False
+
+
 class Lines(HTMLParser):
-    """Turns parser events into block lines. Only open elements and the current block are held besides the lines."""
+    """Turns parser events into block lines. Only open elements and the current block are held besides the lines.
+
+    A marked element is furniture unless it wraps the content: it holds a main element or, where no article stands
+    outside of all marks that are furniture or undecided, an article or most of the page's text that is not links.
+    Comments never wrap by their text.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []
-        self.lines: list[Line] = []
+        self.open: list[tuple[str, bool, int, int]] = []
+        self.marks = [Mark(0, 0, False)]
         self.regions = 0
-        self._parts: list[str] = []
-        self._tags = self._link = 0
+        self._articles: set[int] = set()
+        self._raw: list[tuple[list[tuple[int, str, bool]], int, int, bool]] = []
+        self._parts: list[tuple[int, str, bool]] = []
+        self._tags = 0
 
     def _flush(self) -> None:
-        text = " ".join("".join(self._parts).split())
-        if text:
-            tag, out, region = self.open[-1] if self.open else ("", False, 0)
-            self.lines.append(Line(text, self._tags, self._link, out, region, any(t in ("h1", "h2", "h3") for t, _, _ in self.open[-3:])))
-        self._parts, self._tags, self._link = [], 0, 0
+        if any(data and not data.isspace() for _, data, _ in self._parts):
+            region = self.open[-1][2] if self.open else 0
+            self._raw.append((self._parts, self._tags, region, any(e[0] in ("h1", "h2", "h3") for e in self.open[-3:])))
+        self._parts, self._tags = [], 0
 
     def _pop(self, at: int) -> None:
         self._flush()
@@ -76,22 +98,35 @@ class Lines(HTMLParser):
                 if name in SCOPE:
                     break
         if tag == "br":
-            self._parts.append(" ")
+            self._parts.append((0, " ", False))
         if tag in VOID:
             return
-        _, out, region = self.open[-1] if self.open else ("", False, 0)
-        if not out and (tag in SILENT or tag in FURNITURE or (tag == "header" and not region) or (attrs and self._marked(attrs))):
+        _, out, region, mark = self.open[-1] if self.open else ("", False, 0, 0)
+        if not out and (tag in SILENT or tag in FURNITURE or (tag == "header" and not region) or (attrs and self._hidden(attrs))):
             out = True
+        words = self._words(attrs) if attrs and not out else frozenset()
+        if words and tag not in NEVER_MARKED:
+            self.marks.append(Mark(mark, self.marks[mark].depth + 1, not words.isdisjoint(TALK)))
+            mark = len(self.marks) - 1
+        if tag in MAIN and not out:
+            # An article that is marked itself, such as a comment, doesn't tell where the content is.
+            if tag == "main":
+                self.marks[mark].main = True
+            elif not words:
+                self.marks[mark].article = True
+            self._articles.add(mark)
         if tag in MAIN and not region:
             self.regions += 1
             region = self.regions
-        self.open.append((tag, out, region))
+        self.open.append((tag, out, region, mark))
+
+    @staticmethod
+    def _words(attrs: list[tuple[str, str | None]]) -> frozenset[str]:
+        return frozenset(t.lower() for name, value in attrs if name in ("class", "id", "role") and value for t in _TOKEN.findall(value)) & MARKS
 
     @staticmethod
-    def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+    def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
         for name, value in attrs:
-            if name in ("class", "id", "role") and value and any(t.lower() in MARKS for t in _TOKEN.findall(value)):
-                return True
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "")):
                 return True
         return False
@@ -102,7 +137,7 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self._tags += 1
         if tag == "br":
-            self._parts.append(" ")
+            self._parts.append((0, " ", False))
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
                 if tag in BLOCK:
@@ -117,17 +152,45 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][1]:
-            return
-        self._parts.append(data)
-        if any(t == "a" for t, _, _ in self.open[-4:]):
-            self._link += len(data.strip())
+        _, out, _, mark = self.open[-1] if self.open else ("", False, 0, 0)
+        if not out:
+            self._parts.append((mark, data, any(e[0] == "a" for e in self.open[-4:])))
+
+    def _decide(self) -> None:
+        """Which marked elements are furniture, from the outermost inwards."""
+        marks, plain = self.marks, 0
+        for parts, _, _, _ in self._raw:
+            for mark, data, linked in parts:
+                n = 0 if linked else len(data.strip())
+                plain += n
+                marks[mark].chars += n
+        for m in reversed(marks[1:]):
+            up = marks[m.parent]
+            up.chars, up.main, up.article = up.chars + m.chars, up.main or m.main, up.article or m.article
+        levels: dict[int, list[Mark]] = {}
+        for m in marks[1:]:
+            levels.setdefault(m.depth, []).append(m)
+        free = 0 in self._articles
+        for depth in sorted(levels):
+            wraps = []
+            for m in levels[depth]:
+                m.furniture = marks[m.parent].furniture or not (m.main or (not free and (m.article or (not m.talk and 2 * m.chars > plain))))
+                wraps.append(not m.furniture)
+            free = free or any(w and any(marks[a] is m for a in self._articles) for w, m in zip(wraps, levels[depth], strict=True))
 
     def read(self, html: str) -> list[Line]:
         self.feed(html)
         self.close()
         self._flush()
-        return self.lines
+        if len(self.marks) > 1:
+            self._decide()
+        lines = []
+        for parts, tags, region, heading in self._raw:
+            kept = [(data, linked) for mark, data, linked in parts if not self.marks[mark].furniture]
+            text = " ".join("".join(data for data, _ in kept).split())
+            if text:
+                lines.append(Line(text, tags, sum(len(data.strip()) for data, linked in kept if linked), region, heading))
+        return lines
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -155,7 +218,7 @@ def main_text(html: str | None) -> str:
     Null and empty pages, and pages without text, give an empty text. Malformed markup is read as the parser
     reads it: elements that are never closed end with their parent.
     """
-    lines = [x for x in Lines().read(html or "") if not x.out]
+    lines = Lines().read(html or "")
     if not lines:
         return ""
     ratios = smoothed(np.array([len(x.text) / max(1, x.tags) for x in lines], float))

@@ -260,6 +260,23 @@ def test_main_text(html, want):
     assert html_extract.main_text(html) == want
 
 
+STORY = "<h1>Head</h1>" + "<p>" + "long text here " * 20 + "</p>"
+TOLD = "Head\n" + ("long text here " * 20).strip()
+WRAPPED = [
+    f"<html class='no-sidebar'><body class='has-sidebar'><div class='sidebar'>links</div>{STORY}</body></html>",
+    f"<body><main class='with-sidebar'>{STORY}<div class='related'>more of it</div></main></body>",
+    f"<body><div id='page' class='header-fixed'><div class='menu'>go</div><div class='content-with-sidebar'>{STORY}</div><div class='sidebar'>see also</div></div></body>",
+    f"<body><div class='has-sidebar'><article class='comments-open'>{STORY}<div class='share'>share it</div></article><div class='related'><article><p>other</p></article></div></div></body>",
+    f"<body>{STORY}<div class='comments'><article class='comment'><p>{'me too and more ' * 60}</p></article></div></body>",
+    f"<body><article>{STORY}</article><div class='related'><article><p>{'another story of it ' * 20}</p></article></div></body>",
+]
+
+
+@pytest.mark.parametrize("html", WRAPPED)
+def test_marked_wrappers_of_the_content_are_no_furniture(html):
+    assert html_extract.main_text(html) == TOLD
+
+
 def test_pages_table(spark):
     d = spark.createDataFrame([(i, None, h, "x") for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
     got = rows(html_extract.extract_main_text(d), "page_id")
