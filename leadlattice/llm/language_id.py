@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +21,10 @@ LENGTHS, PLACES = (1, 2, 3), 8192
 #: The fit uses at most so many labelled texts per language, those of least hashed id.
 SAMPLE_PER_LANGUAGE = 250
 CENTROIDS = 4
-#: A text is rejected if its similarity is below this share of what the least typical training texts have.
-REJECT_QUANTILE, REJECT_SHARE = 0.001, 0.2
+#: A text is rejected if its similarity is below this quantile of what held-out texts of as many distinct n-grams have.
+REJECT_QUANTILE = 0.01
+#: Lengths in bytes to which they are cut for that, powers of two of distinct n-grams with a limit each, and texts needed for one.
+CUTS, SIZES, FEWEST = tuple(1 << k for k in range(3, 17)), tuple(range(2, 13)), 20
 _BLOCK = 1 << 16
 
 
@@ -32,10 +35,15 @@ class Model:
     centroids: np.ndarray
     owner: np.ndarray
     idf: np.ndarray
-    #: Least accepted cosine per language.
+    #: Least accepted cosine per language and number of distinct n-grams, as SIZES.
     least: np.ndarray
 
 
+def _limit(least: np.ndarray, count: np.ndarray) -> float:
+    """The limit at so many distinct n-grams, which a text that repeats itself has few of: between SIZES by the logarithm."""
+    return float(np.interp(np.log2(max(1, np.count_nonzero(count))), np.array(SIZES) + 0.5, least))
+
+
 def counts(text: str) -> np.ndarray:
     """How often each hashed byte n-gram of the lower-cased text occurs; blocks keep memory the same for any length."""
     raw = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)
@@ -81,6 +89,9 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
 
     A sample of at most `per_language` whole texts of each language is turned into count vectors on the
     executors; the driver gets those vectors only, so what it holds is bounded by the parameter.
+
+    The least accepted cosines are measured on texts that the centroids have not seen: each half of the sample is
+    cut to each length of CUTS and compared with centroids of the other half, again on the executors.
     """
     ids = labelled.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id", F.lit(5)).alias("h"))
     chosen = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= per_language).select("doc_id", "lang")
@@ -99,24 +110,66 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     idf = idf.astype(np.float32)
     x *= idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centroids, owner, least = [], [], []
-    for i in range(len(langs)):
+    centroids, owner, halves = [], [], {}
+    for i, lang in enumerate(langs):
         mine = x[of == i]
         c = _clusters(mine, CENTROIDS)
         centroids.append(c)
         owner += [i] * len(c)
-        least.append(REJECT_SHARE * np.quantile((mine @ c.T).max(axis=1), REJECT_QUANTILE))
-    return Model(langs, np.concatenate(centroids) if centroids else np.zeros((0, PLACES)), np.array(owner, int), idf, np.array(least))
+        # By the sample's order of ids: even places and odd ones.
+        halves[lang] = [_clusters(half if len(half) else mine, CENTROIDS) for half in (mine[::2], mine[1::2])]
+    place: dict[tuple, int] = {}
+    for at, (lang, doc_id, _) in enumerate(rows):
+        place.setdefault((lang, doc_id), int(at - np.searchsorted(of, langs.index(lang))))
+    least = _limits(texts, langs, halves, place, idf)
+    return Model(langs, np.concatenate(centroids) if centroids else np.zeros((0, PLACES)), np.array(owner, int), idf, least)
+
+
+def _limits(texts: DataFrame, langs: list[str], halves: dict[str, list[np.ndarray]], place: dict[tuple, int], idf: np.ndarray) -> np.ndarray:
+    """The least accepted cosine of each language at each of SIZES, from texts (lang, doc_id, text) of the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for lang, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not any(map(str.isalpha, text)):
+                    continue
+                raw = text.encode("utf-8", "surrogatepass")
+                other = halves[lang][1 - place[lang, doc_id] % 2]
+                for n in CUTS:
+                    if n > len(raw):
+                        break
+                    # Cut at a place that the id chooses, since texts may begin alike.
+                    at = zlib.crc32(f"{doc_id} {n}".encode()) % (len(raw) - n + 1)
+                    cut = raw[at : at + n].decode("utf-8", "ignore")
+                    if any(map(str.isalpha, cut)):
+                        count = counts(cut)
+                        k = min(max(int(np.count_nonzero(count)).bit_length() - 1, SIZES[0]), SIZES[-1]) - SIZES[0]
+                        found.append((lang, k, float((other @ _weighted(count, idf)).max())))
+            lists = list(zip(*found, strict=True)) if found else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(lists, (pa.string(), pa.int32(), pa.float64()), strict=True)], ["lang", "k", "s"])
+
+    seen: dict[tuple[str, int], list[float]] = {}
+    for r in texts.select("lang", "doc_id", "text").mapInArrow(run, "lang string, k int, s double").collect() if langs else []:
+        seen.setdefault((r["lang"], r["k"]), []).append(r["s"])
+    least = np.zeros((len(langs), len(SIZES)))
+    for i, lang in enumerate(langs):
+        for k in range(len(SIZES)):
+            # Longer texts are more typical, so where too few are so long, the limit of the next lesser size holds.
+            s = seen.get((lang, k), [])
+            least[i, k] = np.quantile(s, REJECT_QUANTILE) if len(s) >= FEWEST else least[i, k - 1] if k else 0.0
+    return np.maximum.accumulate(least, axis=1)
 
 
 def nearest(text: str | None, lettered: bool, model: Model) -> tuple[str, float, bool]:
     """(language, cosine to the nearest centroid, rejected) of one whole text."""
     if not lettered or text is None or not model.langs:
         return UNKNOWN, 0.0, True
-    near = model.centroids @ _weighted(counts(text), model.idf)
+    count = counts(text)
+    near = model.centroids @ _weighted(count, model.idf)
     at = int(near.argmax())
     score = float(min(1.0, max(0.0, near[at])))
-    return model.langs[model.owner[at]], score, bool(score < model.least[model.owner[at]])
+    return model.langs[model.owner[at]], score, score < _limit(model.least[model.owner[at]], count)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -124,7 +177,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     Only the text is looked at, as a whole. lang_pred is a learned language, or `und` with score 0 if the text is
     null, has no letter, or nothing was learned; rejected marks those, and texts whose cosine is below the least
-    accepted one of the language. Equal cosines go to the language first in code point order. An empty table
+    accepted one of the language at the text's number of distinct n-grams. Equal cosines go to the language first in code point order. An empty table
     gives an empty one; repeated rows each get a row; further columns are left out.
     """
 

@@ -1,5 +1,6 @@
 """Edge cases and brute-force versions of the operators on small tables."""
 
+import base64
 import hashlib
 import math
 import random
@@ -89,6 +90,24 @@ def test_language(spark):
     assert language_id.predict(test.limit(0), model).count() == 0
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    rng = random.Random(12)
+    vocab = {
+        "en": "the of and to in is was that for it with as his on be at by had not are but from or have an they which one you were all her she there would their we him been has when who will no more if out so".split(),
+        "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben".split(),
+    }
+    text = lambda lang, n: " ".join(rng.choices(vocab[lang], k=n))
+    train = [(i, text(("en", "de")[i % 2], rng.choice([5, 20, 60, 200])), ("en", "de")[i % 2]) for i in range(400)]
+    model = language_id.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    clean = [text(("en", "de")[i % 2], n) for i in range(200) for n in (4, 15, 100)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä"
+    foreign = ["".join(rng.choices(letters, k=600)), "".join(rng.choices(letters + "     ", k=600)), base64.b64encode(rng.randbytes(450)).decode(), rng.randbytes(300).hex(), finnish]
+    got = rows(language_id.predict(docs(spark, [*foreign, *clean]), model))
+    assert [got[i]["rejected"] for i in range(5)] == [True] * 5
+    assert sum(got[5 + i]["rejected"] for i in range(len(clean))) <= 0.03 * len(clean)
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
