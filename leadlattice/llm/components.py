@@ -31,9 +31,9 @@ def _hooked(edges: DataFrame) -> DataFrame:
     return both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
-def _by_stars(edges: DataFrame, max_rounds: int) -> DataFrame:
+def _by_stars(edges: DataFrame) -> DataFrame:
     now, mark = edges, None
-    for _ in range(max_rounds):
+    while True:
         now = materialize(_star(_star(now, large=True), large=False), "edges")
         was, mark = mark, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == was:
@@ -41,12 +41,12 @@ def _by_stars(edges: DataFrame, max_rounds: int) -> DataFrame:
     return now.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): the least node that links reach from it.
 
     Nodes without an edge are absent. Loops and repeated edges do no harm; an empty table gives an
     empty one. A first round hooks each node to its least neighbour and contracts the edges, which ends most graphs of
-    small groups; what is left, a small part of the edges, goes through star steps until nothing changes.
+    small groups; what is left, a small part of the edges, goes through star steps until nothing changes, which takes about the logarithm of the longest chain.
     Each round is written to the shared folder, so lineage stays short.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
@@ -57,5 +57,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     left = materialize(left.distinct(), "left")
     if left.isEmpty():
         return hooks.select(F.col("u").alias("node"), F.col("m").alias("component"))
-    roots = _by_stars(left, max_rounds).toDF("r", "root")
+    roots = _by_stars(left).toDF("r", "root")
     return hooks.join(roots, hooks["m"] == roots["r"], "left").select(F.col("u").alias("node"), F.coalesce("root", "m").alias("component"))

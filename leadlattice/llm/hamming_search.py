@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,10 +51,10 @@ def _masks(width: int, radius: int) -> list[int]:
     return out
 
 
-def _probes(code: Column, s: int, segment: tuple[int, int], radius: int) -> Column:
-    """All (segment, value) at the given distance from the code's own value."""
-    masks = F.array(*[F.lit(x).cast("long") for x in _masks(segment[1], radius)])
-    return F.transform(masks, lambda x: F.struct(F.lit(s).alias("segment"), _part(code, segment).bitwiseXOR(x).alias("value")))
+def _mask_table(spark: SparkSession, segments: list[tuple[int, int]], radius: int) -> DataFrame:
+    """(segment, mask) of every word with `radius` ones in each segment's width; a table, since there may be many."""
+    words = [(s, x) for s, g in enumerate(segments) if radius <= g[1] for x in _masks(g[1], radius)]
+    return spark.createDataFrame(pd.DataFrame(words, columns=["p_segment", "mask"], dtype="int64"), "p_segment int, mask long")
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, occupancy: int = 16) -> DataFrame:
@@ -90,8 +91,10 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, occupancy: int = 16
     ).select("code", "first_id", "e.*").hint("merge")  # neither probes nor entries have a bound, so neither is broadcast
     best, done, active = spark.createDataFrame([], state), None, materialize(asked.withColumn("bound", F.lit(BITS)), "active")
     for r in range(max(w for _, w in segments) + 1):
-        probes = [_probes(F.col("q"), s, g, r) for s, g in enumerate(segments) if r <= g[1]]
-        probing = active.select("query_id", "q", "bound", F.explode(F.concat(*probes)).alias("p")).select("query_id", "q", "bound", "p.*")
+        own = F.element_at(F.array(*[_part(F.col("q"), g) for g in segments]), F.col("p_segment") + 1)
+        asking = active.select("query_id", "q", "bound", F.explode(F.array(*[F.lit(s) for s in range(m)])).alias("p_segment"))
+        # A segment has at most 22 bits, so 705,432 masks.
+        probing = asking.join(F.broadcast(_mask_table(spark, segments, r)), "p_segment").withColumn("p_value", own.bitwiseXOR(F.col("mask")))
         apart = F.col("q").bitwiseXOR(F.col("code"))
         near = [F.bit_count(_part(apart, g)) for g in segments]
         first_here = F.lit(True)
@@ -102,8 +105,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, occupancy: int = 16
                     mine = mine & (near[other] >= r + (other < s))
             first_here = first_here & ((F.col("p_segment") != s) | mine)
         found = (
-            probing.withColumnsRenamed({"segment": "p_segment", "value": "p_value"})
-            .join(entries, (F.col("p_segment") == F.col("segment")) & (F.col("p_value") == F.col("value")) & (F.bit_count(apart) <= F.col("bound")) & first_here)
+            probing.join(entries, (F.col("p_segment") == F.col("segment")) & (F.col("p_value") == F.col("value")) & (F.bit_count(apart) <= F.col("bound")) & first_here)
             .select("query_id", "q", "code", "first_id", F.bit_count(apart).cast("int").alias("distance"))
         )
         by_code = Window.partitionBy("query_id", "q").orderBy("distance", "first_id")

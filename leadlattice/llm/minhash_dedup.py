@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadlattice.llm.common import materialize
+from leadlattice.llm.common import materialize, prefix_sums
 from leadlattice.llm.components import connected_components
 
 #: 25 bands of 5 values find a pair of similarity 0.8 with probability 1 - 5e-5.
@@ -206,3 +206,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     of_doc = linkable.join(by_class, "same").groupBy("doc_id").agg(F.min("of_class").alias("of_doc"))
     found = signed.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left").withColumn("component_id", F.coalesce("of_doc", "doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of docs, all columns, that stand for their group: one of each group of near-duplicate texts.
+
+    Of a group the row of the smallest doc_id stays. Rows of equal doc_id and text are one; of them the one of least hash over
+    all columns stays. Different texts of one doc_id are judged each by its own text; those but one
+    count as larger than all other ids. Rows without a doc_id stay, and so do texts without words. An empty table gives an empty one.
+    """
+    named = docs.where("doc_id is not null").withColumn("_mark", F.xxhash64("text"))
+    texts = named.select("doc_id", "_mark").distinct()
+    nth = materialize(prefix_sums(texts, ["doc_id"], ["_mark"], F.lit(1), "_nth").select(F.col("doc_id").cast("long").alias("_of"), F.col("_mark").alias("_as"), "_nth"), "nth")
+    top = nth.agg(F.max("_of")).first()[0] or 0
+    more = nth.where("_nth > 0").select("_of", "_as", (F.lit(top + 1) + F.monotonically_increasing_id()).alias("_other"))
+    more = materialize(more, "more")
+    nodes = named.join(more, (named["doc_id"] == more["_of"]) & (named["_mark"] == more["_as"]), "left").withColumn("_node", F.coalesce("_other", F.col("doc_id").cast("long")))
+    kept = near_duplicates(nodes.select(F.col("_node").alias("doc_id"), "text"), width, share).where("kept").select(F.col("doc_id").alias("_node")).distinct()
+    ones = nodes.join(kept, "_node", "left_semi").groupBy("_node").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    return ones.select("_row.*").union(docs.where(F.col("doc_id").isNull()))
