@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from leadlattice.llm import language_id, toxicity
+from leadlattice.llm import language_id, minhash_dedup, toxicity
 from leadlattice.llm.common import materialize, table
-from leadlattice.llm.minhash_dedup import near_duplicates
 from leadlattice.llm.mixing import mixed_documents
 from leadlattice.llm.packing import pack
 from leadlattice.llm.queries import tokenizer_paths
@@ -26,10 +24,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest doc_id; rows without a doc_id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    ones = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return ones.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    """One document of each group of near-duplicates, by five words and a similarity of 0.8."""
+    return minhash_dedup.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
