@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlattice.functions.text import let
@@ -84,3 +84,18 @@ def fuzzy_dice(a: Column, b: Column, floor: float = TOKEN_FLOOR) -> Column:
     start = F.struct(F.lit(0.0).alias("sum"), F.transform(b, lambda w: F.struct(w["token"].alias("token"), w["weight"].alias("weight"))).alias("left"))
     matched = F.aggregate(ranked, start, take, lambda s: s["sum"])
     return F.when((total(a) == 0) | (total(b) == 0), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * matched / (total(a) + total(b)))))
+
+
+def similar_tokens(one: DataFrame, two: DataFrame, floor: float = TOKEN_FLOOR) -> DataFrame:
+    """(a, b, ratio) of the tokens of two tables (token) whose ratio reaches the floor, from 80 on.
+
+    Of two such words no more than a fifth of the letters are unmatched, so their common letters stand in fewer runs than
+    there are letters, and some run has two: unequal words meet in their pairs of neighbouring letters only. Vocabularies are compared, not rows.
+    """
+    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))
+    a, b = one.select(F.col("token").alias("a")).distinct(), two.select(F.col("token").alias("b")).distinct()
+    same = a.join(b, F.col("a") == F.col("b")).select("a", "b")
+    each = lambda d, c: d.where(F.length(c) > 1).select(c, F.explode(F.array_distinct(pairs(F.col(c)))).alias("pair"))
+    most = F.lit(200.0) * F.least(F.length("a"), F.length("b")) / (F.length("a") + F.length("b"))
+    met = each(a, "a").join(each(b, "b"), "pair").where((F.col("a") != F.col("b")) & (most >= floor)).select("a", "b").distinct()
+    return same.withColumn("ratio", F.lit(100.0)).union(met.withColumn("ratio", ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= floor))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from leadlattice.functions import geo
 
@@ -38,6 +40,112 @@ def local_ring(outline: tuple[tuple[float, float], ...]) -> tuple[list[tuple[flo
     return [((b - lng) * across, (a - lat) * geo.KM_PER_DEGREE) for a, b in outline], lat, lng
 
 
+@dataclass(frozen=True)
+class Area:
+    """A ring in kilometres around a reference point."""
+
+    ring: tuple[tuple[float, float], ...]
+    lat: float
+    lng: float
+
+    @staticmethod
+    def circle(lat: float, lng: float, radius_km: float) -> Area:
+        return Area(tuple(geo.circle_ring(radius_km)), lat, lng)
+
+    @staticmethod
+    def polygon(points: tuple[tuple[float, float], ...]) -> Area:
+        ring, lat, lng = local_ring(points)
+        return Area(tuple(ring), lat, lng)
+
+    @property
+    def km2(self) -> float:
+        return geo.ring_area(self.ring)
+
+    def holds(self, lat: Column, lng: Column) -> Column:
+        return geo.in_ring(*geo.to_km(lat, lng, self.lat, self.lng), self.ring)
+
+
+def auto_half_side(km2: Column) -> Column:
+    """Half the side of a cell by the size of the area."""
+    return F.when(km2 <= 25, 1.5).when(km2 <= 120, 3.0).when(km2 <= 400, 4.0).otherwise(5.0)
+
+
+def cell_shapes(cells: DataFrame) -> DataFrame:
+    """Adds to cells the radius of their covering circle, their corners as north, south, east and west, which are the rectangle of a search."""
+    dy, dx = F.col("half_side_km") / geo.KM_PER_DEGREE, F.col("half_side_km") / (F.lit(geo.KM_PER_DEGREE) * F.cos(F.radians("lat")))
+    return cells.withColumn("radius_km", F.col("half_side_km") * math.sqrt(2) * geo.RADIUS_SLACK).withColumn("north", F.col("lat") + dy).withColumn("south", F.col("lat") - dy).withColumn("east", F.col("lng") + dx).withColumn("west", F.col("lng") - dx)
+
+
+def cover(spark: SparkSession, area: Area, half_side_km: float, max_cells: int = 400) -> DataFrame:
+    """(lat, lng, half_side_km, depth): the squares of a grid from the area's lower left corner that meet the area, which may be any polygon.
+
+    A square meets it if an edge runs through the square (their boxes overlap and the square's corners are not all on one side of the
+    edge), or if the square's centre is inside. The grid is bounded by max_cells, and so is its join with the edges.
+    """
+    if half_side_km <= 0:
+        raise ValueError("cells need a positive size")
+    xs, ys = [p[0] for p in area.ring], [p[1] for p in area.ring]
+    nx, ny = (max(1, math.ceil((max(v) - min(v)) / (2 * half_side_km))) for v in (xs, ys))
+    if nx * ny > 100 * max_cells:
+        raise ValueError("the area needs too many cells")
+    h = half_side_km
+    grid = spark.range(nx * ny).withColumn("x", F.lit(min(xs)) + h * (2 * F.pmod("id", F.lit(nx)) + 1)).withColumn("y", F.lit(min(ys)) + h * (2 * F.expr(f"id div {nx}") + 1))
+    edges = spark.createDataFrame(list(zip(*zip(*area.ring, strict=True), *zip(*[*area.ring[1:], area.ring[0]], strict=True), strict=True)), "x1 double, y1 double, x2 double, y2 double")
+    side = lambda sx, sy: (F.col("x2") - F.col("x1")) * (F.col("y") + sy * h - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("x") + sx * h - F.col("x1"))
+    sides = [side(sx, sy) for sx in (-1, 1) for sy in (-1, 1)]
+    boxes = (F.least("x1", "x2") <= F.col("x") + h) & (F.greatest("x1", "x2") >= F.col("x") - h) & (F.least("y1", "y2") <= F.col("y") + h) & (F.greatest("y1", "y2") >= F.col("y") - h)
+    through = boxes & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+    crossed = grid.crossJoin(F.broadcast(edges)).where(through).select("id").distinct().withColumn("crossed", F.lit(True))
+    cells = grid.join(crossed, "id", "left").where(F.coalesce("crossed", F.lit(False)) | geo.in_ring(F.col("x"), F.col("y"), area.ring))
+    if cells.count() > max_cells:
+        raise ValueError(f"the area needs more than {max_cells} cells")
+    a, b = geo.from_km(F.col("x"), F.col("y"), area.lat, area.lng)
+    return cells.select(a.alias("lat"), b.alias("lng"), F.lit(float(h)).alias("half_side_km"), F.lit(0).alias("depth"))
+
+
+def circle_points(circles: DataFrame, segments: int = 256) -> DataFrame:
+    """(area_id, at, lat, lng): the outline of circles (area_id, lat, lng, radius_km)."""
+    turn = F.lit(2 * math.pi) * F.col("at") / segments
+    d = circles.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))))
+    lat, lng = F.col("lat") + F.col("radius_km") * F.sin(turn) / geo.KM_PER_DEGREE, F.col("lng") + F.col("radius_km") * F.cos(turn) / (F.lit(geo.KM_PER_DEGREE) * F.cos(F.radians("lat")))
+    return d.select("area_id", "at", lat.alias("lat"), lng.alias("lng"))
+
+
+def densified(outlines: DataFrame, step_km: float = 0.5) -> DataFrame:
+    """Outlines (area_id, at, lat, lng) with points added so that neighbours are no farther apart than the step; outlines are closed."""
+    order = Window.partitionBy("area_id").orderBy("at")
+    first = Window.partitionBy("area_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(first))
+    d = outlines.withColumn("lat2", after("lat")).withColumn("lng2", after("lng"))
+    n = F.greatest(F.lit(1), F.ceil(geo.haversine_km(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")) / step_km)).cast("int")
+    d = d.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    share = F.col("k") / F.col("n")
+    return d.select("area_id", "at", "k", (F.col("lat") + share * (F.col("lat2") - F.col("lat"))).alias("lat"), (F.col("lng") + share * (F.col("lng2") - F.col("lng"))).alias("lng"))
+
+
+def check_areas(outlines: DataFrame, regions: dict = REGIONS, closed: tuple[str, ...] = (), step_km: float = 0.5) -> DataFrame:
+    """(area_id, verdict, region) of outlines (area_id, at, lat, lng): inside one open region with its tolerance, beyond it, or outside of all.
+
+    An area is inside if its whole outline is, of which points are tested that are no farther apart than the step. Among several
+    regions the one with most of the outline is named, ties by name.
+    """
+    points = densified(outlines, step_km)
+    open_ = {name: outline for name, (on, outline) in regions.items() if on and name not in closed}
+    if not open_:
+        return outlines.select("area_id").distinct().select("area_id", F.lit("no region is open").alias("verdict"), F.lit(None).cast("string").alias("region"))
+    counts = points.groupBy("area_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(in_region(F.col("lat"), F.col("lng"), outline)).alias(f"in_{name}") for name, outline in open_.items()])
+    best = F.array_min(F.array(*[F.struct((-F.col(f"in_{name}")).alias("m"), F.lit(name).alias("name")) for name in sorted(open_)]))
+    d = counts.withColumn("b", best)
+    most = -F.col("b.m")
+    return d.select("area_id", F.when(most == F.col("n"), "inside").when(most > 0, "beyond").otherwise("outside").alias("verdict"), F.when(most > 0, F.col("b.name")).alias("region"))
+
+
+def region_list(spark: SparkSession, regions: dict = REGIONS, closed: tuple[str, ...] = ()) -> DataFrame:
+    """(region, enabled, outline): what a map shows of open and closed markets."""
+    rows = [(name, on and name not in closed, [list(p) for p in outline] if on else None) for name, (on, outline) in regions.items()]
+    return spark.createDataFrame(rows, "region string, enabled boolean, outline array<array<double>>")
+
+
 def in_region(lat: Column, lng: Column, outline: tuple[tuple[float, float], ...], tolerance_km: float = TOLERANCE_KM) -> Column:
     ring, ref_lat, ref_lng = local_ring(outline)
     x, y = geo.to_km(lat, lng, ref_lat, ref_lng)
@@ -79,25 +187,27 @@ def subdivide(cells: DataFrame) -> DataFrame:
     return cells.select(F.explode(quarters).alias("q"), half.alias("half_side_km"), (F.col("depth") + 1).alias("depth")).select("q.*", "half_side_km", "depth")
 
 
-def sweep(cells: DataFrame, queries: DataFrame, search: Callable[[DataFrame], DataFrame], max_depth: int = 3) -> tuple[DataFrame, DataFrame]:
+def sweep(cells: DataFrame, queries: DataFrame, search: Callable[[DataFrame], DataFrame], max_depth: int = 3, max_cells: int = 400, area: Area | None = None) -> tuple[DataFrame, DataFrame]:
     """(places, unresolved cells) of an adaptive sweep.
 
-    `search` takes (lat, lng, half_side_km, depth, query) rows and returns them with the found rows' source_id and raw_count, the
-    number of results before any filter. Cells with a full result are quartered until the greatest depth; those still
-    full are reported. Rounds are few, so the loop on the driver only builds plans. First found wins, by depth,
-    then query and cell.
+    `search` takes (lat, lng, half_side_km, depth, query) rows and returns them with the found rows' source_id, their own place (place_lat, place_lng, if
+    an area trims them) and raw_count, the number of results before any filter. Cells with a full result are quartered until the greatest depth; those still
+    full, and those beyond `max_cells` in all, are reported. Rounds are few, so the loop on the driver only builds plans; each round asks its search again
+    unless that writes what it finds. First found wins, by depth, then query and cell.
     """
     found, open_cells, unresolved = None, cells, None
+    searched = cells.count()
     for depth in range(max_depth + 1):
-        got = search(open_cells.crossJoin(F.broadcast(queries))).persist()
+        got = search(open_cells.crossJoin(F.broadcast(queries)))
         found = got if found is None else found.unionByName(got)
         full = got.where(F.col("raw_count") >= RESULT_CAP).select("lat", "lng", "half_side_km", "depth").distinct()
-        if depth == max_depth:
-            unresolved = full
-        elif full.isEmpty():
+        n = full.count()
+        if not n or depth == max_depth or searched + 4 * n > max_cells:
             unresolved = full
             break
-        else:
-            open_cells = subdivide(full)
-    places = found.groupBy("source_id").agg(F.min_by(F.struct("depth", "query", "lat", "lng"), F.struct("depth", "query", "lat", "lng")).alias("f"))
+        searched += 4 * n
+        open_cells = subdivide(full)
+    if area is not None:
+        found = found.where(area.holds(F.col("place_lat"), F.col("place_lng")))
+    places = found.where("source_id is not null").groupBy("source_id").agg(F.min_by(F.struct("depth", "query", "lat", "lng"), F.struct("depth", "query", "lat", "lng")).alias("f"))
     return places.select("source_id", "f.*"), unresolved

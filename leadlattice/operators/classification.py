@@ -35,9 +35,14 @@ def prefilter(places: DataFrame) -> DataFrame:
     )
 
 
+def hash_uniform(c: Column) -> Column:
+    """A number from 0 to 1 by the digest of a text, the same in any engine."""
+    return F.conv(F.substring(F.md5(c.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+
+
 def sampled(key: Column, rate: Column | float, seed: int) -> Column:
     """A fixed pseudorandom share of keys, the same in every run and partitioning."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000 < rate
+    return hash_uniform(F.concat_ws(" ", key.cast("string"), F.lit(str(seed)))) < rate
 
 
 def classify(places: DataFrame, model_answers: DataFrame, seed: int = 3) -> DataFrame:
@@ -74,3 +79,9 @@ def resolve_category(answer: Column, query: Column) -> Column:
     a = F.lower(F.trim(answer))
     terms = F.create_map(*[F.lit(x) for pair in QUERY_CATEGORIES.items() for x in pair])
     return F.when(a.isNotNull() & ~a.isin("", "other", "none", "unclear"), a).otherwise(F.try_element_at(terms, query))
+
+
+def watched_rejects(classified: DataFrame, watch: tuple[str, ...], verdicts: tuple[str, ...] = ("not_relevant", "attraction_only")) -> DataFrame:
+    """(verdict, decided_by, records, watched): of the records that were turned away, those of which a listing type is watched."""
+    d = classified.where(F.col("verdict").isin(*verdicts))
+    return d.groupBy("verdict", "decided_by").agg(F.count(F.lit(1)).alias("records"), F.count_if(_any(F.col("types"), watch)).alias("watched"))

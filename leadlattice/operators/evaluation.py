@@ -10,6 +10,8 @@ from leadlattice.operators.linkage import band
 
 #: Minutes of a review, of a wasted call, and of a missed operator.
 REVIEW_MINUTES, WASTED_MINUTES, MISSED_MINUTES = 3, 20, 240
+#: Different values that a range of a quantile search holds about.
+ROWS_PER_RANGE = 100_000
 
 
 def outcomes(decisions: DataFrame, truth: DataFrame) -> DataFrame:
@@ -49,6 +51,17 @@ def confusion(judged: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rates(judged.groupBy(*by).agg(*counts) if by else judged.agg(*counts))
 
 
+def examples(judged: DataFrame, most: int = 8) -> DataFrame:
+    """(outcome, place_ids): the first places of each outcome by id; ranks stop at `most` before any shuffle."""
+    d = judged.withColumn("n", F.row_number().over(Window.partitionBy("outcome").orderBy("place_id"))).where(F.col("n") <= most)
+    return d.groupBy("outcome").agg(F.array_sort(F.collect_list("place_id")).alias("place_ids"))
+
+
+def expected_verdicts(truth: DataFrame) -> DataFrame:
+    """(place_id, true_supplier): the answer key of suppliers (supplier_id, place_id) with known truth."""
+    return truth.where("place_id is not null").groupBy("place_id").agg(F.min("supplier_id").alias("true_supplier"))
+
+
 def threshold_grid(spark: SparkSession, highs: list[float], lows: list[float]) -> DataFrame:
     """(seq, high, low) of all pairs with high above low."""
     rows = [(h, lo) for h in highs for lo in lows if h > lo]
@@ -80,22 +93,26 @@ def cheapest(costed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def nearest_rank_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
     """(p, value): the floor(p * n)-th smallest value from 0, exactly, without sorting all rows in one task.
 
-    Values are counted per range of a sampled partitioning; running counts name the range that holds each rank, and
-    only the rank inside that range is worked out.
+    Values are counted per range of a sampled partitioning, more of them for more values; running counts name the range that
+    holds each rank, and only those ranges are sorted.
     """
     spark = df.sparkSession
     v = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
     counts = v.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    cuts = v.approxQuantile("v", [i / 64 for i in range(1, 64)], 0.005) or [0.0]
-    at = F.lit(0)
-    for c in sorted(set(cuts)):
-        at = at + F.when(F.col("v") >= c, 1).otherwise(0)
+    parts = max(64, min(4096, counts.count() // ROWS_PER_RANGE))
+    cuts = sorted(set(v.approxQuantile("v", [i / parts for i in range(1, parts)], 0.1 / parts) or [0.0]))
+    steps = F.array(*[F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1)])
+    bounds = F.array(*[F.lit(c) for c in cuts])
+    # How many cuts are at or below the value, by halving.
+    at = F.aggregate(steps, F.lit(0), lambda acc, s: F.when((acc + s <= len(cuts)) & (F.get(bounds, acc + s - 1) <= F.col("v")), acc + s).otherwise(acc))
     ranged = counts.withColumn("r", at)
     base = ranged.groupBy("r").agg(F.sum("n").alias("m"))
     base = base.withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("m").over(Window.partitionBy()))
-    placed = ranged.join(F.broadcast(base.drop("m")), "r")
-    upto = F.col("before") + F.sum("n").over(Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = placed.select("v", "total", upto.alias("upto"), (upto - F.col("n")).alias("first"))
     ps = spark.createDataFrame([(p,) for p in shares], "p double")
     rank = F.least(F.col("total") - 1, F.floor(F.col("p") * F.col("total")))
-    return placed.crossJoin(F.broadcast(ps)).where((rank >= F.col("first")) & (rank < F.col("upto"))).select("p", F.col("v").alias("value"))
+    # Only ranges that hold a rank are sorted. Both sides here have at most a few thousand rows.
+    held = base.crossJoin(F.broadcast(ps)).withColumn("rank", rank).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("m")))
+    asked = held.groupBy("r", "before").agg(F.collect_list(F.struct("p", "rank")).alias("asked"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = ranged.join(F.broadcast(asked), "r").withColumn("upto", upto).withColumn("one", F.explode("asked"))
+    return placed.where((F.col("one.rank") >= F.col("upto") - F.col("n")) & (F.col("one.rank") < F.col("upto"))).select("one.p", F.col("v").alias("value"))

@@ -38,17 +38,11 @@ RULES = Rules()
 
 def with_keys(df: DataFrame, locale: text.Locale = text.CROATIA) -> DataFrame:
     """Adds the comparison keys of each row of (id, name, website, phone, address, lat, lng), once per row."""
-    return (
-        df.withColumn("name_words", text.name_tokens(F.col("name"), locale))
-        .withColumn("norm_name", F.array_join("name_words", " "))
-        .withColumn("name_set", F.array_sort(F.array_distinct("name_words")))
-        .withColumn("domain", text.identity_domain(F.col("website")))
-        .withColumn("e164", text.normalise_phone(F.col("phone"), locale))
-        .withColumn("address_set", text.address_tokens(F.col("address"), locale))
-        .withColumn("cell_lat", geo.geo_cell(F.col("lat")))
-        .withColumn("cell_lng", geo.geo_cell(F.col("lng")))
-        .drop("name_words")
-    )
+    d = df.withColumns({
+        "name_words": text.name_tokens(F.col("name"), locale), "domain": text.identity_domain(F.col("website")), "e164": text.normalise_phone(F.col("phone"), locale),
+        "address_set": text.address_tokens(F.col("address"), locale), "cell_lat": geo.geo_cell(F.col("lat")), "cell_lng": geo.geo_cell(F.col("lng")),
+    })
+    return d.withColumns({"norm_name": F.array_join("name_words", " "), "name_set": F.array_sort(F.array_distinct("name_words"))}).drop("name_words")
 
 
 def document_frequency(docs: DataFrame, tokens: str) -> DataFrame:
@@ -65,6 +59,13 @@ def idf_table(docs: DataFrame, tokens: str, n_docs: DataFrame, rules: Rules = RU
     )
 
 
+def explain_generic(idf: DataFrame, df: DataFrame, tokens: str) -> DataFrame:
+    """df with generic, its generic tokens in order, joined by a comma and a space."""
+    words = df.select("id", F.explode(F.array_distinct(tokens)).alias("token")).join(idf.where("is_generic").select("token"), "token")
+    found = words.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("token")), ", ").alias("generic"))
+    return df.join(found, "id", "left").withColumn("generic", F.coalesce("generic", F.lit("")))
+
+
 def corpus_size(*frames: DataFrame) -> DataFrame:
     every = frames[0].select(F.lit(1).alias("one"))
     for f in frames[1:]:
@@ -85,10 +86,12 @@ def weigh(keyed: DataFrame, names: DataFrame, addresses: DataFrame) -> DataFrame
     empty = lambda c: F.coalesce(c, F.array().cast("array<struct<token:string,weight:double,is_generic:boolean>>")).alias(c)
     joined = keyed.join(looked_up("name_set", names, "name_weights"), "id", "left").join(looked_up("address_set", addresses, "address_weights"), "id", "left")
     d = joined.select(*keyed.columns, empty("name_weights"), empty("address_weights"))
-    for side, kept in (("name", F.filter("name_weights", lambda w: ~w["is_generic"])), ("address", F.col("address_weights"))):
-        d = d.withColumn(f"{side}_weights", F.transform(kept, lambda w: F.struct(w["token"].alias("token"), w["weight"].alias("weight"))))
-        d = d.withColumn(f"{side}_telling", F.transform(f"{side}_weights", lambda w: w["token"])).withColumn(f"{side}_map", F.map_from_entries(f"{side}_weights"))
-        d = d.withColumn(f"{side}_total", F.aggregate(f"{side}_weights", F.lit(0.0), lambda acc, w: acc + w["weight"]))
+    sides = {"name": F.filter("name_weights", lambda w: ~w["is_generic"]), "address": F.col("address_weights")}
+    d = d.withColumns({f"{side}_weights": F.transform(kept, lambda w: F.struct(w["token"].alias("token"), w["weight"].alias("weight"))) for side, kept in sides.items()})
+    made = {}
+    for side in sides:
+        made |= {f"{side}_telling": F.transform(f"{side}_weights", lambda w: w["token"]), f"{side}_map": F.map_from_entries(f"{side}_weights"), f"{side}_total": F.aggregate(f"{side}_weights", F.lit(0.0), lambda acc, w: acc + w["weight"])}
+    d = d.withColumns(made)
     return d
 
 
@@ -156,11 +159,11 @@ def scored(pairs: DataFrame, fuzzy: bool = True, rules: Rules = RULES, weighted:
     else:
         name, address = token_set_ratio(F.col("p_name_set"), F.col("s_name_set")) / 100, jaccard(F.col("p_address_set"), F.col("s_address_set"))
         name = F.when((F.size("p_name_set") > 0) & (F.size("s_name_set") > 0), name)
-    d = pairs.withColumn("name_sim", name)
-    d = d.withColumn("km", F.when(F.col("s_lat").isNotNull() & F.col("s_lng").isNotNull(), geo.haversine_km(*[F.col(c) for c in ("p_lat", "p_lng", "s_lat", "s_lng")])))
-    d = d.withColumn("geo_sim", geo.geo_similarity(F.col("km")))
-    d = d.withColumn("address_sim", F.when((F.size("p_address_set") > 0) & (F.size("s_address_set") > 0), address))
-    d = d.withColumn("domain_conflict", F.coalesce(F.col("p_domain") != F.col("s_domain"), F.lit(False))).withColumn("phone_conflict", F.coalesce(F.col("p_e164") != F.col("s_e164"), F.lit(False)))
+    d = pairs.withColumns({
+        "name_sim": name, "km": F.when(F.col("s_lat").isNotNull() & F.col("s_lng").isNotNull(), geo.haversine_km(*[F.col(c) for c in ("p_lat", "p_lng", "s_lat", "s_lng")])),
+        "address_sim": F.when((F.size("p_address_set") > 0) & (F.size("s_address_set") > 0), address), "domain_conflict": F.coalesce(F.col("p_domain") != F.col("s_domain"), F.lit(False)),
+        "phone_conflict": F.coalesce(F.col("p_e164") != F.col("s_e164"), F.lit(False)),
+    }).withColumn("geo_sim", geo.geo_similarity(F.col("km")))
     parts = [(rules.name_weight, "name_sim"), (rules.geo_weight, "geo_sim"), (rules.address_weight, "address_sim")]
     weight = sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for w, c in parts[1:]), F.when(F.col(parts[0][1]).isNotNull(), parts[0][0]).otherwise(0.0))
     total = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for w, c in parts[1:]), F.coalesce(F.col(parts[0][1]), F.lit(0.0)) * parts[0][0])
@@ -230,14 +233,15 @@ def decide(places: DataFrame, decided_pairs: DataFrame, rules: Rules = RULES) ->
     """One row per place: place_id, supplier_id, verdict, score, confidence, decided_by, signal, runner_up, best_supplier, best_score (not rounded), evidence if there is any.
 
     A hard key decides before any score, by its precedence, then the smaller supplier id; otherwise the best score,
-    ties to the smaller id. Places without candidates are new. Aggregates keep the best two pairs, so no window sorts
-    a place's candidates.
+    ties to the smaller id. Places without candidates are new.
     """
     has_trail = "evidence" in decided_pairs.columns
     trail = ["evidence"] if has_trail else []
     key = F.struct(F.coalesce("hard_rank", F.lit(9)).alias("rank"), (-F.col("score")).alias("minus"), F.col("supplier_id").alias("sid"))
-    ranked = decided_pairs.withColumn("k", key)
-    best = ranked.groupBy("place_id").agg(F.min_by(F.struct("supplier_id", "score", "hard_signal", *trail), "k").alias("b"), F.slice(F.array_sort(F.collect_list(F.when(F.col("hard_rank").isNull(), F.struct((-F.col("score")).alias("m"))))), 1, 2).alias("top"))
+    # The two first pairs of each place: Spark keeps no more of a place than two in each task before the shuffle.
+    order = Window.partitionBy("place_id").orderBy("k")
+    two = decided_pairs.withColumn("k", key).withColumn("n", F.row_number().over(order)).where("n <= 2")
+    best = two.groupBy("place_id").agg(F.min_by(F.struct("supplier_id", "score", "hard_signal", *trail), "n").alias("b"), F.max(F.when(F.col("n") == 2, F.col("score"))).alias("second"))
     d = places.select(F.col("id").alias("place_id")).join(best, "place_id", "left")
     none, hard = F.col("b").isNull(), F.col("b.hard_signal").isNotNull()
     high, low, score = F.lit(rules.high), F.lit(rules.low), F.col("b.score")
@@ -250,7 +254,7 @@ def decide(places: DataFrame, decided_pairs: DataFrame, rules: Rules = RULES) ->
         F.when(none, 0.95).when(hard, 0.97).otherwise(F.round(confidence(score, high, low), 3)).alias("confidence"),
         F.when(none | hard, "hard_key").otherwise("fuzzy_score").alias("decided_by"),
         F.when(none, "no candidates").when(hard, F.concat(F.lit("exact "), F.col("b.hard_signal"))).otherwise("score").alias("signal"),
-        F.when(~none & ~hard, F.round(-F.try_element_at("top", F.lit(2))["m"], 4)).alias("runner_up"),
+        F.when(~none & ~hard, F.round("second", 4)).alias("runner_up"),
         F.col("b.supplier_id").alias("best_supplier"), score.alias("best_score"),
         *([F.col("b.evidence").alias("evidence")] if has_trail else []),
     )

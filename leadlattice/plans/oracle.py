@@ -44,9 +44,14 @@ def _ring_sql(outline: tuple) -> str:
     return rows
 
 
-def _region() -> str:
+def _region_outline() -> tuple:
     outline = areas.REGIONS["croatia"][1]
     _, lat, lng = areas.local_ring(outline)
+    return outline, lat, lng
+
+
+def _region() -> str:
+    outline, lat, lng = _region_outline()
     return f"""WITH {KEYS_SQL}, e(x1, y1, x2, y2) AS (VALUES {_ring_sql(outline)}),
 pt AS (SELECT id, (lng - {d(lng)}) * {d(111.32)} * cos(radians({d(lat)})) AS x, (lat - {d(lat)}) * {d(111.32)} AS y FROM key_v),
 m AS (SELECT id, x, y, x1, y1, x2, y2, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (power(x2 - x1, 2) + power(y2 - y1, 2)))) AS t FROM pt, e),
@@ -171,7 +176,7 @@ SELECT id, tier FROM r JOIN k USING (tier) WHERE rk <= take""",
     "site_text_cap": f"WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, html FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM h), t AS (SELECT host, n, {_TEXT} AS text FROM r WHERE n <= 3), j AS (SELECT host, count(*) AS n_pages, substr(string_agg(text, chr(10) || chr(10) ORDER BY n), 1, 12000) AS text FROM t WHERE text <> '' GROUP BY host) SELECT host, n_pages, length(text) AS n_chars, sha256(text) AS text_sha256 FROM j",
     "rate_limited": "WITH a AS (SELECT e.event_id AS id, (SELECT count(*) FROM events x WHERE x.user_id = e.user_id AND (x.ts < e.ts AND x.ts > e.ts - INTERVAL 6 HOUR OR x.ts = e.ts AND x.event_id < e.event_id)) AS earlier FROM events e) SELECT id, earlier, earlier >= 2 AS limited FROM a",
     "api_cost": f"SELECT sku, count(*) AS calls, round(count(*) * {d('rate')} / 1000, 4) AS usd, round(greatest(0, count(*) - free) * {d('rate')} / 1000, 4) AS usd_after_free FROM events JOIN {_SKUS} ON user_id % 5 = k GROUP BY sku, rate, free",
-    "token_cost": f"WITH t AS (SELECT event_type AS model, count(*) AS calls, sum(event_id % 997) AS i, sum(event_id % 89) AS o, sum(event_id % 13) AS w, sum(event_id % 211) AS r, bool_or(event_id % 5000 = 4999) AS b FROM events GROUP BY 1) SELECT model, calls, round(CASE WHEN b THEN {d(0.5)} ELSE {d(1)} END * ((i * {d(3)} + w * {d(3)} * {d(1.25)} + r * {d(3)} * {d(0.1)} + o * {d(15)}) / {d(1000000)}), 6) AS usd, round(r / {d('i + w + r')}, 3) AS cache_hit_rate FROM t",
+    "token_cost": f"WITH m(model, ri, ro) AS (VALUES ('click', {d(3)}, {d(15)}), ('view', {d(1)}, {d(5)}), ('signup', {d(3)}, {d(15)}), ('purchase', {d(0.25)}, {d(1.25)})), t AS (SELECT event_type AS model, count(*) AS calls, sum(event_id % 997) AS i, sum(event_id % 89) AS o, sum(event_id % 13) AS w, sum(event_id % 211) AS r, bool_or(event_id % 5000 = 4999) AS b FROM events GROUP BY 1) SELECT model, calls, round(CASE WHEN b THEN {d(0.5)} ELSE {d(1)} END * ((i * ri + w * ri * {d(1.25)} + r * ri * {d(0.1)} + o * ro) / {d(1000000)}), 6) AS usd, round(r / {d('i + w + r')}, 3) AS cache_hit_rate FROM t LEFT JOIN m USING (model)",
     "sweep_estimate": f"WITH s(cells, queries) AS (VALUES (4, 3), (9, 1), (24, 3), (400, 5)), c AS (SELECT *, CAST(trunc(cells * queries * {d(1.8)}) AS INTEGER) AS calls FROM s), m AS (SELECT *, CAST(trunc(calls * {d(1.6)}) AS INTEGER) AS calls_max FROM c), u AS (SELECT *, calls * {d(35)} / 1000 AS usd0, calls_max * {d(35)} / 1000 + calls_max * {d(10.75)} * {d(0.0012)} AS usd1 FROM m) SELECT cells, queries, calls, calls_max, {_cents('usd0')} AS usd, {_cents('usd1')} AS usd_max, {_cents(f'usd0 * {d(0.78)}')} AS gbp, {_cents(f'usd1 * {d(0.78)}')} AS gbp_max, CAST(trunc(calls * {d(0.35)} + calls * {d(10.75)} * {d(0.12)}) AS INTEGER) AS seconds, CAST(trunc(calls_max * {d(0.35)} + calls_max * {d(10.75)} * {d(0.12)}) AS INTEGER) AS seconds_max FROM u",
     "at_scale": f"WITH o AS (SELECT {d(0.98)} + {d(0.3657)} + {d(1.9639)} AS one), n(destinations) AS (VALUES (1), (10), (50), (200), (500)) SELECT destinations, round(one * destinations, 4) AS usd, round(one * destinations * {d(0.78)}, 4) AS gbp, round(destinations * {d(240)}, 2) AS manual_gbp, round(destinations * {d(240)} / (one * destinations * {d(0.78)}), 1) AS ratio FROM o, n",
     "taxonomy_prefixes": f"WITH {_TAX} SELECT array_to_string(parts, '/') AS path, parts[-1] AS name, CAST(len(parts) AS INTEGER) AS tier, CASE WHEN len(parts) > 1 THEN array_to_string(parts[1:len(parts) - 1], '/') END AS parent FROM node_v",

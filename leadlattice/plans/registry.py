@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leadlattice.functions import geo, text
 from leadlattice.functions.similarity import ratio
 from leadlattice.operators import areas, catalogue, classification, costs, evaluation, linkage, market, scoring, synthetic
-from leadlattice.plans import oracle, views
+from leadlattice.plans import build, build_sql, oracle, views
 from leadlattice.plans.views import places, suppliers, table
 from leadlattice.sources.files import lead_rows
 
@@ -48,12 +48,8 @@ def block_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return linkage.candidates(linkage.with_keys(places(spark, sf)), linkage.with_keys(suppliers(spark, sf)))
 
 
-def _linked(spark: SparkSession, sf: str) -> DataFrame:
-    return linkage.link(places(spark, sf), suppliers(spark, sf), fuzzy=False)
-
-
 def match_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    d = _linked(spark, sf)
+    d = views.linked(spark, sf)
     return d.select("place_id", "supplier_id", "verdict", F.round("score", 4).alias("score"), F.round("confidence", 3).alias("confidence"), "decided_by", "signal")
 
 
@@ -67,23 +63,17 @@ def token_lcs_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return t.alias("a").join(t.alias("b"), F.expr("a.token < b.token")).selectExpr("a.token as a", "b.token as b").withColumn("ratio", F.round(ratio(F.col("a"), F.col("b")), 6))
 
 
-def _truth(spark: SparkSession, sf: str) -> DataFrame:
-    p, s = (linkage.with_keys(x).where("norm_name <> ''") for x in (places(spark, sf), suppliers(spark, sf)))
-    first = s.groupBy("norm_name").agg(F.min("id").alias("true_supplier"))
-    return p.join(first, "norm_name").select(F.col("id").alias("place_id"), "true_supplier")
-
-
 def _rounded(df: DataFrame) -> DataFrame:
     names = ("precision", "recall", "f1", "review_rate", "automation_rate")
     return df.withColumns({c: F.round(c, 6) for c in names if c in df.columns})
 
 
 def confusion(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(evaluation.confusion(evaluation.outcomes(_linked(spark, sf), _truth(spark, sf))))
+    return _rounded(evaluation.confusion(evaluation.outcomes(views.linked(spark, sf), views.truth(spark, sf))))
 
 
 def _swept(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.sweep(_linked(spark, sf), _truth(spark, sf), evaluation.threshold_grid(spark, HIGHS, LOWS))
+    return evaluation.sweep(views.linked(spark, sf), views.truth(spark, sf), evaluation.threshold_grid(spark, HIGHS, LOWS))
 
 
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +90,7 @@ def cost_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def decisions_by_stage(spark: SparkSession, sf: str) -> DataFrame:
-    return _linked(spark, sf).groupBy(F.concat_ws("/", "verdict", "decided_by").alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+    return views.linked(spark, sf).groupBy(F.concat_ws("/", "verdict", "decided_by").alias("stage")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _leads(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,7 +193,7 @@ def api_cost(spark: SparkSession, sf: str) -> DataFrame:
 
 def token_cost(spark: SparkSession, sf: str) -> DataFrame:
     usage = table(spark, sf, "events").selectExpr("event_type as model", "event_id % 997 as input_tokens", "event_id % 89 as output_tokens", "event_id % 13 as cache_write_tokens", "event_id % 211 as cache_read_tokens", "event_id % 5000 = 4999 as batched")
-    return costs.token_cost(usage)
+    return costs.token_cost(usage, views.model_rates(spark))
 
 
 def sweep_estimate(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,8 +243,8 @@ _ALL = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _ALL}
+    return {q.__name__: q for q in [*_ALL, *build.ALL]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL
+    return oracle.SQL | build_sql.SQL

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadlattice.operators import linkage
+
 _FIRST_WORDS = "^[^\\p{L}]*(\\p{L}+(?:[^\\p{L}]+\\p{L}+){0,3})"
 
 
@@ -28,6 +30,46 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def linked(spark: SparkSession, sf_dir: str, fuzzy: bool = False) -> DataFrame:
+    """Decisions about every place. Many queries read them, so the plan is made once for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, fuzzy)
+    if key not in _PLANS:
+        _PLANS[key] = linkage.link(places(spark, sf_dir), suppliers(spark, sf_dir), fuzzy=fuzzy)
+    return _PLANS[key]
+
+
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(place_id, true_supplier): the first supplier of the same name."""
+    p, s = (linkage.with_keys(x).where("norm_name <> ''") for x in (places(spark, sf_dir), suppliers(spark, sf_dir)))
+    return p.join(s.groupBy("norm_name").agg(F.min("id").alias("true_supplier")), "norm_name").select(F.col("id").alias("place_id"), "true_supplier")
+
+
+def finds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discovered places with a classifier's answer and what was read on their websites, one for each part, by arithmetic on its key."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey as id", "p_name as name",
+        "case when p_partkey % 9 = 0 then null else concat('Riva ', p_partkey % 50 + 1, ', 21000 ', element_at(array('Split', 'Zadar', 'Šibenik', 'Omiš', 'Korčula', 'Nowhere'), cast(p_partkey % 6 + 1 as int)), case when p_partkey % 2 = 0 then concat(', ', element_at(array('Split', 'Zadar', 'Šibenik', 'Omiš', 'Korčula', 'Nowhere'), cast(p_partkey % 6 + 1 as int))) else '' end, ', Croatia') end as address",
+        "case when p_partkey % 4 = 0 then null else '021' end as phone", "case when p_partkey % 3 = 0 then null when p_partkey % 21 = 1 then '' else concat('https://www.s', p_partkey, '.hr') end as website",
+        "case when p_partkey % 17 = 0 then null else p_size / 10.0d end as rating", "case when p_partkey % 13 = 0 then null else p_partkey % 500 end as review_count",
+        "element_at(array(array('parking', 'atm'), array('bar', 'bank'), array('tour_agency', 'point_of_interest'), array('museum'), array('tour_agency', 'school')), cast(p_partkey % 5 + 1 as int)) as types",
+        "element_at(array('boat tour', 'Excursion', 'wine tasting', 'walking tour', 'things to do', 'unknown', null), cast(p_partkey % 7 + 1 as int)) as query",
+        "element_at(array('boat_tour', 'Other', 'none', null, 'Food_Drink', 'unclear', 'cultural', 'adventure'), cast(p_partkey % 8 + 1 as int)) as answer",
+        "case when p_partkey % 10 < 6 then 'experience_operator' when p_partkey % 10 < 8 then 'not_relevant' else 'attraction_only' end as verdict", "case when p_partkey % 4 = 0 then 'model' else 'rule' end as decided_by",
+        """case when p_partkey % 5 = 0 then null else named_struct('booking', element_at(array('online_booking', 'enquiry_form', 'phone_or_email_only', 'unclear'), cast(p_partkey % 4 + 1 as int)),
+          'languages', slice(array('en', 'hr', '', 'de'), 1, cast(p_partkey % 5 as int)), 'contact_email', case when p_partkey % 2 = 0 then 'a@b.hr' end,
+          'product_categories', case p_partkey % 6 when 0 then array('food_drink', 'other', 'adventure') when 1 then array('none') else array() end,
+          'marketplace_presence', case p_partkey % 7 when 0 then array('Viator.com', 'GetYourGuide') when 1 then array('TRIPADVISOR') else array() end) end as extract""",
+    )
+
+
+def model_rates(spark: SparkSession) -> DataFrame:
+    """USD per million tokens in and out, by model; one model of the usage has no rate."""
+    return spark.createDataFrame([("click", 3.0, 15.0), ("view", 1.0, 5.0), ("signup", 3.0, 15.0), ("purchase", 0.25, 1.25)], "model string, usd_in double, usd_out double")
+
+
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).where("id % 2 = 0")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PLACE = (
@@ -16,11 +18,17 @@ API_PLACE = (
     "rating double, userRatingCount long, types array<string>, businessStatus string"
 )
 LEAD_COLUMNS = (
-    "run_id string, run_at timestamp, run_date date, destination string, place_source_id string, name string, composite double, band string, quality double, readiness double, gap_fit double, "
-    "languages array<string>, evidence_json string"
+    "run_id string, run_at timestamp, run_date date, destination string, place_source_id string, name string, website string, phone string, address string, rating double, review_count long, "
+    "band string, composite double, quality double, readiness double, gap_fit double, category string, category_source string, viator_top string, viator_label string, viator_path string, "
+    "booking string, languages array<string>, evidence_json string"
 )
+#: Columns that every warehouse row has.
+REQUIRED = ("run_id", "run_at", "run_date", "place_source_id")
 #: Listing types that are left out when results are read.
-EXCLUDED_TYPES = ("lodging", "hotel", "restaurant", "cafe", "bar", "airport", "bus_station", "train_station")
+EXCLUDED_TYPES = (
+    "parking", "gas_station", "atm", "bank", "hospital", "pharmacy", "supermarket", "convenience_store", "car_repair", "car_wash", "post_office", "school",
+    "primary_school", "secondary_school", "university", "police", "fire_station", "cemetery", "storage", "real_estate_agency", "insurance_agency", "dentist", "doctor",
+)
 
 
 def read_places(spark: SparkSession, path: str) -> DataFrame:
@@ -46,19 +54,29 @@ def places_from_results(results: DataFrame, excluded: tuple[str, ...] = EXCLUDED
 
 
 def lead_rows(leads: DataFrame, run_at: datetime | None = None) -> DataFrame:
-    """Flat warehouse rows of scored leads: axis scores, languages without blanks, evidence as JSON, and the run's id and date in UTC."""
+    """Flat warehouse rows of scored and decorated leads: axis scores, languages without blanks, evidence as JSON, and the run's id and date in UTC."""
     at = (run_at or datetime.now(UTC)).astimezone(UTC)
     evidence = F.to_json(F.struct(F.col("quality_components").alias("quality"), F.col("readiness_components").alias("readiness"), F.col("gap_components").alias("gap_fit")))
     languages = F.filter(F.coalesce(F.col("extract.languages"), F.array().cast("array<string>")), lambda x: F.coalesce(x != "", F.lit(False)))
-    return leads.select(
-        F.lit(f"{at:%Y%m%dT%H%M%SZ}").alias("run_id"), F.lit(at).cast("timestamp").alias("run_at"), F.lit(at.date()).alias("run_date"), "destination", F.col("id").cast("string").alias("place_source_id"), "name",
-        F.round("composite", 4).alias("composite"), "band", F.round("quality", 4).alias("quality"), F.round("readiness", 4).alias("readiness"), F.round("gap_fit", 4).alias("gap_fit"),
-        languages.alias("languages"), evidence.alias("evidence_json"),
-    )
+    made = {
+        "run_id": F.lit(f"{at:%Y%m%dT%H%M%SZ}"), "run_at": F.lit(at).cast("timestamp"), "run_date": F.lit(at.date()), "place_source_id": F.col("id").cast("string"), "composite": F.round("composite", 4),
+        "quality": F.round("quality", 4), "readiness": F.round("readiness", 4), "gap_fit": F.round("gap_fit", 4), "review_count": F.col("review_count").cast("long"), "booking": F.col("extract.booking"),
+        "languages": languages, "evidence_json": evidence,
+    }
+    fields = [f.strip().split(" ", 1) for f in LEAD_COLUMNS.split(", ")]
+    # Columns that leads don't have yet are null.
+    given = lambda name, kind: F.col(name) if name in leads.columns else F.lit(None)
+    return leads.select(*[made.get(name, given(name, kind)).cast(kind).alias(name) for name, kind in fields])
 
 
 def append_leads(rows: DataFrame, path: str) -> None:
-    """Appends a run, partitioned by its date and clustered by destination and band; new columns join the schema of older files."""
+    """Appends a run, partitioned by its date and clustered by destination and band; new columns join the schema of older files.
+
+    Rows without a required column are an error that names how many there are; nothing is written then.
+    """
+    rejected = rows.where(" or ".join(f"{c} is null" for c in REQUIRED if c in rows.columns)).count()
+    if rejected:
+        raise ValueError(f"{rejected} rows lack one of {', '.join(REQUIRED)}")
     rows.sortWithinPartitions("destination", "band").write.mode("append").partitionBy("run_date").parquet(path)
 
 
@@ -66,6 +84,53 @@ def read_leads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header in every part and doubled quotes, as spreadsheets read it."""
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', quoteAll=False)
+def csv_field(c: Column) -> Column:
+    """A value as a CSV field: quoted where it holds a quote, comma or line break, with quotes doubled; null is empty."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(text.rlike("[\",\r\n]"), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def csv_lines(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(line) of each row; arrays are joined by semicolons."""
+    kinds = dict(df.dtypes)
+    cells = [F.array_join(F.col(c), ";") if kinds[c].startswith("array") else F.col(c) for c in columns or df.columns]
+    return df.select(F.concat_ws(",", *[csv_field(c) for c in cells]).alias("line"))
+
+
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """CSV as spreadsheets read it: a byte order mark and a header in every part, lines that end in carriage return and line feed."""
+    columns = columns or df.columns
+    header = "\ufeff" + ",".join(columns)
+
+    def with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            lines = [header] * first + batch.column(0).to_pylist()
+            first = False
+            yield pa.RecordBatch.from_arrays([pa.array([x + "\r" for x in lines], pa.string())], ["value"])
+
+    # The text writer ends each line with a line feed.
+    csv_lines(df, columns).mapInArrow(with_header, "value string").write.mode("overwrite").text(path)
+
+
+def read_last_wins(spark: SparkSession, path: str, schema: str, key: str, order: str) -> DataFrame:
+    """JSON records of which the last of each key counts: classifications and scored leads are landed again and again."""
+    d = spark.read.schema(schema).option("multiLine", True).json(path)
+    return last_wins(d, key, order)
+
+
+def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(key, "r.*")
+
+
+def write_document(parts: dict[str, DataFrame], path: str) -> None:
+    """One JSON document a run: each part, such as counts or bands, as an array under its name. Parts are reports; leads and logs are tables of their own."""
+    for name, df in parts.items():
+        df.withColumn("part", F.lit(name)).select("part", F.to_json(F.struct(*df.columns)).alias("record")).write.mode("append").partitionBy("part").json(path)
+
+
+def read_document(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """A part of a document that write_document wrote; a missing document is an error of Spark's reader."""
+    d = spark.read.schema("record string, part string").json(path).where(F.col("part") == name)
+    return d.select(F.from_json("record", schema).alias("r")).select("r.*")
