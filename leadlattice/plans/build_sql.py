@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadlattice.plans.oracle import _DEMAND, _HAVERSINE, MATCH_SQL, _ring_sql, d
+from leadlattice.plans.oracle import _DEMAND, MATCH_SQL, _ring_sql, d, lcs
 from leadlattice.plans.views import KEYS_SQL
 
 _TOWN = "(['Split', 'Zadar', 'Šibenik', 'Omiš', 'Korčula', 'Nowhere'])[p_partkey % 6 + 1]"
@@ -212,3 +212,39 @@ _PICK = "([{0}])[CAST(floor({1} * {2}) AS INTEGER) + 1]"
 SQL["synthetic_places"] = f"""WITH r AS (SELECT CAST(range AS BIGINT) AS id FROM range(500)), v AS (SELECT id, {_PICK.format("'Adria', 'Bura', 'Maestral', 'Sidro', 'Galeb', 'Val', 'Jedro', 'Otok'", u('first', 11), 8)} AS a, {_PICK.format("'Tours', 'Charter', 'Experience', 'Kayak', 'Wine', 'Walks'", u('second', 11), 6)} AS b,
 CAST(floor({u('town', 11)} * 3) AS INTEGER) + 1 AS t FROM r) SELECT id, a || ' ' || b || ' ' || id AS name, CASE WHEN {u('site', 11)} >= {d(0.22)} THEN 'https://www.p' || id || '.hr' END AS website, CASE WHEN {u('tel', 11)} >= {d(0.12)} THEN '+3852' || lpad(CAST(CAST(floor({u('digits', 11)} * 10000000) AS BIGINT) AS VARCHAR), 7, '0') END AS phone,
 round({d(3.2)} + {u('rating', 11)} * ({d(5)} - {d(3.2)}), 1) AS rating, round(([{d(43.5081)}, {d(44.1194)}, {d(43.1729)}])[t] + ({u('lat', 11)} * 2 - 1) * {d(0.05)}, 6) AS lat, round(([{d(16.4402)}, {d(15.2314)}, {d(16.4411)}])[t] + ({u('lng', 11)} * 2 - 1) * {d(0.05)}, 6) AS lng FROM v"""
+
+#: Words of places and suppliers of which no more than 15 % of the letters are unmatched. Such words share a pair of neighbouring letters, or are equal.
+_PAIRS_OF = "list_transform(range(1, greatest(1, length({0}))), lambda i: substr({0}, CAST(i AS INTEGER), 2))"
+
+
+def _similar(name: str, tokens: str) -> str:
+    return f"""{name}_a AS (SELECT DISTINCT token AS a, {_PAIRS_OF.format('token')} AS pa FROM {tokens} WHERE id % 2 = 0), {name}_b AS (SELECT DISTINCT token AS b, {_PAIRS_OF.format('token')} AS pb FROM {tokens} WHERE id % 2 = 1),
+{name}_m AS MATERIALIZED (SELECT a, b FROM {name}_a JOIN {name}_b ON a <> b AND list_has_any(pa, pb) AND 200 * least(length(a), length(b)) >= 85 * (length(a) + length(b))),
+{name} AS MATERIALIZED (SELECT a, b, {d(100)} AS ratio FROM {name}_a JOIN {name}_b ON a = b UNION ALL SELECT a, b, ratio FROM (SELECT a, b, {d(200)} * ({lcs('a', 'b')}) / (length(a) + length(b)) AS ratio FROM {name}_m) WHERE ratio >= 85)"""
+
+
+def _greedy(name: str, tokens: str, like: str) -> str:
+    """Of each pair of names or addresses the weight of its matches: the most telling word first takes the most similar one that is left."""
+    return f"""{name}_e AS (SELECT pid, sid, x.token AS a, x.w AS aw, list({{'b': y.token, 'w': y.w, 'r': ratio}} ORDER BY ratio DESC, y.token) AS e
+  FROM cand_v JOIN {tokens} x ON x.id = pid JOIN {like} l ON l.a = x.token JOIN {tokens} y ON y.id = sid AND y.token = l.b GROUP BY pid, sid, x.token, x.w),
+{name} AS (SELECT pid, sid, list_reduce(list({{'aw': aw, 'e': e}} ORDER BY aw DESC, a), lambda acc, g: CASE WHEN len(list_filter(g.e, lambda t: NOT list_contains(acc.used, t.b))) = 0 THEN acc
+  ELSE {{'s': acc.s + least(g.aw, list_filter(g.e, lambda t: NOT list_contains(acc.used, t.b))[1].w) * list_filter(g.e, lambda t: NOT list_contains(acc.used, t.b))[1].r / 100, 'used': list_append(acc.used, list_filter(g.e, lambda t: NOT list_contains(acc.used, t.b))[1].b)}} END,
+  {{'s': {d(0)}, 'used': CAST([] AS VARCHAR[])}}).s AS w FROM {name}_e GROUP BY pid, sid)"""
+
+
+def _fuzzy() -> str:
+    exact = [f"{n} AS (SELECT pid, sid, sum(x.w) AS w FROM cand_v JOIN {t} x ON x.id = pid JOIN {t} y ON y.id = sid AND y.token = x.token GROUP BY 1, 2)" for n, t in (("nsh", "nt"), ("ash", "ads"))]
+    made = [_similar("like_n", "nt") + ", " + _greedy("nsh", "nt", "like_n"), _similar("like_a", "ads") + ", " + _greedy("ash", "ads", "like_a")]
+    sql = MATCH_SQL
+    for old, new in zip(exact, made, strict=True):
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql
+
+
+SQL["match_verdicts_fuzzy"] = f"""{_fuzzy()}, second_w AS (SELECT pid, score FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY coalesce(hard, 9), score DESC, sid) AS rk FROM score_w) WHERE rk = 2)
+SELECT place_id, CASE WHEN verdict <> 'net_new' THEN best_supplier END AS supplier_id, verdict, CASE WHEN nobody THEN 0 WHEN hard IS NOT NULL THEN 1 ELSE round(best_score, 4) END AS score,
+  round(CASE WHEN nobody THEN {d(0.95)} WHEN hard IS NOT NULL THEN {d(0.97)} WHEN verdict = 'existing' THEN least(1, {d(0.5)} + (best_score - {d(0.8)}) * 2) WHEN verdict = 'net_new' THEN least(1, {d(0.5)} + ({d(0.65)} - best_score) * 2)
+    ELSE {d(0.5)} * (1 - abs(best_score - ({d(0.8)} + {d(0.65)}) / 2) / (({d(0.8)} - {d(0.65)}) / 2)) END, 3) AS confidence, decided_by,
+  CASE WHEN nobody THEN 'no candidates' WHEN hard IS NULL THEN 'score' ELSE 'exact ' || (['domain', 'domain and name', 'phone and name', 'name and premises'])[hard] END AS signal,
+  CASE WHEN NOT nobody AND hard IS NULL THEN round(score, 4) END AS runner_up FROM decided_v LEFT JOIN second_w ON pid = place_id"""

@@ -54,7 +54,15 @@ def match_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def match_verdicts_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    return linkage.link(places(spark, sf), suppliers(spark, sf), fuzzy=True, trail=True).drop("best_score")
+    """With misspelt words: the full score, and the score of the next best supplier."""
+    d = views.linked(spark, sf, fuzzy=True)
+    return d.select("place_id", "supplier_id", "verdict", F.round("score", 4).alias("score"), F.round("confidence", 3).alias("confidence"), "decided_by", "signal", "runner_up")
+
+
+def match_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """The trail behind every decision, as text: what a reviewer is shown."""
+    d = linkage.link(places(spark, sf), suppliers(spark, sf), fuzzy=False, trail=True)
+    return d.select("place_id", F.array_join(F.transform("evidence", lambda e: e["signal"]), ";").alias("signals"), F.array_join(F.transform("evidence", lambda e: e["detail"]), ";").alias("details"))
 
 
 def token_lcs_ratio(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,7 +243,7 @@ def corruption_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = [
-    name_key, idf, generic_tokens, shared_domains, site_domains, block_candidates, match_verdicts, match_verdicts_fuzzy, token_lcs_ratio, confusion, threshold_sweep, threshold_grid_cost,
+    name_key, idf, generic_tokens, shared_domains, site_domains, block_candidates, match_verdicts, match_verdicts_fuzzy, match_evidence, token_lcs_ratio, confusion, threshold_sweep, threshold_grid_cost,
     cost_sensitivity, decisions_by_stage, lead_scores, band_cutoffs, bands, category_gaps, rule_classification, stratified_sample, nearest_rank_quantiles, first_wins, distance,
     point_in_region, cover_circle, quadtree_cells, html_text, site_text_cap, rate_limited, api_cost, token_cost, sweep_estimate, at_scale, taxonomy_prefixes, taxonomy_coverage,
     warehouse_rows, synthetic_suppliers, shared_phones, corruption_histogram,
