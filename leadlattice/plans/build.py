@@ -36,12 +36,12 @@ def scored_finds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def find_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return scored_finds(spark, sf).select("id", *[F.round(c, 4).alias(c) for c in ("quality", "readiness", "gap_fit", "composite")], "band")
+    return scored_finds(spark, sf).select("id", *[F.round(c, 6).alias(c) for c in ("quality", "readiness", "gap_fit", "composite")], "band")
 
 
 def warehouse_columns(spark: SparkSession, sf: str) -> DataFrame:
     rows = files.lead_rows(scored_finds(spark, sf), datetime(2026, 1, 2, 3, 4, 5, tzinfo=UTC))
-    kept = [c for c in rows.columns if c not in ("evidence_json", "run_at", "run_date", "languages")]
+    kept = [c for c in rows.columns if c not in ("evidence_json", "run_at", "run_date", "languages", "composite")]
     return rows.select(*kept, F.date_format("run_at", "yyyy-MM-dd HH:mm:ss").alias("run_at"), F.col("run_date").cast("string").alias("run_date"), F.array_join("languages", ",").alias("languages"), F.size(F.from_json("evidence_json", "map<string,string>")).alias("axes"))
 
 
@@ -81,11 +81,11 @@ def already_known(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top_and_bottom(spark: SparkSession, sf: str) -> DataFrame:
-    return leads.top_and_bottom(scored_finds(spark, sf).withColumn("composite", F.round("composite", 4)))
+    return leads.top_and_bottom(scored_finds(spark, sf).withColumn("composite", F.round("composite", 6)))
 
 
 def leads_page(spark: SparkSession, sf: str) -> DataFrame:
-    return leads.leads_page(scored_finds(spark, sf).withColumn("composite", F.round("composite", 4))).select("id", "composite")
+    return leads.leads_page(scored_finds(spark, sf).withColumn("composite", F.round("composite", 6))).select("id", "composite")
 
 
 def site_first(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +106,7 @@ def console_tallies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sweep_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return leads.sweep_scores(scored_finds(spark, sf)).select("id", F.round("composite", 4).alias("composite"), "enriched")
+    return leads.sweep_scores(scored_finds(spark, sf)).select("id", F.round("composite", 6).alias("composite"), "enriched")
 
 
 def search_terms(spark: SparkSession, sf: str) -> DataFrame:

@@ -131,8 +131,8 @@ _STOPPED = "('tours','tour','travel','agency','excursions','adventure','adventur
 SQL = {
     "lead_decoration": f"WITH {FIND_SQL} SELECT id, category, viator_label, viator_path, viator_top, category_source, CASE WHEN category_source = 'website' THEN 'food_drink,adventure' END AS sells_categories, CASE WHEN category_source = 'website' THEN 'Food & Drink,Extreme Sports' END AS viator_labels, marketplaces, marketplaces LIKE '%viator%' AS claims_viator, marketplaces LIKE '%tripadvisor%' AS claims_tripadvisor, coalesce(website, '') = '' AS no_website, locality FROM deco_v",
     "address_destination": f"WITH {SCORE_SQL} SELECT id, CASE WHEN id % 25 = 0 THEN 'hvar' ELSE destination END AS destination FROM at_v",
-    "find_scores": f"WITH {SCORE_SQL} SELECT id, round(quality, 4) AS quality, round(readiness, 4) AS readiness, round(gap_fit, 4) AS gap_fit, round(composite, 4) AS composite, band FROM banded_v",
-    "warehouse_columns": f"WITH {SCORE_SQL} SELECT '20260102T030405Z' AS run_id, '2026-01-02 03:04:05' AS run_at, '2026-01-02' AS run_date, destination, CAST(id AS VARCHAR) AS place_source_id, name, website, phone, address, rating, review_count, band, round(composite, 4) AS composite, round(quality, 4) AS quality, round(readiness, 4) AS readiness, round(gap_fit, 4) AS gap_fit, category, category_source, viator_top, viator_label, viator_path, booking, languages, 3 AS axes FROM banded_v",
+    "find_scores": f"WITH {SCORE_SQL} SELECT id, round(quality, 6) AS quality, round(readiness, 6) AS readiness, round(gap_fit, 6) AS gap_fit, round(composite, 6) AS composite, band FROM banded_v",
+    "warehouse_columns": f"WITH {SCORE_SQL} SELECT '20260102T030405Z' AS run_id, '2026-01-02 03:04:05' AS run_at, '2026-01-02' AS run_date, destination, CAST(id AS VARCHAR) AS place_source_id, name, website, phone, address, rating, review_count, band, round(quality, 4) AS quality, round(readiness, 4) AS readiness, round(gap_fit, 4) AS gap_fit, category, category_source, viator_top, viator_label, viator_path, booking, languages, 3 AS axes FROM banded_v",
     "csv_export": f"WITH {FIND_SQL} SELECT id || ',' || {_CSV.format(chr(39) + 'a' + chr(34) + chr(39) + ' || name')} || ',' || CASE WHEN address IS NULL THEN '' ELSE '\"' || address || '\"' END || ',' || CASE WHEN id % 7 = 0 THEN '\"two' || chr(10) || 'lines\"' ELSE '' END || ',x;y' AS line FROM find_v",
     "review_queue": f"{MATCH_SQL} SELECT place_id, p.name AS discovered_name, p.address AS discovered_address, p.website AS discovered_website, p.phone AS discovered_phone, {_LOCALITY} AS locality, s.id AS supplier_id, s.name AS supplier_name, s.address AS supplier_address, {_SCORE} AS score, {_CONFIDENCE} AS confidence FROM decided_v JOIN {_PLACES_AND_SUPPLIERS} WHERE verdict = 'needs_review'",
     "match_log": f"{MATCH_SQL} SELECT place_id, s.id AS supplier_id, p.name AS discovered_name, s.name AS supplier_name, s.phone AS supplier_phone, s.website AS supplier_website, decided_by, {_CONFIDENCE} AS confidence, '2026-01-02' AS matched_on FROM decided_v JOIN {_PLACES_AND_SUPPLIERS} WHERE verdict = 'existing'",
@@ -141,13 +141,13 @@ count(*) FILTER (verdict = 'needs_review') AS needs_review, count(*) FILTER (NOT
 count(*) FILTER (verdict = 'needs_review' AND NOT known) AS net_new_held_in_review, (SELECT count(*) FROM documents) AS places_discovered, count(*) AS operators, count(*) FILTER (verdict = 'net_new') AS leads_scored, (SELECT count(*) FROM supplier_v) AS suppliers_on_file, (SELECT count(*) FROM documents) - count(*) AS not_relevant FROM j""",
     "lead_gate": f"{MATCH_SQL} SELECT count(*) FILTER (verdict = 'net_new') AS net_new, count(*) FILTER (verdict <> 'net_new') AS intruders FROM decided_v WHERE place_id % 3 = 0",
     "already_known": "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'matched' WHEN p_partkey % 7 = 0 THEN 'review' WHEN p_partkey % 2 = 0 THEN 'leads' END AS known_in, CASE WHEN p_partkey % 10 = 0 THEN 'Already a known supplier, matched 2026-01-02' WHEN p_partkey % 5 = 0 THEN 'Already a known supplier, matched' WHEN p_partkey % 7 = 0 THEN 'Already awaiting human review' WHEN p_partkey % 2 = 0 THEN 'Already a lead, band ' || (['A', 'B', '?'])[p_partkey % 3 + 1] END AS known_label FROM part",
-    "top_and_bottom": f"WITH {SCORE_SQL}, r AS (SELECT id, round(composite, 4) AS composite FROM scored_v), t AS (SELECT *, row_number() OVER (ORDER BY composite DESC, id) AS up, row_number() OVER (ORDER BY composite, id DESC) AS down FROM r) SELECT 'top' AS place, CAST(up AS INTEGER) AS rank, id, composite FROM t WHERE up <= 12 UNION ALL SELECT 'bottom', CAST(down AS INTEGER), id, composite FROM t WHERE down <= 4",
-    "leads_page": f"WITH {SCORE_SQL} SELECT id, round(composite, 4) AS composite FROM scored_v ORDER BY round(composite, 4) DESC, id LIMIT 200",
+    "top_and_bottom": f"WITH {SCORE_SQL}, r AS (SELECT id, round(composite, 6) AS composite FROM scored_v), t AS (SELECT *, row_number() OVER (ORDER BY composite DESC, id) AS up, row_number() OVER (ORDER BY composite, id DESC) AS down FROM r) SELECT 'top' AS place, CAST(up AS INTEGER) AS rank, id, composite FROM t WHERE up <= 12 UNION ALL SELECT 'bottom', CAST(down AS INTEGER), id, composite FROM t WHERE down <= 4",
+    "leads_page": f"WITH {SCORE_SQL} SELECT id, round(composite, 6) AS composite FROM scored_v ORDER BY round(composite, 6) DESC, id LIMIT 200",
     "site_first": f"WITH {FIND_SQL} SELECT id, website FROM find_v ORDER BY coalesce(website, '') = '', id LIMIT 40",
     "console_filter": f"WITH {FIND_SQL} SELECT id, locality, category FROM deco_v WHERE locality = '21000 Zadar' AND id % 11 <> 0",
     "filter_options": f"WITH {FIND_SQL}, f AS (SELECT 'locality' AS field, locality AS value FROM deco_v UNION ALL SELECT 'category', category FROM deco_v) SELECT field, value, count(*) AS n FROM f WHERE value <> '' GROUP BY 1, 2",
     "console_tallies": f"WITH {SCORE_SQL} SELECT count(*) AS leads, count(*) FILTER (band = 'A') AS band_a, count(*) FILTER (band = 'B') AS band_b, count(*) FILTER (band = 'C') AS band_c, count(*) FILTER (marketplaces = 'tripadvisor') AS tripadvisor_not_viator, count(*) FILTER (gap_fit > 0) AS in_a_gap, count(*) FILTER (coalesce(website, '') = '') AS no_website FROM banded_v",
-    "sweep_scores": f"WITH {SCORE_SQL} SELECT id, round(composite, 4) AS composite, false AS enriched FROM scored_v",
+    "sweep_scores": f"WITH {SCORE_SQL} SELECT id, round(composite, 6) AS composite, false AS enriched FROM scored_v",
     "search_terms": "WITH t(term) AS (VALUES ('Boat Tour'), ('island hopping'), ('wine tasting'), ('walking tour'), ('Diving centre')), a(nr, term) AS (VALUES (0, 'boat tour '), (1, 'spa day'), (2, 'ZIPLINE'), (3, 'Wine Tasting'), (4, 'diving centre'), (5, 'walking tour')), j AS (SELECT a.nr, a.term, t.term AS canonical FROM a LEFT JOIN t ON lower(trim(a.term)) = lower(t.term)) SELECT nr AS \"at\", term, canonical, canonical IS NOT NULL AND (SELECT count(*) FROM j k WHERE k.nr <= j.nr AND k.canonical IS NOT NULL) <= 3 AS accepted FROM j",
     "terms_by_category": "SELECT * FROM (VALUES ('boat_tour', 'Boat Tour,island hopping'), ('food_drink', 'wine tasting'), ('walking_tour', 'walking tour'), ('water_sports', 'Diving centre')) v(category, terms)",
     "classification_rows": f"""WITH {FIND_SQL}, c AS (SELECT id, CASE WHEN id % 5 IN (0, 4) THEN 'not_relevant' WHEN id % 5 = 2 THEN 'experience_operator' END AS ruled, CASE WHEN id % 6 <> 5 THEN verdict END AS said, CASE WHEN id % 6 <> 5 THEN CAST(id % 100 AS DOUBLE) / 100 END AS sure,

@@ -107,7 +107,7 @@ def test_costs(spark):
     assert [(r["calls"], r["calls_max"], r["usd"], r["usd_max"], r["gbp"], r["gbp_max"], r["seconds"], r["seconds_max"]) for r in got] == [
         (21, 33, 0.73, 1.58, 0.57, 1.23, 34, 54), (16, 25, 0.56, 1.2, 0.44, 0.93, 26, 41), (129, 206, 4.51, 9.87, 3.52, 7.7, 211, 337)]
     u = spark.createDataFrame([("m", 1_000_000, 0, 0, 0, False), ("b", 1_000_000, 0, 0, 0, True), ("c", 100, 0, 0, 900, False)], "model string, input_tokens long, output_tokens long, cache_write_tokens long, cache_read_tokens long, batched boolean")
-    t = {r["model"]: (r["usd"], r["cache_hit_rate"]) for r in costs.token_cost(u).collect()}
+    t = {r["model"]: (r["usd"], r["cache_hit_rate"]) for r in costs.token_cost(u, spark.createDataFrame([(m, 3.0, 15.0) for m in "mbc"], "model string, usd_in double, usd_out double")).collect()}
     assert (t["m"][0], t["b"][0], t["c"][1]) == (3.0, 1.5, 0.9)
     assert costs.unknown_skus(spark.createDataFrame([("x",), ("geocoding",)], "sku string"), costs.rate_table(spark)).count() == 1
 
