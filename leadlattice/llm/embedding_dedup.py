@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,10 @@ from leadlattice.llm.components import connected_components
 TABLES, PROBES = 8, 5
 #: Tables are added until a pair at the threshold is missed by all of them no more often than this.
 MISS = 2.5e-4
-#: Two vectors of cosine 0.9 differ in 18 of 128 projected signs on average, with a deviation of 4: seven are allowed.
-SIGN_WORDS, SIGN_LIMIT = 2, 46
+#: Two vectors of cosine 0.9 differ in 18 of 128 projected signs on average, with a deviation of 4: seven deviations are allowed.
+SIGN_WORDS, SIGN_DEVIATIONS = 2, 7
+#: Radians by which an angle must clear the threshold's before it decides for a whole ball; rounding stays below 1e-7.
+SLACK = 1e-6
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -112,6 +116,83 @@ def _cosine(one: Column, two: Column) -> Column:
     return dot(one, two) / (F.sqrt(dot(one, one)) * F.sqrt(dot(two, two)))
 
 
+def _angle(one: Column, two: Column) -> Column:
+    return F.acos(F.least(F.greatest(_cosine(one, two), F.lit(-1.0)), F.lit(1.0)))
+
+
+def _signs_apart(one: str, two: str) -> Column:
+    return reduce(operator.add, [F.bit_count(F.col(one)[i].bitwiseXOR(F.col(two)[i])) for i in range(SIGN_WORDS)])
+
+
+def _signs_allowed(angle: Column) -> Column:
+    """The most signs in which two vectors at this angle differ: the mean and seven deviations, rounded up."""
+    share, words = F.least(angle / math.pi, F.lit(1.0)), 64 * SIGN_WORDS
+    return F.ceil(share * words + SIGN_DEVIATIONS * F.sqrt(share * (1 - share) * words))
+
+
+def _angle_of(threshold: float) -> float:
+    return math.acos(min(1.0, max(-1.0, threshold)))
+
+
+def _balls(classes: DataFrame, hashed: DataFrame, threshold: float) -> DataFrame:
+    """(id, ball, n, turn) of each class: the pivot of its ball and its angle to it.
+
+    The pivot of a bucket is its least id, a map-side combined aggregate. A class goes to the least pivot of its
+    buckets that lies within half the threshold's angle, or else is its own ball. By the triangle inequality
+    all members of a ball link. A pivot may itself belong to the ball of a lesser one.
+    """
+    half = (_angle_of(threshold) - SLACK) / 2
+    own = hashed.select("id", "signs", F.explode("own").alias("key"))
+    pivots = own.groupBy("key").agg(F.min(F.struct("id", "signs")).alias("p")).select("key", F.col("p.id").alias("ball"), F.col("p.signs").alias("signs_p"))
+    near = own.join(pivots, "key").where((F.col("ball") < F.col("id")) & (_signs_apart("signs", "signs_p") <= _signs_allowed(F.lit(max(0.0, half))))).select("id", "ball").distinct()
+    v, v_p = classes.select("id", "v"), classes.select(F.col("id").alias("ball"), F.col("v").alias("v_p"))
+    inside = near.join(v, "id").join(v_p, "ball").withColumn("turn", _angle(F.col("v"), F.col("v_p"))).where(F.col("turn") <= half)
+    chosen = inside.groupBy("id").agg(F.min("ball").alias("ball"), F.min_by("turn", "ball").alias("turn"))
+    return classes.select("id", "n").join(chosen, "id", "left").select("id", F.coalesce("ball", "id").alias("ball"), "n", F.coalesce("turn", F.lit(0.0)).alias("turn"))
+
+
+def _meetings(hashed: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) with a < b: balls of which one has a member's own bucket among the own and probed buckets of the other's."""
+    ball = members.groupBy("ball").agg(F.max("turn").alias("turn"), F.count(F.lit(1)).alias("size"))
+    signs = ball.join(hashed.select(F.col("id").alias("ball"), "signs"), "ball")
+    keys = hashed.join(members.select("id", "ball"), "id").join(signs.select("ball", "size"), "ball")
+
+    def buckets(column: Column) -> DataFrame:
+        # The buckets of one class differ; those of several are brought together before they meet others.
+        lone, shared = (keys.where(c).select("ball", F.explode(column).alias("key")) for c in ("size = 1", "size > 1"))
+        return lone.union(shared.distinct()).join(signs.select("ball", "signs", "turn"), "ball")
+
+    asking = buckets(F.concat("own", "probed")).select("key", *[F.col(c).alias(f"{c}_a") for c in ("ball", "signs", "turn")])
+    asked = buckets(F.col("own")).select("key", *[F.col(c).alias(f"{c}_b") for c in ("ball", "signs", "turn")])
+    close = _signs_apart("signs_a", "signs_b") <= _signs_allowed(F.lit(_angle_of(threshold)) + F.col("turn_a") + F.col("turn_b"))
+    pairs = asking.join(asked, "key").where((F.col("ball_a") != F.col("ball_b")) & close)
+    return pairs.select(F.least("ball_a", "ball_b").alias("a"), F.greatest("ball_a", "ball_b").alias("b")).distinct()
+
+
+def _ball_links(classes: DataFrame, members: DataFrame, balls: DataFrame, met: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The balls that link as wholes (a, b, n_a, n_b, first_a, first_b), and the links of single members of other balls
+    that met (id_a, id_b, n_a, n_b, first_a, first_b)."""
+    angle = _angle_of(threshold)
+    side = balls.join(classes.select(F.col("id").alias("ball"), "v"), "ball")
+    sides = [side.select(F.col("ball").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("v", "first", "n", "turn", "size")]) for s in "ab"]
+    pairs = met.join(sides[0], "a").join(sides[1], "b").where(F.size("v_a") == F.size("v_b"))
+    # A ball of one class that is its own pivot is that vector: the exact cosine decides.
+    exact = F.expr("size_a = 1 and first_a = a and size_b = 1 and first_b = b")
+    turn, reach = _angle(F.col("v_a"), F.col("v_b")), F.col("turn_a") + F.col("turn_b")
+    verdict = (
+        F.when(exact, F.when(_cosine(F.col("v_a"), F.col("v_b")) >= threshold, "all").otherwise("none"))
+        .when(turn + reach <= angle - SLACK, "all").when(turn - reach > angle + SLACK, "none").otherwise("some")
+    )
+    pairs = materialize(pairs.select("a", "b", "n_a", "n_b", "first_a", "first_b", verdict.alias("verdict")).where("verdict <> 'none'"), "pairs")
+    some = pairs.where("verdict = 'some'").select("a", "b", "first_a", "first_b")
+    for s in "ab":
+        some = some.join(members.select(F.col("ball").alias(s), F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}")), s)
+    for s in "ab":
+        some = some.join(classes.select(F.col("id").alias(f"id_{s}"), F.col("v").alias(f"v_{s}")), f"id_{s}")
+    single = some.where(_cosine(F.col("v_a"), F.col("v_b")) >= threshold).select("id_a", "id_b", "n_a", "n_b", "first_a", "first_b")
+    return pairs.where("verdict = 'all'"), materialize(single, "single")
+
+
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, per_table: int | None = None) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
@@ -122,9 +203,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, per_table
     vec_id links with nothing. An empty table gives an empty one; further columns are ignored.
 
     Rows with equal vectors are one class, so copies cost one entry: each row links with the others of its class and
-    with all rows of linked classes. Classes are hashed into several tables; a pair meets if one's own bucket is
-    among the other's own or probed ones. The join rejects pairs whose projected sign bits are far apart, and the
-    exact cosine of the full vectors decides. The number of polytope hashes per table, if not given, follows the
+    with all rows of linked classes. Classes are hashed into several tables. Those within half the threshold's angle
+    of a bucket's pivot are one ball, whose members all link with each other and are counted, not paired. Balls (most
+    hold one class) meet if one's own bucket is among the other's own or probed ones. The join rejects balls whose
+    projected sign bits are far apart; the exact angle of the pivots and the radii then show that all members link, or
+    none, and where they show neither, the exact cosine of the full vectors decides member by member. The number of polytope hashes per table, if not given, follows the
     logarithm of the number of classes, so that buckets stay small; the number of tables follows from it, so that
     recall at the threshold is the same at every size.
     """
@@ -137,27 +220,25 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, per_table
     widths = [r[0] for r in classes.select(F.size("v")).distinct().collect()]
     if per_table is None:
         per_table = max(1, round(math.log(max(2, classes.count())) / math.log(2 * max([64, *widths]))))
-    found = None
+    spark = vectors.sparkSession
+    members, met = spark.createDataFrame([], "id long, ball long, n long, turn double"), spark.createDataFrame([], "a long, b long")
     for width in widths:
         tables = tables_needed(1 << max(6, (width - 1).bit_length()), per_table, threshold)
-        hashed = materialize(_hashed(classes.where(F.size("v") == width), tables, per_table), "hashed")
-        own = hashed.select("id", "signs", F.explode("own").alias("key"))
-        asking = own.union(hashed.select("id", "signs", F.explode("probed").alias("key")))
-        a, b = asking.toDF("a", "signs_a", "key"), own.toDF("b", "signs_b", "key")
-        far = sum((F.bit_count(F.col("signs_a")[i].bitwiseXOR(F.col("signs_b")[i])) for i in range(1, SIGN_WORDS)), F.bit_count(F.col("signs_a")[0].bitwiseXOR(F.col("signs_b")[0])))
-        met = a.join(b, (a["key"] == b["key"]) & (F.col("a") != F.col("b")) & (far <= SIGN_LIMIT)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = met if found is None else found.union(met)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "a long, b long")
-    sides = [classes.where(F.size("v") > 0).select(F.col("id").alias(s), F.col("v").alias(f"v_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab"]
-    links = materialize(found.join(sides[0], "a").join(sides[1], "b").where((F.size("v_a") == F.size("v_b")) & (_cosine(F.col("v_a"), F.col("v_b")) >= threshold)).select("a", "b", "n_a", "n_b"), "links")
-    degree = links.select(F.col("a").alias("id"), F.col("n_b").alias("n")).union(links.select("b", "n_a")).groupBy("id").agg(F.sum("n").alias("outside"))
-    comps = connected_components(links.select("a", "b"))
+        of_width = classes.where(F.size("v") == width)
+        hashed = materialize(_hashed(of_width, tables, per_table), "hashed")
+        mine = materialize(_balls(of_width, hashed, threshold), "members")
+        members, met = members.union(mine), met.union(_meetings(hashed, mine, threshold))
+    balls = materialize(members.groupBy("ball").agg(F.min("id").alias("first"), F.sum("n").alias("n"), F.max("turn").alias("turn"), F.count(F.lit(1)).alias("size")), "balls")
+    whole, single = _ball_links(classes, members, balls, met, threshold)
+    by_ball = whole.select("a", "n_b").union(whole.select("b", "n_a")).toDF("ball", "n").groupBy("ball").agg(F.sum("n").alias("from_balls"))
+    by_id = single.select("id_a", "n_b").union(single.select("id_b", "n_a")).toDF("id", "n").groupBy("id").agg(F.sum("n").alias("from_members"))
+    comps = connected_components(whole.select("first_a", "first_b").union(single.select("first_a", "first_b")).toDF("a", "b"))
+    per_ball = balls.select("ball", "first", F.col("n").alias("in_ball")).join(by_ball, "ball", "left").join(comps.withColumnRenamed("node", "first"), "first", "left")
     # The cosine of a vector with itself is 1 up to rounding, so copies link at any threshold that is not above that.
-    inside = F.when(F.lit(threshold) <= 1 - 1e-12, F.col("n") - 1).otherwise(0)
-    about = classes.join(degree, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
-    about = about.select("v", (inside + F.coalesce("outside", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))
-    out = rows.join(about, "v", "left")
+    copies = F.col("n") - 1 if threshold <= 1 - 1e-12 else F.lit(0)
+    links = copies + F.col("in_ball") - F.col("n") + F.coalesce("from_balls", F.lit(0)) + F.coalesce("from_members", F.lit(0))
+    about = members.join(per_ball, "ball").join(by_id, "id", "left").select("id", links.alias("links"), F.coalesce("component", "first").alias("component"))
+    out = rows.join(classes.select("v", "id").join(about, "id"), "v", "left")
     per_node = out.groupBy("vec_id").agg(F.max("links").alias("links"), F.min("component").alias("component"))
     got = rows.select("vec_id").join(per_node, "vec_id", "left")
     component = F.coalesce("component", "vec_id")

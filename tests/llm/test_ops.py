@@ -262,6 +262,32 @@ def test_recall_at_the_threshold_is_the_same_at_every_size(spark, per_table):
     assert sum(r["n_links"] for r in got.values()) >= 0.995 * want.sum()
 
 
+@pytest.mark.parametrize("spread", [0.15, 0.3, 0.45])
+def test_groups_of_near_copies_are_counted_by_balls(spark, spread):
+    """Tight groups link as wholes; in loose ones some members of a ball link with another ball and some don't."""
+    rng = np.random.default_rng(5)
+    v = np.concatenate([c + spread * rng.uniform(0.2, 1.2, (80, 1)) * rng.normal(size=(80, 64)) for c in rng.normal(size=(3, 64))] + [rng.normal(size=(60, 64))])
+    v[5], v[6], v[7] = 2 * v[4], v[4], v[4]
+    cos = v @ v.T / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(v, axis=1))
+    links = [(a, b) for a in range(len(v)) for b in range(a) if cos[a, b] >= 0.9]
+    want, degree = groups(range(len(v)), links), Counter(x for e in links for x in e)
+    df = spark.createDataFrame([(i, [float(z) for z in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    got = rows(embedding_dedup.near_duplicate_vectors(df), "vec_id")
+    assert all(r["n_links"] <= degree[i] for i, r in got.items())
+    assert sum(r["n_links"] for r in got.values()) >= 0.999 * sum(degree.values()) > 4000
+    assert sum(got[i]["component_id"] == c for i, c in want.items()) >= 0.99 * len(want)
+
+
+def test_near_copies_of_one_vector_are_not_paired(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=64) + 0.1 * rng.normal(size=(300, 64))
+    classes = spark.createDataFrame([(i, [float(z) for z in row], 1) for i, row in enumerate(v)], "id long, v array<double>, n long").cache()
+    hashed = embedding_dedup._hashed(classes, 8, 1).cache()
+    members = embedding_dedup._balls(classes, hashed, 0.9)
+    assert members.select("ball").distinct().count() < 30
+    assert embedding_dedup._meetings(hashed, members, 0.9).count() < 300
+
+
 # ---------------------------------------------------------------- pages
 
 PAGES = [
