@@ -19,8 +19,8 @@ from leadlattice.llm.components import connected_components
 TABLES, PROBES = 8, 5
 #: Tables are added until a pair at the threshold is missed by all of them no more often than this.
 MISS = 2.5e-4
-#: Two vectors of cosine 0.9 differ in 18 of 128 projected signs on average, with a deviation of 4: seven deviations are allowed.
-SIGN_WORDS, SIGN_DEVIATIONS = 2, 7
+#: Two vectors of cosine 0.9 differ in 37 of 256 projected signs on average, with a deviation of 6: six deviations are allowed.
+SIGN_WORDS, SIGN_DEVIATIONS = 4, 6
 #: Radians by which an angle must clear the threshold's before it decides for a whole ball; rounding stays below 1e-7.
 SLACK = 1e-6
 
@@ -125,7 +125,7 @@ def _signs_apart(one: str, two: str) -> Column:
 
 
 def _signs_allowed(angle: Column) -> Column:
-    """The most signs in which two vectors at this angle differ: the mean and seven deviations, rounded up."""
+    """The most signs in which two vectors at this angle differ: the mean and SIGN_DEVIATIONS deviations, rounded up."""
     share, words = F.least(angle / math.pi, F.lit(1.0)), 64 * SIGN_WORDS
     return F.ceil(share * words + SIGN_DEVIATIONS * F.sqrt(share * (1 - share) * words))
 
@@ -153,14 +153,14 @@ def _balls(classes: DataFrame, hashed: DataFrame, threshold: float) -> DataFrame
 
 def _meetings(hashed: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """(a, b) with a < b: balls of which one has a member's own bucket among the own and probed buckets of the other's."""
-    ball = members.groupBy("ball").agg(F.max("turn").alias("turn"), F.count(F.lit(1)).alias("size"))
-    signs = ball.join(hashed.select(F.col("id").alias("ball"), "signs"), "ball")
-    keys = hashed.join(members.select("id", "ball"), "id").join(signs.select("ball", "size"), "ball")
+    stats = members.groupBy("ball").agg(F.max("turn").alias("turn"), F.count(F.lit(1)).alias("size"))
+    about = stats.join(hashed.select(F.col("id").alias("ball"), "signs"), "ball")
+    keys = materialize(hashed.select("id", "own", "probed").join(members.select("id", "ball"), "id").join(about, "ball"), "keys")
 
     def buckets(column: Column) -> DataFrame:
         # The buckets of one class differ; those of several are brought together before they meet others.
-        lone, shared = (keys.where(c).select("ball", F.explode(column).alias("key")) for c in ("size = 1", "size > 1"))
-        return lone.union(shared.distinct()).join(signs.select("ball", "signs", "turn"), "ball")
+        lone, shared = (keys.where(c).select("ball", "signs", "turn", F.explode(column).alias("key")) for c in ("size = 1", "size > 1"))
+        return lone.union(shared.distinct())
 
     asking = buckets(F.concat("own", "probed")).select("key", *[F.col(c).alias(f"{c}_a") for c in ("ball", "signs", "turn")])
     asked = buckets(F.col("own")).select("key", *[F.col(c).alias(f"{c}_b") for c in ("ball", "signs", "turn")])
