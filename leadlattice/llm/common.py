@@ -48,12 +48,25 @@ def _remove_written() -> None:
             _remove(spark, path)
 
 
+def own_dir(spark: SparkSession) -> str:
+    """A new folder in the shared one, removed when the interpreter ends, or by `released`."""
+    path = f"{shared_dir(spark)}/leadlattice-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def released(path: str) -> None:
+    """Removes a folder of `own_dir`, or one in it, that nothing will read again."""
+    spark = next(s for s, p in _WRITTEN if path.startswith(p))
+    _remove(spark, path)
+    _WRITTEN[:] = [(s, p) for s, p in _WRITTEN if p != path]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and any executor can be lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/leadlattice-{uuid.uuid4().hex}/{name}"
+    path = f"{own_dir(spark)}/{name}"
     df.write.parquet(path)
-    _WRITTEN.append((spark, path.rpartition("/")[0]))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from leadlattice.llm.chat_format import expand_prefixes, read_back
 from leadlattice.llm.common import table
+from leadlattice.llm.conversation_trie import shared_prefixes
 from leadlattice.llm.embedding_dedup import near_duplicate_vectors
 from leadlattice.llm.hamming_search import sign_codes, top_k
 from leadlattice.llm.html_extract import extract_main_text
 from leadlattice.llm.language_id import identify
+from leadlattice.llm.merkle import document_manifest
 from leadlattice.llm.minhash_dedup import near_duplicates
 from leadlattice.llm.mixing import mix
 from leadlattice.llm.packing import pack
 from leadlattice.llm.sharding import shard
 from leadlattice.llm.toxicity import score_toxicity
+from leadlattice.llm.warc import archived_pages
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,13 +132,107 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+r AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first_id FROM p WINDOW w AS (PARTITION BY html ORDER BY page_id NULLS LAST))
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN place > 1 AND octet_length(encode(html)) >= 100 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN place > 1 AND octet_length(encode(html)) >= 100 THEN first_id END AS refers_to
+FROM r
+"""
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text in DuckDB, bit by bit."""
+    with_byte = f"xor(crc, CASE WHEN i % 8 = 0 THEN ascii(substr({text}, CAST(i // 8 + 1 AS BIGINT), 1)) ELSE 0 END)"
+    return f"xor(list_reduce(range(0, 8 * length({text})), lambda crc, i: xor({with_byte} >> 1, 3988292384 * ({with_byte} & 1)), 4294967295), 4294967295)"
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_prefixes(table(spark, sf_dir, "conversations")).drop("node")
+
+
+OP12_SQL = rf"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (SELECT c, {_crc32_sql("CAST(c AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (
+  SELECT ids.c, 1 AS part, pos, role, text FROM ids JOIN t ON t.c = ids.c - ids.c % 20 AND pos <= h
+  UNION ALL SELECT ids.c, 2, pos, role, text FROM ids JOIN t ON t.c = ids.c AND pos > h
+), d AS (
+  SELECT c, text, row_number() OVER o AS depth, string_agg(length(role) || ':' || role || length(text) || ':' || text, '|') OVER (PARTITION BY c ORDER BY part, pos ROWS UNBOUNDED PRECEDING) AS node
+  FROM r WINDOW o AS (PARTITION BY c ORDER BY part, pos)
+), p AS (
+  SELECT c, depth, node, coalesce(lag(node) OVER (PARTITION BY c ORDER BY depth), '') AS parent, text FROM d
+  UNION ALL SELECT c, 0, '', NULL, '' FROM ids
+), e AS (SELECT *, depth = max(depth) OVER (PARTITION BY c) AS ends FROM p),
+n AS (
+  SELECT node, any_value(parent) AS parent, min(c) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs,
+    (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^ 	-
+]+')) AS saved, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM e GROUP BY node
+), k AS (SELECT parent, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.parent = n.node),
+up AS (SELECT e.node, sum(CAST(m.n_children = 0 AS BIGINT)) AS n_leaves, sum(m.saved) AS saved_tokens FROM m JOIN e ON e.c = m.conv_id AND e.depth <= m.depth GROUP BY e.node)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN up USING (node) LEFT JOIN m AS q ON q.node = m.parent
+"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_manifest(table(spark, sf_dir, "documents")).drop("position")
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Trees 0 are by language, tree 1 is over their roots; a step of `fold` hashes a node with what stands beside it in its run.
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS g, {_leaf_sql("text")} AS leaf,
+    CASE WHEN {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS claimed
+  FROM documents
+), p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM d),
+low AS (
+  SELECT g, 0 AS lvl, idx, leaf AS node, n FROM p
+  UNION ALL SELECT g, lvl + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)), any_value((n + 7) // 8) FROM low WHERE n > 1 GROUP BY g, lvl, idx // 8
+), sub AS (SELECT g, lvl, node AS subroot, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS n FROM low WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, place AS idx, subroot AS node, n FROM sub
+  UNION ALL SELECT lvl + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)), any_value((n + 7) // 8) FROM top WHERE n > 1 GROUP BY lvl, idx // 8
+), every AS (SELECT 0 AS tree, * FROM low UNION ALL SELECT 1, '', * FROM top),
+sides AS (
+  SELECT tree, g, lvl, idx, n,
+    coalesce(string_agg(node, '') OVER (PARTITION BY tree, g, lvl, idx // 8 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(node, '') OVER (PARTITION BY tree, g, lvl, idx // 8 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM every WHERE n > 1
+), fold AS (
+  SELECT g AS lang, idx AS leaf_at, 0 AS step, 0 AS tree, g, 0 AS lvl, idx, coalesce(claimed, leaf) AS now, '' AS seen FROM p
+  UNION ALL
+  SELECT lang, leaf_at, step + 1, CASE WHEN s.n IS NULL THEN 1 ELSE f.tree END, CASE WHEN s.n IS NULL THEN '' ELSE f.g END, CASE WHEN s.n IS NULL THEN 0 ELSE f.lvl + 1 END,
+    CASE WHEN s.n IS NULL THEN place ELSE f.idx // 8 END, CASE WHEN s.n IS NULL THEN now ELSE sha256(l || now || r) END, seen || coalesce(l || r, '')
+  FROM fold AS f JOIN sub ON sub.g = f.lang LEFT JOIN sides AS s ON s.tree = f.tree AND s.g = f.g AND s.lvl = f.lvl AND s.idx = f.idx WHERE f.tree = 0 OR s.n IS NOT NULL
+), done AS (SELECT lang, leaf_at, arg_max(now, step) AS folded_root, arg_max(seen, step) AS seen FROM fold GROUP BY lang, leaf_at)
+SELECT doc_id, leaf, subroot, root, sha256(seen) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN sub ON sub.g = p.g JOIN done ON done.lang = p.g AND done.leaf_at = p.idx CROSS JOIN (SELECT node AS root FROM top WHERE n = 1)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format, "op2_hamming_topk": op2_hamming_topk, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity,
         "op5_embedding_dedup": op5_embedding_dedup, "op6_html_extract": op6_html_extract, "op7_minhash_dedup": op7_minhash_dedup, "op8_mixing": op8_mixing,
-        "op9_best_fit_packing": op9_best_fit_packing, "op10_sharding": op10_sharding,
+        "op9_best_fit_packing": op9_best_fit_packing, "op10_sharding": op10_sharding, "op11_warc": op11_warc, "op12_conversation_trie": op12_conversation_trie,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_hamming_topk": OP2_SQL, "op5_embedding_dedup": OP5_SQL, "op7_minhash_dedup": OP7_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_hamming_topk": OP2_SQL, "op5_embedding_dedup": OP5_SQL, "op7_minhash_dedup": OP7_SQL, "op11_warc": OP11_SQL, "op12_conversation_trie": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
