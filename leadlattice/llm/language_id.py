@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leadlattice.llm.common import small
+from leadlattice.llm.common import materialize, small
 
 UNKNOWN = "und"
 #: Byte n-grams of these lengths are hashed into so many places.
@@ -87,15 +87,20 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Learns from (doc_id, text, lang) rows with text and lang.
 
-    A sample of at most `per_language` whole texts of each language is turned into count vectors on the
-    executors; the driver gets those vectors only, so what it holds is bounded by the parameter.
+    A sample of at most `per_language` different whole texts of each language is turned into count vectors on the
+    executors; the driver gets those vectors only, so what it holds is bounded by the parameter, however often rows repeat.
 
     The least accepted cosines are measured on texts that the centroids have not seen: each half of the sample is
     cut to each length of CUTS and compared with centroids of the other half, again on the executors.
     """
-    ids = labelled.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id", F.lit(5)).alias("h"))
-    chosen = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= per_language).select("doc_id", "lang")
-    texts = labelled.where("text is not null").select("doc_id", "lang", "text").join(small(chosen), ["doc_id", "lang"]).select("lang", "doc_id", "text")
+    ids = labelled.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id", F.lit(5)).alias("h")).distinct()
+    # Spark sorts out the first of each language in every task before any row is shuffled.
+    first = lambda d, *order: d.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= per_language).drop("n")
+    texts = labelled.where("text is not null").select("doc_id", "lang", "text").join(small(first(ids, "h", "doc_id")), ["doc_id", "lang"]).select("doc_id", "lang", "h", "text")
+    # An id may have many rows: equal ones count once, rows are bounded as ids are, and each id's first text comes before any second one.
+    texts = texts.withColumn("t", F.xxhash64("text")).dropDuplicates(["lang", "doc_id", "t"])
+    texts = texts.withColumn("k", F.row_number().over(Window.partitionBy("lang", "doc_id").orderBy("t"))).where(F.col("k") <= per_language)
+    texts = materialize(first(texts, "k", "h", "doc_id").select("lang", "doc_id", "text"), "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,8 +12,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from leadlattice.llm.common import small
+from leadlattice.llm.common import materialize, small
 
 #: The fit uses at most so many labelled texts of each class, those of least hashed id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 8000
@@ -163,12 +164,20 @@ class Scorer(dict):
 
 
 def _sample(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """At most the stated number of whole texts of each class, by least hashed id."""
+    """At most the stated number of different whole texts of each class, by least hashed id, however often rows repeat."""
     ids = docs.where("text is not null").select("doc_id").distinct().join(known, "doc_id")
     # Each task sorts out its own least ids first, so no task reads all rows of a class.
     least = [ids.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(most) for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     chosen = least[0].union(least[1]).select("doc_id", "toxic")
-    return docs.where("text is not null").select("doc_id", "text").join(small(chosen), "doc_id").select("doc_id", "toxic", "text")
+    rows = docs.where("text is not null").select("doc_id", "text").join(small(chosen), "doc_id").withColumn("t", F.xxhash64("text"))
+    rows = materialize(rows.dropDuplicates(["doc_id", "toxic", "t"]), "sample")
+    # An id may have many texts: rows are bounded as ids are, and each id's first text comes before any second one.
+    found = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if found.get(1, 0) > SAMPLE_TOXIC or found.get(0, 0) > SAMPLE_CLEAN:
+        keys = rows.select("doc_id", "toxic", "t", F.row_number().over(Window.partitionBy("doc_id").orderBy("t")).alias("k"))
+        least = [keys.where(F.col("toxic") == label).orderBy("k", F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(most) for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+        rows = materialize(rows.join(small(least[0].union(least[1]).drop("k")), ["doc_id", "toxic", "t"]), "sample")
+    return rows.select("doc_id", "toxic", "text")
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,57 +218,54 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     if not of.get(1):
         return Lexicon()
     rate = of[1] / sum(of.values())
-    sample = _sample(docs, known).cache()
-    try:
-        sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-        met = sample.where("toxic = 1").select("text").mapInArrow(_contexts, "word string, context long").distinct()
-        words = met.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.length("word").between(3, 40))
-        terms = {r["word"]: r["n"] for r in words.where(F.col("n") >= LEAST_CONTEXTS).collect()}
-        stems = words.select("word", "n", F.explode(F.array(*[F.substring("word", 1, k) for k in STEM_LENGTHS])).alias("stem")).where("length(word) > length(stem)").distinct()
-        stems = stems.groupBy("stem").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).where((F.col("words") >= LEAST_STEM_WORDS) & (F.col("n") >= LEAST_CONTEXTS))
-        stems = {r["stem"]: (r["n"], r["words"]) for r in stems.collect()}
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: Counter = Counter()
-            for batch in batches:
-                for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    own = set(WORD.findall(text.as_py().lower()))
-                    seen.update(("term", w, label) for w in own & terms.keys())
-                    seen.update(("stem", s, label) for s in {w[:k] for w in own for k in STEM_LENGTHS if len(w) > k} & stems.keys())
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys]).cast(t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))] + [pa.array([seen[k] for k in keys], pa.int64())], ["kind", "entry", "label", "n"])
-
-        counted = sample.select(F.col("toxic").cast("long"), "text").mapInArrow(count, "kind string, entry string, label long, n long")
-        counted = counted.groupBy("kind", "entry").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
-        pos, neg = rate * F.col("toxic") / max(1, sizes.get(1, 0)), (1 - rate) * (F.col("clean") + 0.2) / max(1, sizes.get(0, 0))
-        good = counted.where(F.col("toxic") >= 2).withColumn("p", pos / (pos + neg)).where(F.col("p") >= LEAST_PRECISION).collect()
-        share = sizes.get(1, 0) / max(1, sizes.get(1, 0) + sizes.get(0, 0))
-        contexts = {("term", w): n for w, n in terms.items()} | {("stem", w): n for w, (n, _) in stems.items()}
-        good = [r for r in good if _chance(min(r["toxic"], contexts[r["kind"], r["entry"]]), r["clean"], share) * len(contexts) <= BY_CHANCE]
-        weigh = lambda p: min(3.0, -math.log(max(1 - p, 1e-9)))
-        lexicon = Lexicon({r["entry"]: weigh(r["p"]) for r in good if r["kind"] == "term"}, {r["entry"]: weigh(r["p"]) for r in good if r["kind"] == "stem"})
-        # Of stems within stems the longest that still stands for nearly all words of the shorter one stays.
-        specific = {s for s in lexicon.stems if not any(t != s and t.startswith(s) and stems[t][1] >= 0.9 * stems[s][1] for t in lexicon.stems)}
-        lexicon.stems = {s: w for s, w in lexicon.stems.items() if s in specific and not any(s[:k] in specific for k in range(1, len(s)))}
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer, seen = Scorer(lexicon), Counter()
-            for batch in batches:
-                for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    seen.update((w, label) for w in set(WORD.findall(text.as_py().lower())) if (scorer[w] or ("", 0))[0] == "fuzzy")
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], ["word", "label", "n"])
-
-        found = sample.select(F.col("toxic").cast("long"), "text").mapInArrow(near, "word string, label long, n long").groupBy("word").agg(
-            F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean")
-        ).collect()
-        lexicon.ordinary = frozenset(r["word"] for r in found if r["clean"])
-        hits = sum(r["toxic"] for r in found if not r["clean"])
-        pos, neg = rate * hits / max(1, sizes.get(1, 0)), (1 - rate) * (sum(r["clean"] == 1 for r in found) + 0.2) / max(1, sizes.get(0, 0))
-        lexicon.fuzzy = min(2.0, weigh(pos / (pos + neg))) if hits else 0.5
-        return lexicon
-    finally:
-        sample.unpersist()
+    sample = _sample(docs, known)
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    met = sample.where("toxic = 1").select("text").mapInArrow(_contexts, "word string, context long").distinct()
+    words = met.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.length("word").between(3, 40))
+    terms = {r["word"]: r["n"] for r in words.where(F.col("n") >= LEAST_CONTEXTS).collect()}
+    stems = words.select("word", "n", F.explode(F.array(*[F.substring("word", 1, k) for k in STEM_LENGTHS])).alias("stem")).where("length(word) > length(stem)").distinct()
+    stems = stems.groupBy("stem").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).where((F.col("words") >= LEAST_STEM_WORDS) & (F.col("n") >= LEAST_CONTEXTS))
+    stems = {r["stem"]: (r["n"], r["words"]) for r in stems.collect()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = set(WORD.findall(text.as_py().lower()))
+                seen.update(("term", w, label) for w in own & terms.keys())
+                seen.update(("stem", s, label) for s in {w[:k] for w in own for k in STEM_LENGTHS if len(w) > k} & stems.keys())
+        keys = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys]).cast(t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))] + [pa.array([seen[k] for k in keys], pa.int64())], ["kind", "entry", "label", "n"])
+
+    counted = sample.select(F.col("toxic").cast("long"), "text").mapInArrow(count, "kind string, entry string, label long, n long")
+    counted = counted.groupBy("kind", "entry").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
+    pos, neg = rate * F.col("toxic") / max(1, sizes.get(1, 0)), (1 - rate) * (F.col("clean") + 0.2) / max(1, sizes.get(0, 0))
+    good = counted.where(F.col("toxic") >= 2).withColumn("p", pos / (pos + neg)).where(F.col("p") >= LEAST_PRECISION).collect()
+    share = sizes.get(1, 0) / max(1, sizes.get(1, 0) + sizes.get(0, 0))
+    contexts = {("term", w): n for w, n in terms.items()} | {("stem", w): n for w, (n, _) in stems.items()}
+    good = [r for r in good if _chance(min(r["toxic"], contexts[r["kind"], r["entry"]]), r["clean"], share) * len(contexts) <= BY_CHANCE]
+    weigh = lambda p: min(3.0, -math.log(max(1 - p, 1e-9)))
+    lexicon = Lexicon({r["entry"]: weigh(r["p"]) for r in good if r["kind"] == "term"}, {r["entry"]: weigh(r["p"]) for r in good if r["kind"] == "stem"})
+    # Of stems within stems the longest that still stands for nearly all words of the shorter one stays.
+    specific = {s for s in lexicon.stems if not any(t != s and t.startswith(s) and stems[t][1] >= 0.9 * stems[s][1] for t in lexicon.stems)}
+    lexicon.stems = {s: w for s, w in lexicon.stems.items() if s in specific and not any(s[:k] in specific for k in range(1, len(s)))}
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, seen = Scorer(lexicon), Counter()
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                seen.update((w, label) for w in set(WORD.findall(text.as_py().lower())) if (scorer[w] or ("", 0))[0] == "fuzzy")
+        keys = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], ["word", "label", "n"])
+
+    found = sample.select(F.col("toxic").cast("long"), "text").mapInArrow(near, "word string, label long, n long").groupBy("word").agg(
+        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean")
+    ).collect()
+    lexicon.ordinary = frozenset(r["word"] for r in found if r["clean"])
+    hits = sum(r["toxic"] for r in found if not r["clean"])
+    pos, neg = rate * hits / max(1, sizes.get(1, 0)), (1 - rate) * (sum(r["clean"] == 1 for r in found) + 0.2) / max(1, sizes.get(0, 0))
+    lexicon.fuzzy = min(2.0, weigh(pos / (pos + neg))) if hits else 0.5
+    return lexicon
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -457,3 +457,41 @@ def test_sharding(spark):
     same = sharding.shard(docs(spark, ["only one text"] * 400), shards=4).groupBy("shard").count().collect()
     assert len(same) == 4
     assert max(r["count"] for r in same) <= 120
+
+
+# ---------------------------------------------------------------- repeated rows and the bounds of samples
+
+
+def _repeated(spark):
+    """10,000 equal rows, as many rows of one id with different texts, and a few others in two languages."""
+    equal = spark.range(10_000).selectExpr("4L doc_id", "'der kleine hund geht heim' text", "'de' lang", "'s' source", "25L n_chars")
+    one_id = spark.range(10_000).selectExpr("11L doc_id", "concat('the small dog number ', id, ' walks home') text", "'en' lang", "'s' source", "30L n_chars")
+    rest = spark.range(100, 160).selectExpr("id doc_id", "case when id % 2 = 0 then concat('ein hund und eine katze ', id) else concat('a dog and a cat ', id) end text", "case when id % 2 = 0 then 'de' else 'en' end lang", "'s' source", "20L n_chars")
+    none = spark.sql("SELECT CAST(NULL AS BIGINT) doc_id, 'ohne nummer' text, 'de' lang, 's' source, 11L n_chars")
+    return equal.unionByName(one_id).unionByName(rest).unionByName(none)
+
+
+def test_language_sample_is_bounded_by_rows(spark, monkeypatch):
+    seen = []
+    limits = language_id._limits
+    monkeypatch.setattr(language_id, "_limits", lambda texts, *rest: seen.append(texts) or limits(texts, *rest))
+    d = _repeated(spark)
+    model = language_id.fit(d.select("doc_id", "text", "lang"), per_language=50)
+    by = Counter(r["lang"] for r in seen[0].collect())
+    assert max(by.values()) <= 50 and set(by) == {"de", "en"}
+    assert seen[0].where("doc_id = 4").count() <= 1
+    got = Counter((r["doc_id"], r["lang_pred"]) for r in language_id.predict(d.where("doc_id in (4, 101) or doc_id is null"), model).collect())
+    assert got[4, "de"] == 10_000 and got[101, "en"] == 1 and sum(n for (i, _), n in got.items() if i is None) == 1
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 40)
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 30)
+    d = _repeated(spark).select("doc_id", "text")
+    known = spark.sql("SELECT explode(sequence(100L, 159L)) doc_id").selectExpr("doc_id", "cast(doc_id % 2 as int) toxic").union(spark.sql("SELECT * FROM VALUES (4L, 1), (11L, 0) AS t(doc_id, toxic)"))
+    rows = toxicity._sample(d, known).collect()
+    by = Counter(r["toxic"] for r in rows)
+    assert 0 < by[1] <= 40 and 0 < by[0] <= 30
+    assert sum(r["doc_id"] == 4 for r in rows) <= 1
+    lexicon = toxicity.fit(d, known)
+    assert toxicity.score(d.where("doc_id is null"), lexicon).count() == 1
