@@ -86,16 +86,85 @@ def fuzzy_dice(a: Column, b: Column, floor: float = TOKEN_FLOOR) -> Column:
     return F.when((total(a) == 0) | (total(b) == 0), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * matched / (total(a) + total(b)))))
 
 
-def similar_tokens(one: DataFrame, two: DataFrame, floor: float = TOKEN_FLOOR) -> DataFrame:
-    """(a, b, ratio) of the tokens of two tables (token) whose ratio reaches the floor, from 80 on.
+def near_dice(a: Column, b: Column, floor: float = TOKEN_FLOOR) -> Column:
+    """As fuzzy_dice, where each word of `a` brings its similar ones of the other side's vocabulary, near (token, ratio): no words are compared letter by letter."""
+    total = lambda ws: F.aggregate(ws, F.lit(0.0), lambda s, w: s + w["weight"])
+    ranked = F.array_sort(F.transform(a, lambda w: F.struct((-w["weight"]).alias("k"), w["token"].alias("token"), w["weight"].alias("weight"), w["near"].alias("near"))))
+
+    def take(state: Column, mine: Column) -> Column:
+        near = F.filter(mine["near"], lambda n: (n["ratio"] >= floor) & F.array_contains(state["left"], n["token"]))
+        best = F.array_min(F.transform(near, lambda n: F.struct((-n["ratio"]).alias("k"), n["token"].alias("token"))))
+        theirs = F.element_at(F.filter(b, lambda w: w["token"] == best["token"]), 1)["weight"]
+        more = F.when(best.isNotNull(), F.least(mine["weight"], theirs) * (-best["k"] / 100.0)).otherwise(0.0)
+        return F.struct((state["sum"] + more).alias("sum"), F.when(best.isNotNull(), F.array_remove(state["left"], best["token"])).otherwise(state["left"]).alias("left"))
+
+    start = F.struct(F.lit(0.0).alias("sum"), F.transform(b, lambda w: w["token"]).alias("left"))
+    matched = F.aggregate(ranked, start, take, lambda s: s["sum"])
+    return F.when((total(a) == 0) | (total(b) == 0), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * matched / (total(a) + total(b)))))
+
+
+#: Words up to SHORT letters meet by what is left of them when letters are dropped; up to LONG by segments; beyond by pairs of letters.
+SHORT, LONG = 11, 60
+
+
+def _unmatched(n: Column, m: Column, floor: float) -> Column:
+    """The most letters that two words of n and m letters may leave unmatched at the floor: of one parity with n + m."""
+    most = F.floor(F.lit(1 - floor / 100 + 1e-9) * (n + m))
+    return most - (most + n + m) % 2
 
-    Of two such words no more than a fifth of the letters are unmatched, so their common letters stand in fewer runs than
-    there are letters, and some run has two: unequal words meet in their pairs of neighbouring letters only. Vocabularies are compared, not rows.
+
+def _dropped(c: Column, n: Column, share: float) -> Column:
+    """What is left of a word when up to n * share of its letters are dropped, in every way."""
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    once = lambda ws: F.array_distinct(F.flatten(F.transform(ws, without)))
+    levels = [F.array(c)]
+    while len(levels) <= int(SHORT * share):
+        levels.append(once(levels[-1]))
+    none = F.slice(F.array(c), 1, 0)
+    return F.flatten(F.array(levels[0], *[F.when(F.floor(n * F.lit(share + 1e-9)) >= k, level).otherwise(none) for k, level in enumerate(levels) if k]))
+
+
+def _by_dropping(a: DataFrame, b: DataFrame, floor: float) -> DataFrame:
+    """Pairs of words up to SHORT letters. Their longest common subsequence is one of the shared leftovers, so its length needs no table."""
+    share = 1 - floor / (200 - floor)
+    left = lambda d, c: d.where(F.length(c).between(1, SHORT)).select(c, F.explode(_dropped(F.col(c), F.length(c), share)).alias("left"))
+    n, m = F.length("a"), F.length("b")
+    met = left(a, "a").join(left(b, "b"), "left").where(n + m - 2 * F.length("left") <= _unmatched(n, m, floor))
+    return met.groupBy("a", "b").agg(F.max(F.length("left")).alias("common")).select("a", "b", (F.lit(200.0) * F.col("common") / (n + m)).alias("ratio"))
+
+
+def _by_segments(a: DataFrame, b: DataFrame, floor: float) -> DataFrame:
+    """Candidates among words up to LONG letters of which one has more than SHORT.
+
+    With at most u unmatched letters, one of u + 1 segments of `b` stands whole in `a`, moved no further than letters of one
+    side go unmatched. u follows from both lengths, so words look for partners of each length apart.
     """
+    least = floor / (200 - floor)
+    both = lambda d, c, own, other: d.where(F.length(c).between(1, LONG)).select(
+        c, F.length(c).alias(own), F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(F.length(c) * F.lit(least - 1e-9))).cast("int"), F.least(F.lit(LONG), F.floor(F.length(c) / F.lit(least - 1e-9))).cast("int"))).alias(other)
+    ).where(F.greatest(own, other) > SHORT)
+    spread = lambda d: d.withColumn("u", _unmatched(F.col("n"), F.col("m"), floor)).where("u >= 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("u"))))
+    start, end = F.expr("k * m div (u + 1)"), F.expr("(k + 1) * m div (u + 1)")
+    segments = spread(both(b, "b", "m", "n")).select("b", "n", "m", "k", F.substring("b", start + 1, end - start).alias("part"))
+    moved = F.sequence(F.expr("-((u - n + m) div 2)"), F.expr("(u + n - m) div 2"))
+    wanted = spread(both(a, "a", "n", "m")).where(F.abs(F.col("n") - F.col("m")) <= F.col("u")).withColumn("at", F.explode(F.transform(moved, lambda s: s + start))).where((F.col("at") >= 0) & (F.col("at") + end - start <= F.col("n")))
+    return wanted.select("a", "n", "m", "k", F.substring("a", F.col("at") + 1, end - start).alias("part")).distinct().join(segments, ["n", "m", "k", "part"]).select("a", "b").distinct()
+
+
+def _by_letters(a: DataFrame, b: DataFrame, floor: float) -> DataFrame:
+    """Candidates of which one has more than LONG letters: their common letters stand in fewer runs than there are letters, so some run has two."""
     pairs = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))
-    a, b = one.select(F.col("token").alias("a")).distinct(), two.select(F.col("token").alias("b")).distinct()
-    same = a.join(b, F.col("a") == F.col("b")).select("a", "b")
-    each = lambda d, c: d.where(F.length(c) > 1).select(c, F.explode(F.array_distinct(pairs(F.col(c)))).alias("pair"))
+    each = lambda d, c: d.where(F.length(c) > int(LONG * floor / (200 - floor))).select(c, F.explode(F.array_distinct(pairs(F.col(c)))).alias("pair"))
     most = F.lit(200.0) * F.least(F.length("a"), F.length("b")) / (F.length("a") + F.length("b"))
-    met = each(a, "a").join(each(b, "b"), "pair").where((F.col("a") != F.col("b")) & (most >= floor)).select("a", "b").distinct()
-    return same.withColumn("ratio", F.lit(100.0)).union(met.withColumn("ratio", ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= floor))
+    return each(a, "a").join(each(b, "b"), "pair").where((F.greatest(F.length("a"), F.length("b")) > LONG) & (most >= floor)).select("a", "b").distinct()
+
+
+def similar_tokens(one: DataFrame, two: DataFrame, floor: float = TOKEN_FLOOR) -> DataFrame:
+    """(a, b, ratio) of the tokens of two tables (token) whose ratio reaches the floor, from 80 on.
+
+    Vocabularies are compared, not rows, and words meet by what similar ones must share, never all with all: short words, nearly all of
+    them, by leftovers when letters are dropped, longer ones by segments, very long ones by pairs of letters.
+    """
+    a, b = one.select(F.col("token").alias("a")).where("a <> ''").distinct(), two.select(F.col("token").alias("b")).where("b <> ''").distinct()
+    met = _by_segments(a, b, floor).unionByName(_by_letters(a, b, floor)).withColumn("ratio", bounded_ratio(F.col("a"), F.col("b"), floor)).where(F.col("ratio") >= floor)
+    return _by_dropping(a, b, floor).unionByName(met)

@@ -255,12 +255,21 @@ def register_entries(spark: SparkSession, sf: str) -> DataFrame:
     return catalogue.register_entries(_register(spark, sf))
 
 
+#: A business's name of two words that many have, one that some have, and a made word of its family, of {} parts.
+_FAMILY = "translate(concat(lpad(cast((p_partkey div {0}) * 7919 % 100003 as string), 5, '0'), lpad(cast((p_partkey div {0}) * 271 % 997 as string), 3, '0')), '0123456789', 'abdegkmnru')"
+_FULL_NAME = "concat(p_name, ' ', lower(translate(p_brand, '#0123456789', 'xabdegkmnru')), ' ', {})"
+
+
 def _licences(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Licences of finds whose id is a multiple of 3, by weights of equal words: twice what two names share over what they have."""
-    e = catalogue.register_entries(_register(spark, sf))
-    p = views.finds(spark, sf).select("id", text.normalise_name(F.col("name")).alias("norm_name"), text.street_key(F.col("address")).alias("street"))
-    a, b = F.array_distinct("p_name_set"), F.array_distinct("e_name_set")
-    return catalogue.find_licences(p, e, F.lit(2.0) * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))), e
+    """Licences of a place for each part, by names weighted over both sides; in a third of the register's names a letter is lost."""
+    part, family = table(spark, sf, "part"), _FAMILY.format(4)
+    written = _FULL_NAME.format(f"case when p_partkey % 3 = 0 then concat(substring({family}, 1, 1), substring({family}, 3)) else {family} end")
+    named = part.selectExpr("p_partkey as seq", f"case when p_partkey % 19 = 0 then ' ' else concat(upper({written}), ' j.d.o.o. za turizam') end as legal_name")
+    e = catalogue.register_entries(_register(spark, sf).drop("legal_name").join(named, "seq"))
+    p = views.finds(spark, sf).select("id", "address").join(part.selectExpr("p_partkey as id", f"{_FULL_NAME.format(_FAMILY.format(3))} as name"), "id")
+    p = p.select("id", text.normalise_name(F.col("name")).alias("norm_name"), text.street_key(F.col("address")).alias("street"))
+    words = p.select("norm_name").union(e.select("norm_name")).select(F.array_distinct(F.split("norm_name", " ")).alias("words"))
+    return catalogue.find_licences(p, e, linkage.idf_table(words, "words", linkage.corpus_size(words))), e
 
 
 def licences(spark: SparkSession, sf: str) -> DataFrame:

@@ -71,12 +71,27 @@ _REGISTER = r"""reg_v AS (
     CASE WHEN premises LIKE 'Vuk%' THEN 'vukovarska|' || (seq % 40 + 1) WHEN premises LIKE 'Riva%' THEN 'riva|' || (seq % 50 + 1) WHEN premises LIKE 'Obala%' THEN 'lazareta|' || (seq % 50 + 1) END AS street
   FROM line_v WHERE premises IS NOT NULL
 )"""
-_LICENCE = f"""{_REGISTER}, pl_v AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name), ' ')) AS w, CASE WHEN p_partkey % 9 <> 0 THEN 'riva|' || (p_partkey % 50 + 1) END AS street FROM part),
-et_v AS (SELECT seq, line_no, unnest(list_distinct(string_split(norm_name, ' '))) AS t, len(list_distinct(string_split(norm_name, ' '))) AS n FROM entry_v),
-shared_v AS (SELECT p.id, e.seq, e.line_no, count(*) AS common, len(any_value(p.w)) AS np, any_value(e.n) AS ne FROM (SELECT id, w, unnest(w) AS t FROM pl_v) p JOIN et_v e ON e.t = p.t GROUP BY ALL),
-pair_v AS (SELECT s.id, s.seq, s.line_no, legal_name, {d(2)} * common / (np + ne) AS agreement, p.street IN (SELECT street FROM entry_v WHERE street IS NOT NULL) AS met, coalesce(p.street = e.street, false) AS same
-  FROM shared_v s JOIN pl_v p USING (id) JOIN entry_v e ON e.seq = s.seq AND e.line_no = s.line_no),
-hit_v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY agreement DESC, seq, line_no) AS rk FROM pair_v WHERE agreement >= {d(0.7)} AND (same OR NOT coalesce(met, false))) WHERE rk = 1)"""
+def _family(parts: int) -> str:
+    digits = f"lpad(CAST((p_partkey // {parts}) * 7919 % 100003 AS VARCHAR), 5, '0') || lpad(CAST((p_partkey // {parts}) * 271 % 997 AS VARCHAR), 3, '0')"
+    return f"translate({digits}, '0123456789', 'abdegkmnru')"
+
+
+_BRANDED = "lower(p_name) || ' ' || lower(translate(p_brand, '#0123456789', 'xabdegkmnru')) || ' '"
+_LICENCE = f"""{_REGISTER}, pl_v AS (SELECT p_partkey AS id, list_distinct(string_split({_BRANDED} || {_family(3)}, ' ')) AS w, CASE WHEN p_partkey % 9 <> 0 THEN 'riva|' || (p_partkey % 50 + 1) END AS street FROM part),
+en_v AS (SELECT p_partkey, {_BRANDED} || CASE WHEN p_partkey % 3 = 0 THEN substr({_family(4)}, 1, 1) || substr({_family(4)}, 3) ELSE {_family(4)} END AS full_name FROM part),
+ew_v AS (SELECT seq, line_no, street, upper(full_name) || ' j.d.o.o. za turizam' AS written, list_distinct(string_split(full_name || ' za', ' ')) AS w FROM entry_v JOIN en_v ON seq = p_partkey),
+all_w AS (SELECT id, 0 AS line_no, 0 AS side, unnest(w) AS t FROM pl_v UNION ALL SELECT seq, line_no, 1, unnest(w) FROM ew_v), nn_v AS (SELECT (SELECT count(*) FROM pl_v) + (SELECT count(*) FROM ew_v) AS n),
+wt_v AS (SELECT t, ln((n + 1) / {d('(1 + df)')}) AS wt FROM (SELECT t, count(*) AS df FROM all_w GROUP BY t), nn_v WHERE NOT (df >= 3 AND df / n > {d(0.1)})),
+pt_v AS (SELECT id, t, wt FROM all_w JOIN wt_v USING (t) WHERE side = 0), et_v AS (SELECT id AS seq, line_no, t, wt FROM all_w JOIN wt_v USING (t) WHERE side = 1),
+ptot_v AS (SELECT id, sum(wt) AS wt FROM pt_v GROUP BY id), etot_v AS (SELECT seq, line_no, sum(wt) AS wt FROM et_v GROUP BY ALL),
+bag_v AS (SELECT side, t, list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda x: length(t) - length(replace(t, x, ''))) AS bag FROM (SELECT DISTINCT side, t FROM all_w JOIN wt_v USING (t))),
+like_v AS (SELECT * FROM (SELECT a.t AS a, b.t AS b, CASE WHEN a.t = b.t THEN {d(100)} ELSE {d(200)} * ({lcs('a.t', 'b.t')}) / (length(a.t) + length(b.t)) END AS r FROM bag_v a, bag_v b
+  WHERE a.side = 0 AND b.side = 1 AND 200 * list_sum(list_transform(list_zip(a.bag, b.bag), lambda z: least(z[1], z[2]))) >= 85 * (length(a.t) + length(b.t))) WHERE r >= 85),
+hits_v AS (SELECT p.id, e.seq, e.line_no, p.t, max(least(p.wt, e.wt) * r / 100) AS c FROM pt_v p JOIN like_v ON a = p.t JOIN et_v e ON e.t = b GROUP BY ALL),
+shared_v AS (SELECT id, seq, line_no, sum(c) AS c FROM hits_v GROUP BY ALL),
+pair_v AS (SELECT s.id, s.seq, s.line_no, written AS legal_name, least({d(1)}, 2 * s.c / (pw.wt + ew.wt)) AS agreement, p.street IN (SELECT street FROM entry_v WHERE street IS NOT NULL) AS met, coalesce(p.street = e.street, false) AS same
+  FROM shared_v s JOIN pl_v p USING (id) JOIN ew_v e ON e.seq = s.seq AND e.line_no = s.line_no JOIN ptot_v pw ON pw.id = s.id JOIN etot_v ew ON ew.seq = s.seq AND ew.line_no = s.line_no),
+hit_v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(agreement, 12) DESC, seq, line_no) AS rk FROM pair_v WHERE agreement >= {d(0.7)} AND (same OR NOT coalesce(met, false))) WHERE rk = 1)"""
 _OUTLINE = ((43.55, 16.30), (43.55, 16.60), (43.45, 16.55), (43.48, 16.45), (43.44, 16.33))
 _FIELD = ((43.4, 16.0), (46.0, 20.0), (60.0, 40.0), (50.0, 17.0))
 
