@@ -15,7 +15,8 @@ Ring = Sequence[tuple[float, float]]
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a = F.pow(F.sin((F.radians(lat2) - F.radians(lat1)) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin((F.radians(lng2) - F.radians(lng1)) / 2), 2)
-    return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # least passes over nulls; an unknown place is at no distance.
+    return F.when(a.isNotNull(), F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a))))
 
 
 def geo_cell(degrees: Column, size: float = 0.05) -> Column:
@@ -24,7 +25,8 @@ def geo_cell(degrees: Column, size: float = 0.05) -> Column:
 
 
 def geo_similarity(km: Column, full: float = 0.1, zero: float = 2.0) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (km - full) / (zero - full)))
+    """1 up to `full` km, falling to 0 at `zero`; null for an unknown distance."""
+    return F.when(km.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (km - full) / (zero - full))))
 
 
 def to_km(lat: Column, lng: Column, ref_lat: float, ref_lng: float) -> tuple[Column, Column]:

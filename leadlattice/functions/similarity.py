@@ -11,19 +11,53 @@ from leadlattice.functions.text import let
 TOKEN_FLOOR = 85.0
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """The length of the longest common subsequence, one row of the table at a time."""
-    xs, ys = (F.filter(F.split(c, ""), lambda ch: ch != "") for c in (a, b))
+def _chars(c: Column) -> Column:
+    return F.filter(F.split(c, ""), lambda ch: ch != "")
+
+
+def _lcs_by_rows(a: Column, b: Column) -> Column:
+    """Row by row of the table, for strings of any length."""
+
+    def last(v: Column) -> Column:
+        def row(before: Column, ch: Column) -> Column:
+            def cell(done: Column, j: Column) -> Column:
+                here = F.when(F.element_at(v["ys"], j) == ch, F.element_at(before, j) + 1).otherwise(F.greatest(F.element_at(done, j), F.element_at(before, j + 1)))
+                return F.concat(done, F.array(here))
+
+            return F.aggregate(F.sequence(F.lit(1), F.size(v["ys"])), F.array(F.lit(0)), cell)
+
+        return F.element_at(F.aggregate(v["xs"], F.array_repeat(F.lit(0), F.size(v["ys"]) + 1), row), -1)
+
+    return let(F.struct(_chars(a).alias("xs"), _chars(b).alias("ys")), last)
+
 
-    def row(before: Column, ch: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            here = F.when(F.element_at(ys, j) == ch, F.element_at(before, j) + 1).otherwise(F.greatest(F.element_at(done, j), F.element_at(before, j + 1)))
-            return F.concat(done, F.array(here))
+def _lcs_by_bits(a: Column, b: Column) -> Column:
+    """A whole row of the table at a time, as the bits of a number, for `a` of at most BITS characters."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
 
-        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), cell)
+    def places(xs: Column) -> Column:
+        """Where each character stands, as bits."""
+        of = lambda ch: F.aggregate(xs, F.struct(zero.alias("m"), one.alias("bit")), lambda s, c: F.struct(F.when(c == ch, s["m"] + s["bit"]).otherwise(s["m"]).alias("m"), (s["bit"] * 2).alias("bit")), lambda s: s["m"])
+        return F.map_from_entries(F.transform(F.array_distinct(xs), lambda ch: F.struct(ch.alias("k"), of(ch).alias("v"))))
 
-    last = F.aggregate(xs, F.array_repeat(F.lit(0), F.length(b) + 1), row)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(F.element_at(last, -1))
+    def length(v: Column) -> Column:
+        def row(bits: Column, ch: Column) -> Column:
+            hit = bits.bitwiseAND(F.coalesce(F.try_element_at(v["places"], ch), zero))
+            return (bits + hit).bitwiseOR(bits - hit).bitwiseAND(v["full"])
+
+        return F.length(a) - F.bit_count(F.aggregate(_chars(b), v["full"], row))
+
+    return let(F.struct(let(_chars(a), places).alias("places"), (F.pow(F.lit(2.0), F.length(a)).cast("long") - 1).alias("full")), length)
+
+
+#: Places in a long that leave room for a carry.
+BITS = 62
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """The length of the longest common subsequence."""
+    n, m = F.length(a), F.length(b)
+    return F.when((n == 0) | (m == 0), 0).when(a == b, n).when(n <= BITS, _lcs_by_bits(a, b)).when(m <= BITS, _lcs_by_bits(b, a)).otherwise(_lcs_by_rows(a, b))
 
 
 def ratio(a: Column, b: Column) -> Column:

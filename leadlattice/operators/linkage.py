@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leadlattice.functions import geo, text
-from leadlattice.functions.similarity import exact_dice, fuzzy_dice, jaccard, token_set_ratio
+from leadlattice.functions.similarity import exact_dice, jaccard, near_dice, token_set_ratio
+from leadlattice.operators import set_join
+from leadlattice.staging import staged
 
 
 @dataclass(frozen=True)
@@ -26,6 +27,7 @@ class Rules:
     gated_cap: float = 0.35
     generic_cap: float = 0.40
     generic_share: float = 0.10
+    rare: int = 20
     generic_least: int = 3
     corroboration: float = 0.70
     premises_km: float = 0.2
@@ -34,6 +36,8 @@ class Rules:
 
 
 RULES = Rules()
+#: So many pairs by words are scored without looking for those that matter.
+FEW_PAIRS = 10_000
 
 
 def with_keys(df: DataFrame, locale: text.Locale = text.CROATIA) -> DataFrame:
@@ -101,29 +105,93 @@ def shared_domains(places: DataFrame, suppliers: DataFrame) -> DataFrame:
     return many[0].union(many[1]).distinct()
 
 
+def _met(one: DataFrame, two: DataFrame) -> DataFrame:
+    return one.toDF("place_id", "k").join(two.toDF("supplier_id", "k"), "k").select("place_id", "supplier_id")
+
+
+def sure_candidates(places: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """Distinct (place_id, supplier_id) that share a domain, a phone or a neighbouring cell. Each place's nine cells meet a supplier's own one."""
+    near = F.explode(F.array(*[F.struct((F.col("cell_lat") + a).alias("a"), (F.col("cell_lng") + b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    out = _met(places.select("id", near), suppliers.where("lat is not null and lng is not null").select("id", F.struct(F.col("cell_lat").alias("a"), F.col("cell_lng").alias("b"))))
+    for key in ("domain", "e164"):
+        out = out.unionByName(_met(places.select("id", key), suppliers.select("id", key)))
+    return out.distinct()
+
+
 def candidates(places: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Distinct (place_id, supplier_id) that share a domain, a phone, a name token or a neighbouring cell.
 
-    Four equi-joins; generic tokens block as well, since leaving them out would lose pairs. The cell join meets each
-    place's nine cells with a supplier's own one.
+    Generic tokens block as well, since leaving them out would lose pairs, so this grows with the square of a common token's rows.
+    `link` scores far fewer of them, see `promising`.
     """
-    p, s = places, suppliers
-    by = []
-    for key in ("domain", "e164"):
-        by.append((p.select(F.col("id").alias("place_id"), F.col(key).alias("k")), s.select(F.col("id").alias("supplier_id"), F.col(key).alias("k"))))
-    by.append((p.select(F.col("id").alias("place_id"), F.explode("name_set").alias("k")), s.select(F.col("id").alias("supplier_id"), F.explode("name_set").alias("k"))))
-    near = F.explode(F.array(*[F.struct((F.col("cell_lat") + a).alias("a"), (F.col("cell_lng") + b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    by.append((p.select(F.col("id").alias("place_id"), near.alias("k")), s.where("lat is not null and lng is not null").select(F.col("id").alias("supplier_id"), F.struct(F.col("cell_lat").alias("a"), F.col("cell_lng").alias("b")).alias("k"))))
-    out = None
-    for one, two in by:
-        met = one.join(two, "k").select("place_id", "supplier_id")
-        out = met if out is None else out.unionByName(met)
-    return out.distinct()
+    words = _met(places.select("id", F.explode("name_set")), suppliers.select("id", F.explode("name_set")))
+    return sure_candidates(places, suppliers).unionByName(words).distinct()
+
+
+def with_near_words(places: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """Weighed places whose name and address weights bring the similar words of suppliers' names and addresses."""
+    for side in ("name", "address"):
+        a, b = (d.select(F.col("id").alias("name"), F.col(f"{side}_weights").alias("words"), F.col(f"{side}_total").alias("total")) for d in (places, suppliers))
+        near = set_join.with_near(a, b)[0].select(F.col("name").alias("id"), F.col("words").alias("near"))
+        # A place without words on this side has none after the join either.
+        none = F.transform(f"{side}_weights", lambda w: F.struct(w["token"].alias("token"), w["weight"].alias("weight"), F.expr("CAST(array() AS ARRAY<STRUCT<k: DOUBLE, token: STRING, most: DOUBLE, ratio: DOUBLE>>)").alias("near")))
+        places = places.join(near, "id", "left").withColumn(f"{side}_weights", F.coalesce("near", none)).drop("near")
+    return places
+
+
+def _most(rules: Rules, name: Column, address: Column) -> Column:
+    """The most that a pair of sides p_ and s_ that shares no sure key may score, with names and addresses as alike as given."""
+    both = lambda c: F.col(f"p_{c}") & F.col(f"s_{c}")
+    part = lambda c, w: F.when(both(c), w).otherwise(0.0)
+    # Cells that don't touch are further apart than any nearness, but for high latitudes.
+    near = F.when(F.abs("p_lat") < 65, 0.0).otherwise(1.0)
+    raw = (rules.name_weight * name + part("placed", rules.geo_weight) * near + part("streets", rules.address_weight) * address) / (rules.name_weight + part("placed", rules.geo_weight) + part("streets", rules.address_weight))
+    raw = raw - part("sited", rules.domain_penalty) - part("phoned", rules.phone_penalty)
+    return F.greatest(F.lit(0.0), F.when(name < rules.name_gate, F.least(raw, F.lit(rules.gated_cap))).otherwise(raw))
+
+
+def promising(places: DataFrame, suppliers: DataFrame, floors: DataFrame, fuzzy: bool = True, rules: Rules = RULES) -> DataFrame:
+    """Distinct (place_id, supplier_id) of weighed sides that share a name token, have no sure key, and may score as much as floors (place_id, floor) asks of the place.
+
+    A pair meets at the heaviest telling word that it shares, or a similar one: what else it shares comes later in the words' one order and weighs no more than
+    what is left on either side. Pairs that share generic words only have a name agreement that depends on whether either has telling words, so
+    a generic word brings together only places whose floor is below what that can give. Last, addresses are compared. No pair that may change a place's two best is lost.
+    """
+    told = lambda d: d.select("id", "lat", (F.size("name_telling") > 0).alias("telling"), (F.size("address_set") > 0).alias("streets"), (F.col("lat").isNotNull() & F.col("lng").isNotNull()).alias("placed"), F.col("domain").isNotNull().alias("sited"), F.col("e164").isNotNull().alias("phoned"))
+    p, s = told(places).join(floors.withColumnRenamed("place_id", "id"), "id"), told(suppliers)
+    worth = lambda name, address: _most(rules, name, address) >= F.col("p_floor") - 1e-9
+    itself = lambda w: F.array(F.struct((-w["weight"]).alias("k"), w["token"].alias("token"), w["weight"].alias("most"), F.lit(100.0).alias("ratio")))
+
+    def items(d: DataFrame, flags: DataFrame, near: bool) -> DataFrame:
+        words = F.col("name_weights") if near else F.transform("name_weights", lambda w: F.struct(w["token"].alias("token"), w["weight"].alias("weight"), itself(w).alias("near")))
+        listed = set_join.with_items(d.where("name_total > 0").select("id", F.col("name_total").alias("total"), F.filter(words, lambda w: w["weight"] > 0).alias("words")))
+        return listed.select("id", "total", F.explode("items").alias("i")).select("id", "total", F.col("i.token").alias("token"), F.col("i.most").alias("most"), F.col("i.after").alias("after")).join(flags, "id")
+
+    a, b = _sided(items(places, p, fuzzy), "p"), _sided(items(suppliers, s, False), "s")
+    name = F.least(F.lit(1.0), 2 * (F.col("p_most") + F.least("p_after", "s_after")) / (F.col("p_total") + F.col("s_total")))
+    by_word = a.join(b, (F.col("p_token") == F.col("s_token")) & worth(name, F.lit(1.0))).select("p_id", "s_id")
+    # Generic words, and words without weight: agreement is 0 where both sides have telling words, else what the rules give.
+    given = lambda one, two: F.when(one & two, 0.0).when(~one & ~two, rules.generic_cap).otherwise(rules.generic_cap * 0.5)
+    heavy = F.transform(F.filter("name_weights", lambda w: w["weight"] > 0), lambda w: w["token"])
+    generic = lambda d, flags: d.select("id", F.explode(F.array_except("name_set", heavy)).alias("token")).join(flags, "id")
+    ga = _sided(generic(places, p), "p").withColumn("p_other", F.explode(F.array(F.lit(True), F.lit(False))))
+    # Places that no supplier of a kind can better leave before they meet any.
+    best = F.greatest(F.lit(0.0), rules.name_weight * given(F.col("p_telling"), F.col("p_other")) + rules.geo_weight + rules.address_weight)
+    most = F.when(F.abs("p_lat") < 65, F.greatest(given(F.col("p_telling"), F.col("p_other")), (rules.name_weight * given(F.col("p_telling"), F.col("p_other")) + rules.address_weight) / (rules.name_weight + rules.address_weight))).otherwise(best / rules.name_weight)
+    ga = ga.where(most >= F.col("p_floor") - 1e-9)
+    gb = _sided(generic(suppliers, s), "s")
+    by_generic = ga.join(gb, (F.col("p_token") == F.col("s_token")) & (F.col("p_other") == F.col("s_telling")) & worth(given(F.col("p_telling"), F.col("s_telling")), F.lit(1.0))).select("p_id", "s_id")
+    met = by_word.unionByName(by_generic).distinct().toDF("place_id", "supplier_id")
+    # Of those that are left, addresses are compared, and similar words alone are no candidates.
+    wide = lambda d, flags: d.select("id", "name_set", "name_weights", "name_telling", "name_map", "name_total", "address_set", "address_weights", "address_telling", "address_map", "address_total").join(flags, "id")
+    both = with_pairs(met, wide(places, p), wide(suppliers, s)).where(F.arrays_overlap("p_name_set", "s_name_set"))
+    named = F.when(F.col("p_telling") & F.col("s_telling"), _dice("name", fuzzy)).otherwise(given(F.col("p_telling"), F.col("s_telling")))
+    return both.where(worth(named, F.when(F.col("p_streets") & F.col("s_streets"), _dice("address", fuzzy)).otherwise(0.0))).select("place_id", "supplier_id")
 
 
 def _dice(side: str, fuzzy: bool) -> Column:
     if fuzzy:
-        return fuzzy_dice(F.col(f"p_{side}_weights"), F.col(f"s_{side}_weights"))
+        return near_dice(F.col(f"p_{side}_weights"), F.col(f"s_{side}_weights"))
     return exact_dice(*[F.col(c) for c in (f"p_{side}_telling", f"s_{side}_telling", f"p_{side}_map", f"p_{side}_total", f"s_{side}_total")])
 
 
@@ -271,21 +339,63 @@ def decide(places: DataFrame, decided_pairs: DataFrame, rules: Rules = RULES) ->
     return out.withColumn("evidence", full)
 
 
-def link(places: DataFrame, suppliers: DataFrame, fuzzy: bool = True, rules: Rules = RULES, trail: bool = False) -> DataFrame:
-    """Decides for every place whether a supplier is it: keys, statistics, blocking, hard keys and scores in one plan."""
-    # Keys are used by statistics, blocking and scores: they are worked out once and may spill.
-    p, s = (with_keys(side).persist(StorageLevel.MEMORY_AND_DISK) for side in (places, suppliers))
+def pairs_to_score(p: DataFrame, s: DataFrame, score, fuzzy: bool = True, rules: Rules = RULES) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """(scored pairs that share a sure key or a rare word, further pairs) of weighed sides: all of which a place's two best, or its hard key, can be.
+
+    A place's second best score among the first is what further pairs must reach. Hard keys are sure keys, so a place that has one needs no more.
+    Places with fewer than two such pairs also meet suppliers by words that few suppliers have.
+    """
+    sure = staged(sure_candidates(p, s), "pairs")
+    thin = p.join(sure.groupBy(F.col("place_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "id", "left_anti")
+    rare = s.select(F.explode("name_set").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= rules.rare).select("token")
+    by_rare = _met(thin.select("id", F.explode("name_set")), s.select("id", F.explode("name_set").alias("token")).join(rare, "token").select("id", "token"))
+    first = staged(score(sure.unionByName(by_rare).distinct()), "scored")
+    order = Window.partitionBy("place_id").orderBy(F.col("score").desc(), "supplier_id")
+    second = first.select("place_id", "supplier_id", "score").withColumn("n", F.row_number().over(order)).where("n <= 2").groupBy("place_id").agg(F.max(F.when(F.col("n") == 2, F.col("score"))).alias("floor"))
+    decided = first.where("hard_rank is not null").select("place_id").distinct()
+    floors = p.select(F.col("id").alias("place_id")).join(decided, "place_id", "left_anti").join(second, "place_id", "left").select("place_id", F.coalesce("floor", F.lit(0.0)).alias("floor"))
+    more = promising(p, s, floors, fuzzy, rules).join(first.select("place_id", "supplier_id"), ["place_id", "supplier_id"], "left_anti")
+    return first, staged(more, "pairs")
+
+
+def weighed_sides(places: DataFrame, suppliers: DataFrame, fuzzy: bool = True, rules: Rules = RULES) -> tuple[DataFrame, DataFrame]:
+    """Places and suppliers with keys and weights, written once, since statistics, blocking and scores all read them."""
+    p, s = (staged(with_keys(side), "keys") for side in (places, suppliers))
     n = corpus_size(p, s)
     names = idf_table(p.select("name_set").union(s.select("name_set")), "name_set", n, rules)
     addresses = idf_table(s, "address_set", n, rules)
     # Tokens of places that no supplier's address has weigh as unseen ones.
     unseen = p.select(F.explode("address_set").alias("token")).distinct().join(addresses, "token", "left_anti").crossJoin(F.broadcast(n))
     addresses = addresses.union(unseen.select("token", F.lit(0), F.log(F.col("n_docs") + 1), F.lit(False)))
-    pairs = with_pairs(candidates(p, s), weigh(p, names, addresses), weigh(s, names, addresses))
-    d = scored(hard_keys(pairs, shared_domains(p, s), rules), fuzzy, rules)
-    if trail:
-        d = d.withColumn("evidence", evidence())
-    return decide(p, d, rules)
+    p, s = (staged(weigh(side, names, addresses), "weights") for side in (p, s))
+    return (staged(with_near_words(p, s), "near") if fuzzy else p), s
+
+
+def met_by_words(p: DataFrame, s: DataFrame) -> int:
+    """How many pairs share a name token, once for each that they share: a count of counts, without any pair."""
+    each = lambda d, n: d.select(F.explode("name_set").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias(n))
+    return each(p, "a").join(each(s, "b"), "token").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
+
+
+def link(places: DataFrame, suppliers: DataFrame, fuzzy: bool = True, rules: Rules = RULES, trail: bool = False, prune: bool | None = None) -> DataFrame:
+    """Decides for every place whether a supplier is it: keys, statistics, blocking, hard keys and scores.
+
+    Ids are each side's own and not null. Written steps are read again, so jobs run while the plan is made. Where names share words often, only pairs that can change a
+    decision, its score or its runner-up are scored; `prune` says so either way, and decisions are the same.
+    """
+    p, s = weighed_sides(places, suppliers, fuzzy, rules)
+    shared = staged(shared_domains(p, s), "domains")
+
+    def score(pairs: DataFrame) -> DataFrame:
+        d = scored(hard_keys(with_pairs(pairs, p, s), shared, rules), fuzzy, rules)
+        return d.select("place_id", "supplier_id", "score", "hard_rank", "hard_signal", *([evidence().alias("evidence")] if trail else []))
+
+    if prune is None:
+        prune = met_by_words(p, s) > FEW_PAIRS
+    if not prune:
+        return decide(p, score(candidates(p, s)), rules)
+    first, more = pairs_to_score(p, s, score, fuzzy, rules)
+    return decide(p, first.unionByName(score(more)), rules)
 
 
 def brute_force_best(places: DataFrame, suppliers: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def with_near(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return told, b.select("name", "total", F.transform("words", lambda w: F.struct(w["token"].alias("token"), w["weight"].alias("weight"), itself(w).alias("near"))).alias("words"))
 
 
-def _with_items(names: DataFrame) -> DataFrame:
+def with_items(names: DataFrame) -> DataFrame:
     """Adds items, the words of the other side that a name may match, in one order for all names, heaviest first; and best, each own word's most.
 
     An item has the most that it may add itself, and that all from it on, and all after it, may add together: each own word counts once in those.
@@ -96,8 +96,8 @@ def candidate_names(one: DataFrame, two: DataFrame, floor: float) -> DataFrame:
 
     `one` and `two` are (pool, name, total, words), see with_near.
     """
-    a = _keyed(_with_items(one), "a", floor).select("pool", "k", F.col("name").alias("a"), F.col("total").alias("ta"))
-    b = _keyed(_with_items(two), "b", floor).select("pool", "k", F.col("name").alias("b"), F.col("total").alias("tb"))
+    a = _keyed(with_items(one), "a", floor).select("pool", "k", F.col("name").alias("a"), F.col("total").alias("ta"))
+    b = _keyed(with_items(two), "b", floor).select("pool", "k", F.col("name").alias("b"), F.col("total").alias("tb"))
     # What matches weighs no more than the lighter name.
     met = a.join(b, ["pool", "k"]).where(F.least("ta", "tb") * (2 - floor) >= F.greatest("ta", "tb") * (floor - 1e-9))
     return met.select("pool", "a", "b").distinct()
