@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leadlattice.functions import geo
+from leadlattice.operators import regions as region_joins
 
 #: Fixed value: places returned for a cell and query at most, and how far outside a border a region reaches.
 RESULT_CAP, TOLERANCE_KM = 60, 8.0
@@ -111,33 +112,26 @@ def circle_points(circles: DataFrame, segments: int = 256) -> DataFrame:
     return d.select("area_id", "at", lat.alias("lat"), lng.alias("lng"))
 
 
-def densified(outlines: DataFrame, step_km: float = 0.5) -> DataFrame:
-    """Outlines (area_id, at, lat, lng) with points added so that neighbours are no farther apart than the step; outlines are closed."""
-    order = Window.partitionBy("area_id").orderBy("at")
-    first = Window.partitionBy("area_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(first))
-    d = outlines.withColumn("lat2", after("lat")).withColumn("lng2", after("lng"))
-    n = F.greatest(F.lit(1), F.ceil(geo.haversine_km(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")) / step_km)).cast("int")
-    d = d.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    share = F.col("k") / F.col("n")
-    return d.select("area_id", "at", "k", (F.col("lat") + share * (F.col("lat2") - F.col("lat"))).alias("lat"), (F.col("lng") + share * (F.col("lng2") - F.col("lng"))).alias("lng"))
-
-
-def check_areas(outlines: DataFrame, regions: dict = REGIONS, closed: tuple[str, ...] = (), step_km: float = 0.5) -> DataFrame:
+def check_areas(outlines: DataFrame, regions: dict = REGIONS, closed: tuple[str, ...] = (), tolerance_km: float = TOLERANCE_KM) -> DataFrame:
     """(area_id, verdict, region) of outlines (area_id, at, lat, lng): inside one open region with its tolerance, beyond it, or outside of all.
 
-    An area is inside if its whole outline is, of which points are tested that are no farther apart than the step. Among several
-    regions the one with most of the outline is named, ties by name.
+    An area is inside if its whole outline is, which is worked out edge by edge and not from samples. Among several regions the one
+    that holds most of the outline's length is named, ties by name.
     """
-    points = densified(outlines, step_km)
     open_ = {name: outline for name, (on, outline) in regions.items() if on and name not in closed}
     if not open_:
         return outlines.select("area_id").distinct().select("area_id", F.lit("no region is open").alias("verdict"), F.lit(None).cast("string").alias("region"))
-    counts = points.groupBy("area_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(in_region(F.col("lat"), F.col("lng"), outline)).alias(f"in_{name}") for name, outline in open_.items()])
-    best = F.array_min(F.array(*[F.struct((-F.col(f"in_{name}")).alias("m"), F.lit(name).alias("name")) for name in sorted(open_)]))
-    d = counts.withColumn("b", best)
-    most = -F.col("b.m")
-    return d.select("area_id", F.when(most == F.col("n"), "inside").when(most > 0, "beyond").otherwise("outside").alias("verdict"), F.when(most > 0, F.col("b.name")).alias("region"))
+    told = None
+    for name, outline in open_.items():
+        ring, lat0, lng0 = local_ring(outline)
+        x, y = geo.to_km(F.col("lat"), F.col("lng"), lat0, lng0)
+        lines = region_joins.edges(outlines.select("area_id", "at", x.alias("x"), y.alias("y")), "x", "y")
+        d = region_joins.share_outside(lines, ring, tolerance_km).withColumn("km", F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2)))
+        d = d.groupBy("area_id").agg(F.max("outside").alias("outside"), F.sum((1 - F.col("outside")) * F.col("km")).alias("km"), F.min("outside").alias("least")).withColumn("region", F.lit(name))
+        told = d if told is None else told.unionByName(d)
+    best = told.groupBy("area_id").agg(F.min(F.struct((-F.col("km")).alias("m"), "region", "outside", "least")).alias("b"))
+    verdict = F.when(F.col("b.outside") <= 1e-12, "inside").when(F.col("b.least") < 1, "beyond").otherwise("outside")
+    return best.select("area_id", verdict.alias("verdict"), F.when(verdict != "outside", F.col("b.region")).alias("region"))
 
 
 def region_list(spark: SparkSession, regions: dict = REGIONS, closed: tuple[str, ...] = ()) -> DataFrame:

@@ -193,10 +193,11 @@ def terms_by_category(terms: DataFrame) -> DataFrame:
     return terms.where("enabled").groupBy("category").agg(F.array_sort(F.collect_list("term")).alias("terms"))
 
 
-def validate_terms(requested: DataFrame, terms: DataFrame, most: int = 3) -> DataFrame:
-    """Adds canonical and accepted to requested (at, term): terms of the enabled list in any case, of which the first `most` count."""
+def validate_terms(requested: DataFrame, terms: DataFrame, most: int = 3, by: str | None = None) -> DataFrame:
+    """Adds canonical and accepted to requested (at, term): terms of the enabled list in any case, of which the first `most` count, of each request if a column `by` says which."""
     known = terms.where("enabled").select(F.lower("term").alias("key"), F.col("term").alias("canonical"))
     d = requested.withColumn("key", F.lower(F.trim("term"))).join(known, "key", "left")
     # A request is a short list; only terms that are on the list are numbered.
-    nth = F.when(F.col("canonical").isNotNull(), F.sum(F.col("canonical").isNotNull().cast("int")).over(Window.orderBy("at")))
-    return d.select("at", "term", "canonical", F.coalesce(nth <= most, F.lit(False)).alias("accepted"))
+    order = (Window.partitionBy(by) if by else Window).orderBy("at")
+    nth = F.when(F.col("canonical").isNotNull(), F.sum(F.col("canonical").isNotNull().cast("int")).over(order))
+    return d.select(*([by] if by else []), "at", "term", "canonical", F.coalesce(nth <= most, F.lit(False)).alias("accepted"))

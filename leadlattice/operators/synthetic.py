@@ -66,7 +66,11 @@ FIRST, SECOND, TOWNS = ("Adria", "Bura", "Maestral", "Sidro", "Galeb", "Val", "J
 
 
 def synthetic_places(spark: SparkSession, count: int = 200, seed: int = 11, spread: float = 0.05) -> DataFrame:
-    """(id, name, website, phone, rating, review_count, lat, lng, destination_id): invented places with unique names, some without a site or phone.
+    return invented_places(spark.range(count), seed, spread)
+
+
+def invented_places(ids: DataFrame, seed: int = 11, spread: float = 0.05) -> DataFrame:
+    """For each id: (id, name, website, phone, rating, review_count, lat, lng, destination_id): invented places with unique names, some without a site or phone.
 
     Review counts are lognormal around 30, by the sum of twelve uniform numbers.
     """
@@ -74,7 +78,7 @@ def synthetic_places(spark: SparkSession, count: int = 200, seed: int = 11, spre
     pick = lambda values, salt: F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(u(salt) * len(values)) + 1).cast("int"))
     normal = sum((u(f"n{i}") for i in range(1, 12)), u("n0")) - 6
     town = F.element_at(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("lat"), F.lit(b).alias("lng")) for n, a, b in TOWNS]), (F.floor(u("town") * len(TOWNS)) + 1).cast("int"))
-    d = spark.range(count).withColumn("town", town)
+    d = ids.withColumn("town", town)
     name = F.concat_ws(" ", pick(FIRST, "first"), pick(SECOND, "second"), F.col("id").cast("string"))
     return d.select(
         "id", name.alias("name"), F.when(u("site") >= NO_SITE, F.concat(F.lit("https://www.p"), F.col("id").cast("string"), F.lit(".hr"))).alias("website"),

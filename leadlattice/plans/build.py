@@ -8,16 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlattice.functions import text
-from leadlattice.operators import areas, catalogue, classification, costs, diagnostics, evaluation, leads, linkage, market, scoring, synthetic
+from leadlattice.operators import areas, catalogue, classification, costs, diagnostics, evaluation, leads, linkage, market, regions, scoring, synthetic
 from leadlattice.plans import views
 from leadlattice.plans.views import table
 from leadlattice.sources import files, landed
 
-TERMS = [("Boat Tour", "boat_tour", True), ("island hopping", "boat_tour", True), ("wine tasting", "food_drink", True), ("walking tour", "walking_tour", True), ("zipline", "adventure", False), ("Diving centre", "water_sports", True)]
-ASKED = [(0, "boat tour "), (1, "spa day"), (2, "ZIPLINE"), (3, "Wine Tasting"), (4, "diving centre"), (5, "walking tour")]
-CIRCLES = [(1, 43.5081, 16.4402, 8.0), (2, 45.8150, 15.9819, 15.0), (3, 44.8125, 20.4612, 10.0), (4, 43.2, 17.7, 18.0), (5, 42.0, 12.5, 5.0), (6, 44.0, 15.0, 20.0)]
-OUTLINE = ((43.55, 16.30), (43.55, 16.60), (43.45, 16.55), (43.48, 16.45), (43.44, 16.33))
-
 
 def lead_decoration(spark: SparkSession, sf: str) -> DataFrame:
     d = leads.decorate(views.finds(spark, sf))
@@ -110,13 +105,13 @@ def sweep_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_terms(spark: SparkSession, sf: str) -> DataFrame:
-    terms = spark.createDataFrame(TERMS, "term string, category string, enabled boolean")
-    return leads.validate_terms(spark.createDataFrame(ASKED, "at int, term string"), terms)
+    """Requests of eight terms, of which some are spelled otherwise, closed or unknown."""
+    asked = table(spark, sf, "part").selectExpr("p_partkey div 8 as request", "p_partkey as at", "case when p_partkey % 7 = 0 then concat(p_name, 's') when p_partkey % 3 = 0 then concat(' ', upper(p_name), ' ') else p_name end as term")
+    return leads.validate_terms(asked, _terms(spark, sf), by="request").select("request", "at", "term", "canonical", "accepted")
 
 
 def terms_by_category(spark: SparkSession, sf: str) -> DataFrame:
-    d = leads.terms_by_category(spark.createDataFrame(TERMS, "term string, category string, enabled boolean"))
-    return d.select("category", F.array_join("terms", ",").alias("terms"))
+    return leads.terms_by_category(_terms(spark, sf)).select("category", F.array_join("terms", ",").alias("terms"))
 
 
 def classified(spark: SparkSession, sf: str) -> DataFrame:
@@ -286,8 +281,56 @@ def cell_shapes(spark: SparkSession, sf: str) -> DataFrame:
     return areas.cell_shapes(cells).select("id", *[F.round(c, 6).alias(c) for c in ("radius_km", "north", "south", "east", "west")], areas.auto_half_side(F.col("half_side_km") * 100).alias("auto_half_side"))
 
 
+def _circles(spark: SparkSession, sf: str) -> DataFrame:
+    """A circle for each supplier."""
+    return table(spark, sf, "supplier").selectExpr("s_suppkey as area_id", "42.0d + (s_suppkey * 37 % 100) / 20.0d as lat", "13.0d + (s_suppkey * 53 % 100) / 12.0d as lng", "3.0d + s_suppkey % 9 as radius_km")
+
+
+def _outlines(spark: SparkSession, sf: str) -> DataFrame:
+    """A star of ten points for each supplier, deep or blunt."""
+    d = areas.circle_points(_circles(spark, sf), segments=10)
+    deep = F.when(F.col("at") % 2 == 1, F.expr("0.3d + (area_id % 4) / 5.0d")).otherwise(1.0)
+    c = _circles(spark, sf).select("area_id", F.col("lat").alias("clat"), F.col("lng").alias("clng"))
+    return d.join(c, "area_id").select("area_id", "at", (F.col("clat") + (F.col("lat") - F.col("clat")) * deep).alias("lat"), (F.col("clng") + (F.col("lng") - F.col("clng")) * deep).alias("lng"))
+
+
+def cover_circle(spark: SparkSession, sf: str) -> DataFrame:
+    return regions.cover_circles(_circles(spark, sf), 2.0).select("area_id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "half_side_km")
+
+
 def polygon_cover(spark: SparkSession, sf: str) -> DataFrame:
-    return areas.cover(spark, areas.Area.polygon(OUTLINE), 1.5).select(F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "half_side_km")
+    return regions.cover_areas(_outlines(spark, sf), 1.5).select("area_id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "half_side_km")
+
+
+def points_in_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """Which suppliers' areas, in degrees four times as wide, hold which listings."""
+    wide = _outlines(spark, sf).join(_circles(spark, sf).select("area_id", F.col("lat").alias("clat"), F.col("lng").alias("clng")), "area_id")
+    wide = wide.select("area_id", "at", (F.col("clat") + 4 * (F.col("lat") - F.col("clat"))).alias("lat"), (F.col("clng") + 4 * (F.col("lng") - F.col("clng"))).alias("lng"))
+    return regions.points_in_areas(views.listings(spark, sf).selectExpr("id", "lat", "lng - 3 as lng"), wide)
+
+
+def quadtree_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Three rounds of quarters of a cell about each supplier."""
+    cells = _circles(spark, sf).selectExpr("lat", "lng", "radius_km as half_side_km", "0 as depth")
+    for _ in range(3):
+        cells = areas.subdivide(cells)
+    return cells.select(F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "half_side_km", "depth")
+
+
+def sweep_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    """What sweeps of each supplier's market would cost."""
+    return costs.estimate_sweep(table(spark, sf, "supplier").selectExpr("s_suppkey as id", "cast(s_suppkey * 7 % 400 + 1 as int) as cells", "cast(s_nationkey % 5 + 1 as int) as queries"))
+
+
+def at_scale(spark: SparkSession, sf: str) -> DataFrame:
+    """Costs by kind of event, a cent for each hundred of values, carried to more destinations."""
+    stages = table(spark, sf, "events").groupBy(F.col("event_type").alias("stage")).agg((F.sum(F.expr("event_id % 1000")) / 1000000.0).cast("double").alias("usd"))
+    return costs.at_scale(stages, [1, 10, 50, 200, 500])
+
+
+def _terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Search terms: each name of parts, by its smallest type, open unless its first part is large."""
+    return table(spark, sf, "part").groupBy(F.col("p_name").alias("term")).agg(F.min("p_type").alias("category"), (F.min_by("p_size", "p_partkey") <= 40).alias("enabled"))
 
 
 def points_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,7 +339,7 @@ def points_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def area_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return areas.check_areas(areas.circle_points(spark.createDataFrame(CIRCLES, "area_id int, lat double, lng double, radius_km double")))
+    return areas.check_areas(_outlines(spark, sf))
 
 
 def _search(spark: SparkSession, sf: str):  # noqa: ANN202
@@ -371,7 +414,8 @@ def expected_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def synthetic_places(spark: SparkSession, sf: str) -> DataFrame:
-    d = synthetic.synthetic_places(spark, 500)
+    """An invented place for each supplier."""
+    d = synthetic.invented_places(table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("id")))
     return d.select("id", "name", "website", "phone", F.round("rating", 1).alias("rating"), F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
@@ -379,6 +423,6 @@ ALL = [
     lead_decoration, address_destination, find_scores, warehouse_columns, csv_export, review_queue, match_log, funnel, lead_gate, already_known, top_and_bottom, leads_page, site_first, console_filter, filter_options,
     console_tallies, sweep_scores, search_terms, terms_by_category, classification_rows, classification_summary, resolved_categories, watched_rejects, landed_classifications, miss_attribution, duplicate_names,
     confusion_examples, band_settings, axis_ceiling, axis_liveness, distinctive_words, generic_explained, field_coverage, type_histogram, enrichment_summary, booking_histogram, unreadable_reasons, descriptions,
-    shared_phone_summary, site_sample, taxonomy_children, taxonomy_tops, register_entries, licences, licence_position, cell_shapes, polygon_cover, points_in_polygon, area_checks, adaptive_sweep, landed_searches,
+    shared_phone_summary, site_sample, taxonomy_children, taxonomy_tops, register_entries, licences, licence_position, cell_shapes, polygon_cover, cover_circle, quadtree_cells, sweep_estimate, at_scale, points_in_areas, points_in_polygon, area_checks, adaptive_sweep, landed_searches,
     landed_places, landed_ledger, newest_register, not_landed, run_cost, stage_economics, expected_verdicts, synthetic_places,
 ]

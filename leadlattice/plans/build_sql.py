@@ -104,12 +104,17 @@ def _edges(outline: tuple) -> str:
 edge_v AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM km_v a JOIN km_v b ON b.i = (a.i + 1) % {n})"""
 
 
+_CIRCLES = f"circle_v AS (SELECT s_suppkey AS area_id, {d(42)} + CAST(s_suppkey * 37 % 100 AS DOUBLE) / 20 AS clat, {d(13)} + CAST(s_suppkey * 53 % 100 AS DOUBLE) / 12 AS clng, {d(3)} + s_suppkey % 9 AS r FROM supplier)"
+#: A star of ten points about each supplier.
+_STARS = f"""{_CIRCLES}, star_v AS (SELECT area_id, i, clat, clng, clat + k * r * sin(2 * pi() * i / 10) / {d(111.32)} AS lat, clng + k * r * cos(2 * pi() * i / 10) / ({d(111.32)} * cos(radians(clat))) AS lng
+  FROM (SELECT *, CASE WHEN i % 2 = 1 THEN {d(0.3)} + CAST(area_id % 4 AS DOUBLE) / 5 ELSE {d(1)} END AS k FROM circle_v, range(10) t(i)))"""
 _EDGE_SIDE = "(x2 - x1) * (y + ({1}) - y1) - (y2 - y1) * (x + ({0}) - x1)"
 _SIDES = ", ".join(_EDGE_SIDE.format(a, b) for a in ("-1.5", "1.5") for b in ("-1.5", "1.5"))
-_COVER = f"""{_edges(_OUTLINE)}, box_v AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x9, max(y) AS y9 FROM km_v),
-grid_v AS (SELECT x0 + {d(1.5)} * (2 * i + 1) AS x, y0 + {d(1.5)} * (2 * j + 1) AS y FROM box_v, range(20) a(i), range(20) b(j) WHERE x0 + 3 * i < x9 AND y0 + 3 * j < y9),
-met_v AS (SELECT x, y, bool_or(least(x1, x2) <= x + 1.5 AND greatest(x1, x2) >= x - 1.5 AND least(y1, y2) <= y + 1.5 AND greatest(y1, y2) >= y - 1.5 AND least({_SIDES}) <= 0 AND greatest({_SIDES}) >= 0) AS crossed,
-  sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM grid_v, edge_v GROUP BY x, y)"""
+_COVER = f"""{_STARS}, ref_v AS (SELECT area_id, avg(lat) AS lat0, avg(lng) AS lng0 FROM star_v GROUP BY 1), km_v AS (SELECT area_id, i, (lng - lng0) * {d(111.32)} * cos(radians(lat0)) AS x, (lat - lat0) * {d(111.32)} AS y FROM star_v JOIN ref_v USING (area_id)),
+edge_v AS (SELECT a.area_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM km_v a JOIN km_v b ON b.area_id = a.area_id AND b.i = (a.i + 1) % 10), box_v AS (SELECT area_id, min(x) AS x0, min(y) AS y0, max(x) AS x9, max(y) AS y9 FROM km_v GROUP BY 1),
+grid_v AS (SELECT area_id, i, j, x0 + {d(1.5)} * (2 * i + 1) AS x, y0 + {d(1.5)} * (2 * j + 1) AS y FROM box_v, range(20) a(i), range(20) b(j) WHERE x0 + 3 * i < x9 AND y0 + 3 * j < y9),
+met_v AS (SELECT area_id, x, y, bool_or(least(x1, x2) <= x + 1.5 AND greatest(x1, x2) >= x - 1.5 AND least(y1, y2) <= y + 1.5 AND greatest(y1, y2) >= y - 1.5 AND least({_SIDES}) <= 0 AND greatest({_SIDES}) >= 0) AS crossed,
+  sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM grid_v JOIN edge_v USING (area_id) GROUP BY area_id, x, y)"""
 _CROATIA = (45.60, 13.55)
 
 
@@ -117,9 +122,8 @@ def _area_checks() -> str:
     from leadlattice.plans.oracle import _region_outline
 
     outline, lat0, lng0 = _region_outline()
-    circles = ", ".join(f"({i}, {d(a)}, {d(b)}, {d(r)})" for i, a, b, r in [(1, 43.5081, 16.4402, 8.0), (2, 45.8150, 15.9819, 15.0), (3, 44.8125, 20.4612, 10.0), (4, 43.2, 17.7, 18.0), (5, 42.0, 12.5, 5.0), (6, 44.0, 15.0, 20.0)])
-    return f"""WITH e(x1, y1, x2, y2) AS (VALUES {_ring_sql(outline)}), c(area_id, lat, lng, r) AS (VALUES {circles}),
-p AS (SELECT area_id, i, lat + r * sin(2 * pi() * i / 256) / {d(111.32)} AS la, lng + r * cos(2 * pi() * i / 256) / ({d(111.32)} * cos(radians(lat))) AS ln FROM c, range(256) t(i)),
+    return f"""WITH e(x1, y1, x2, y2) AS (VALUES {_ring_sql(outline)}), {_STARS},
+p AS (SELECT a.area_id, a.i * 200 + k AS i, a.lat + (b.lat - a.lat) * k / {d(200)} AS la, a.lng + (b.lng - a.lng) * k / {d(200)} AS ln FROM star_v a JOIN star_v b ON b.area_id = a.area_id AND b.i = (a.i + 1) % 10, range(200) t(k)),
 q AS (SELECT area_id, i, (ln - {d(lng0)}) * {d(111.32)} * cos(radians({d(lat0)})) AS x, (la - {d(lat0)}) * {d(111.32)} AS y FROM p),
 m AS (SELECT area_id, i, x, y, x1, y1, x2, y2, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (power(x2 - x1, 2) + power(y2 - y1, 2)))) AS t FROM q, e),
 r AS (SELECT area_id, i, sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) THEN 1 ELSE 0 END) % 2 = 1 OR min(sqrt(power(x - x1 - t * (x2 - x1), 2) + power(y - y1 - t * (y2 - y1), 2))) <= 8 AS ok FROM m GROUP BY area_id, i)
@@ -163,8 +167,8 @@ count(*) FILTER (verdict = 'needs_review' AND NOT known) AS net_new_held_in_revi
     "filter_options": f"WITH {FIND_SQL}, f AS (SELECT 'locality' AS field, locality AS value FROM deco_v UNION ALL SELECT 'category', category FROM deco_v) SELECT field, value, count(*) AS n FROM f WHERE value <> '' GROUP BY 1, 2",
     "console_tallies": f"WITH {SCORE_SQL} SELECT count(*) AS leads, count(*) FILTER (band = 'A') AS band_a, count(*) FILTER (band = 'B') AS band_b, count(*) FILTER (band = 'C') AS band_c, count(*) FILTER (marketplaces = 'tripadvisor') AS tripadvisor_not_viator, count(*) FILTER (gap_fit > 0) AS in_a_gap, count(*) FILTER (coalesce(website, '') = '') AS no_website FROM banded_v",
     "sweep_scores": f"WITH {SCORE_SQL} SELECT id, round(composite, 6) AS composite, false AS enriched FROM scored_v",
-    "search_terms": "WITH t(term) AS (VALUES ('Boat Tour'), ('island hopping'), ('wine tasting'), ('walking tour'), ('Diving centre')), a(nr, term) AS (VALUES (0, 'boat tour '), (1, 'spa day'), (2, 'ZIPLINE'), (3, 'Wine Tasting'), (4, 'diving centre'), (5, 'walking tour')), j AS (SELECT a.nr, a.term, t.term AS canonical FROM a LEFT JOIN t ON lower(trim(a.term)) = lower(t.term)) SELECT nr AS \"at\", term, canonical, canonical IS NOT NULL AND (SELECT count(*) FROM j k WHERE k.nr <= j.nr AND k.canonical IS NOT NULL) <= 3 AS accepted FROM j",
-    "terms_by_category": "SELECT * FROM (VALUES ('boat_tour', 'Boat Tour,island hopping'), ('food_drink', 'wine tasting'), ('walking_tour', 'walking tour'), ('water_sports', 'Diving centre')) v(category, terms)",
+    "search_terms": "WITH t AS (SELECT p_name AS term FROM part GROUP BY p_name HAVING arg_min(p_size, p_partkey) <= 40), a AS (SELECT p_partkey // 8 AS request, p_partkey AS nr, CASE WHEN p_partkey % 7 = 0 THEN p_name || 's' WHEN p_partkey % 3 = 0 THEN ' ' || upper(p_name) || ' ' ELSE p_name END AS term FROM part), j AS (SELECT a.*, t.term AS canonical FROM a LEFT JOIN t ON lower(trim(a.term)) = lower(t.term)) SELECT request, nr AS \"at\", term, canonical, canonical IS NOT NULL AND count(canonical) OVER (PARTITION BY request ORDER BY nr) <= 3 AS accepted FROM j",
+    "terms_by_category": "SELECT category, string_agg(term, ',' ORDER BY term) AS terms FROM (SELECT p_name AS term, min(p_type) AS category FROM part GROUP BY p_name HAVING arg_min(p_size, p_partkey) <= 40) GROUP BY category",
     "classification_rows": f"""WITH {FIND_SQL}, c AS (SELECT id, CASE WHEN id % 5 IN (0, 4) THEN 'not_relevant' WHEN id % 5 = 2 THEN 'experience_operator' END AS ruled, CASE WHEN id % 6 <> 5 THEN verdict END AS said, CASE WHEN id % 6 <> 5 THEN CAST(id % 100 AS DOUBLE) / 100 END AS sure,
 {u('3', 0).replace(" || ' ' || '3' || ' 0'", " || ' 3'")} AS draw FROM find_v), k AS (SELECT *, ruled IS NOT NULL AND draw < CASE WHEN ruled = 'not_relevant' THEN {d(0.2)} ELSE {d(0.05)} END AS audited FROM c)
 SELECT id, coalesce(ruled, said, 'experience_operator') AS verdict, CASE WHEN ruled = 'not_relevant' THEN {d(0.95)} WHEN ruled IS NOT NULL THEN {d(0.9)} ELSE coalesce(sure, 0) END AS confidence, CASE WHEN ruled IS NULL THEN 'model' ELSE 'rule' END AS decided_by, ruled IS NULL AND coalesce(sure, 0) < {d(0.6)} AS needs_review, audited, audited AND coalesce(said <> ruled, false) AS disagrees FROM k""",
@@ -196,7 +200,10 @@ k AS (SELECT tier, CASE WHEN dom THEN 500 - least(500, every) ELSE greatest(0, l
     "licences": f"WITH {_LICENCE} SELECT id AS place_id, seq, line_no, legal_name, round(agreement, 4) AS agreement, same AS address_agreement FROM hit_v",
     "licence_position": f"WITH {_LICENCE} SELECT CASE WHEN liability_insurance AND insolvency_protection THEN 'both declared' WHEN liability_insurance THEN 'liability only' WHEN insolvency_protection THEN 'insolvency only' WHEN NOT liability_insurance OR NOT insolvency_protection THEN 'neither declared' ELSE 'no declaration held' END AS position, count(*) AS n, count(*) FILTER (same) AS by_address FROM hit_v h JOIN entry_v e ON e.seq = h.seq AND e.line_no = h.line_no GROUP BY 1",
     "cell_shapes": f"WITH c AS (SELECT s_suppkey AS id, {d(43)} + CAST(s_suppkey % 50 AS DOUBLE) / 20 AS lat, {d(15)} + CAST(s_suppkey % 70 AS DOUBLE) / 25 AS lng, {d(1.5)} + s_suppkey % 4 AS h FROM supplier) SELECT id, round(h * sqrt({d(2)}) * {d(1.002)}, 6) AS radius_km, round(lat + h / {d(111.32)}, 6) AS north, round(lat - h / {d(111.32)}, 6) AS south, round(lng + h / ({d(111.32)} * cos(radians(lat))), 6) AS east, round(lng - h / ({d(111.32)} * cos(radians(lat))), 6) AS west, CASE WHEN h = 1.5 THEN {d(4)} WHEN h = 2.5 THEN {d(4)} WHEN h = 3.5 THEN {d(4)} ELSE {d(5)} END AS auto_half_side FROM c",
-    "polygon_cover": f"WITH {_COVER} SELECT round(y / {d(111.32)} + lat0, 6) AS lat, round(x / ({d(111.32)} * cos(radians(lat0))) + lng0, 6) AS lng, {d(1.5)} AS half_side_km FROM met_v, ref_v WHERE crossed OR inside",
+    "polygon_cover": f"WITH {_COVER} SELECT area_id, round(y / {d(111.32)} + lat0, 6) AS lat, round(x / ({d(111.32)} * cos(radians(lat0))) + lng0, 6) AS lng, {d(1.5)} AS half_side_km FROM met_v JOIN ref_v USING (area_id) WHERE crossed OR inside",
+    "cover_circle": f"WITH {_CIRCLES}, g AS (SELECT *, 2 * (2 * i + 1) - r AS x, 2 * (2 * j + 1) - r AS y FROM circle_v, range(8) a(i), range(8) b(j) WHERE 2 * i < r AND 2 * j < r) SELECT area_id, round(y / {d(111.32)} + clat, 6) AS lat, round(clng + x / ({d(111.32)} * cos(radians(clat))), 6) AS lng, {d(2)} AS half_side_km FROM g WHERE power(greatest(0, abs(x) - 2), 2) + power(greatest(0, abs(y) - 2), 2) <= r * r",
+    "quadtree_cells": f"WITH RECURSIVE {_CIRCLES}, q AS (SELECT clat AS lat, clng AS lng, r AS half_side_km, 0 AS depth FROM circle_v UNION ALL SELECT lat + a * half_side_km / 2 / {d(111.32)}, lng + b * half_side_km / 2 / ({d(111.32)} * cos(radians(lat))), half_side_km / 2, depth + 1 FROM q, (VALUES (1, 1), (1, -1), (-1, 1), (-1, -1)) AS s(a, b) WHERE depth < 3) SELECT round(lat, 6) AS lat, round(lng, 6) AS lng, half_side_km, depth FROM q WHERE depth = 3",
+    "points_in_areas": f"WITH {KEYS_SQL}, {_STARS}, w AS (SELECT area_id, i, clat + 4 * (lat - clat) AS y, clng + 4 * (lng - clng) AS x FROM star_v), ed AS (SELECT a.area_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM w a JOIN w b ON b.area_id = a.area_id AND b.i = (a.i + 1) % 10) SELECT id, area_id FROM key_v, ed GROUP BY id, area_id HAVING sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lng - 3 < x1 + (lat - y1) * (x2 - x1) / (y2 - y1) THEN 1 ELSE 0 END) % 2 = 1",
     "points_in_polygon": f"WITH {KEYS_SQL}, {_edges(_FIELD)}, a AS (SELECT round(abs(sum(x1 * y2 - x2 * y1)) / 2, 2) AS km2 FROM edge_v), q AS (SELECT id, (lng - lng0) * {d(111.32)} * cos(radians(lat0)) AS x, (lat - lat0) * {d(111.32)} AS y FROM key_v, ref_v), r AS (SELECT id, sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM q, edge_v GROUP BY id) SELECT id, km2 FROM r, a WHERE inside",
     "area_checks": _area_checks(),
     "adaptive_sweep": _SWEEP,
@@ -224,7 +231,7 @@ _MARKS = {
 }
 SQL["corruption_histogram"] = f"WITH {KEYS_SQL}, s AS (SELECT * FROM key_v WHERE {u('role')} < 0.4), m AS ({' UNION ALL '.join(f'SELECT {chr(39)}{k}{chr(39)} AS corruption FROM s WHERE {c}' for k, c in _MARKS.items())}) SELECT corruption, count(*) AS n FROM m GROUP BY 1"
 _PICK = "([{0}])[CAST(floor({1} * {2}) AS INTEGER) + 1]"
-SQL["synthetic_places"] = f"""WITH r AS (SELECT CAST(range AS BIGINT) AS id FROM range(500)), v AS (SELECT id, {_PICK.format("'Adria', 'Bura', 'Maestral', 'Sidro', 'Galeb', 'Val', 'Jedro', 'Otok'", u('first', 11), 8)} AS a, {_PICK.format("'Tours', 'Charter', 'Experience', 'Kayak', 'Wine', 'Walks'", u('second', 11), 6)} AS b,
+SQL["synthetic_places"] = f"""WITH r AS (SELECT CAST(s_suppkey AS BIGINT) AS id FROM supplier), v AS (SELECT id, {_PICK.format("'Adria', 'Bura', 'Maestral', 'Sidro', 'Galeb', 'Val', 'Jedro', 'Otok'", u('first', 11), 8)} AS a, {_PICK.format("'Tours', 'Charter', 'Experience', 'Kayak', 'Wine', 'Walks'", u('second', 11), 6)} AS b,
 CAST(floor({u('town', 11)} * 3) AS INTEGER) + 1 AS t FROM r) SELECT id, a || ' ' || b || ' ' || id AS name, CASE WHEN {u('site', 11)} >= {d(0.22)} THEN 'https://www.p' || id || '.hr' END AS website, CASE WHEN {u('tel', 11)} >= {d(0.12)} THEN '+3852' || lpad(CAST(CAST(floor({u('digits', 11)} * 10000000) AS BIGINT) AS VARCHAR), 7, '0') END AS phone,
 round({d(3.2)} + {u('rating', 11)} * ({d(5)} - {d(3.2)}), 1) AS rating, round(([{d(43.5081)}, {d(44.1194)}, {d(43.1729)}])[t] + ({u('lat', 11)} * 2 - 1) * {d(0.05)}, 6) AS lat, round(([{d(16.4402)}, {d(15.2314)}, {d(16.4411)}])[t] + ({u('lng', 11)} * 2 - 1) * {d(0.05)}, 6) AS lng FROM v"""
 

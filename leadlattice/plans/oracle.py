@@ -170,15 +170,13 @@ SELECT id, tier FROM r JOIN k USING (tier) WHERE rk <= take""",
     "first_wins": "SELECT user_id, event_id, event_type, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1",
     "distance": f"WITH {KEYS_SQL}, k AS (SELECT id, {_HAVERSINE.format('lat', 'lng', d(43.5081), d(16.4402))} AS km FROM key_v) SELECT id, round(km, 4) AS km, round({_NEAR.format('km / 100')}, 4) AS near FROM k",
     "point_in_region": _region(),
-    "cover_circle": f"WITH g AS (SELECT -{d(15)} + 2 * (2 * i + 1) AS x, -{d(15)} + 2 * (2 * j + 1) AS y FROM range(8) a(i), range(8) b(j)) SELECT round(y / {d(111.32)} + {d(43.5081)}, 6) AS lat, round({d(16.4402)} + x / ({d(111.32)} * cos(radians({d(43.5081)}))), 6) AS lng, {d(2)} AS half_side_km, 0 AS depth FROM g WHERE power(greatest(0, abs(x) - 2), 2) + power(greatest(0, abs(y) - 2), 2) <= 225",
-    "quadtree_cells": f"WITH RECURSIVE q AS (SELECT {d(43.5081)} AS lat, {d(16.4402)} AS lng, {d(4)} AS half_side_km, 0 AS depth UNION ALL SELECT lat + a * half_side_km / 2 / {d(111.32)}, lng + b * half_side_km / 2 / ({d(111.32)} * cos(radians(lat))), half_side_km / 2, depth + 1 FROM q, (VALUES (1, 1), (1, -1), (-1, 1), (-1, -1)) AS s(a, b) WHERE depth < 3) SELECT round(lat, 6) AS lat, round(lng, 6) AS lng, half_side_km, depth FROM q WHERE depth = 3",
     "html_text": f"SELECT page_id, sha256({_TEXT}) AS text_sha256 FROM pages",
     "site_text_cap": f"WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, html FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM h), t AS (SELECT host, n, {_TEXT} AS text FROM r WHERE n <= 3), j AS (SELECT host, count(*) AS n_pages, substr(string_agg(text, chr(10) || chr(10) ORDER BY n), 1, 12000) AS text FROM t WHERE text <> '' GROUP BY host) SELECT host, n_pages, length(text) AS n_chars, sha256(text) AS text_sha256 FROM j",
     "rate_limited": "WITH a AS (SELECT e.event_id AS id, (SELECT count(*) FROM events x WHERE x.user_id = e.user_id AND (x.ts < e.ts AND x.ts > e.ts - INTERVAL 6 HOUR OR x.ts = e.ts AND x.event_id < e.event_id)) AS earlier FROM events e) SELECT id, earlier, earlier >= 2 AS limited FROM a",
     "api_cost": f"SELECT sku, count(*) AS calls, round(count(*) * {d('rate')} / 1000, 4) AS usd, round(greatest(0, count(*) - free) * {d('rate')} / 1000, 4) AS usd_after_free FROM events JOIN {_SKUS} ON user_id % 5 = k GROUP BY sku, rate, free",
     "token_cost": f"WITH m(model, ri, ro) AS (VALUES ('click', {d(3)}, {d(15)}), ('view', {d(1)}, {d(5)}), ('signup', {d(3)}, {d(15)}), ('purchase', {d(0.25)}, {d(1.25)})), t AS (SELECT event_type AS model, count(*) AS calls, sum(event_id % 997) AS i, sum(event_id % 89) AS o, sum(event_id % 13) AS w, sum(event_id % 211) AS r, bool_or(event_id % 5000 = 4999) AS b FROM events GROUP BY 1) SELECT model, calls, round(CASE WHEN b THEN {d(0.5)} ELSE {d(1)} END * ((i * ri + w * ri * {d(1.25)} + r * ri * {d(0.1)} + o * ro) / {d(1000000)}), 6) AS usd, round(r / {d('i + w + r')}, 3) AS cache_hit_rate FROM t LEFT JOIN m USING (model)",
-    "sweep_estimate": f"WITH s(cells, queries) AS (VALUES (4, 3), (9, 1), (24, 3), (400, 5)), c AS (SELECT *, CAST(trunc(cells * queries * {d(1.8)}) AS INTEGER) AS calls FROM s), m AS (SELECT *, CAST(trunc(calls * {d(1.6)}) AS INTEGER) AS calls_max FROM c), u AS (SELECT *, calls * {d(35)} / 1000 AS usd0, calls_max * {d(35)} / 1000 + calls_max * {d(10.75)} * {d(0.0012)} AS usd1 FROM m) SELECT cells, queries, calls, calls_max, {_cents('usd0')} AS usd, {_cents('usd1')} AS usd_max, {_cents(f'usd0 * {d(0.78)}')} AS gbp, {_cents(f'usd1 * {d(0.78)}')} AS gbp_max, CAST(trunc(calls * {d(0.35)} + calls * {d(10.75)} * {d(0.12)}) AS INTEGER) AS seconds, CAST(trunc(calls_max * {d(0.35)} + calls_max * {d(10.75)} * {d(0.12)}) AS INTEGER) AS seconds_max FROM u",
-    "at_scale": f"WITH o AS (SELECT {d(0.98)} + {d(0.3657)} + {d(1.9639)} AS one), n(destinations) AS (VALUES (1), (10), (50), (200), (500)) SELECT destinations, round(one * destinations, 4) AS usd, round(one * destinations * {d(0.78)}, 4) AS gbp, round(destinations * {d(240)}, 2) AS manual_gbp, round(destinations * {d(240)} / (one * destinations * {d(0.78)}), 1) AS ratio FROM o, n",
+    "sweep_estimate": f"WITH s AS (SELECT s_suppkey AS id, CAST(s_suppkey * 7 % 400 + 1 AS INTEGER) AS cells, CAST(s_nationkey % 5 + 1 AS INTEGER) AS queries FROM supplier), c AS (SELECT *, CAST(trunc(cells * queries * {d(1.8)}) AS INTEGER) AS calls FROM s), m AS (SELECT *, CAST(trunc(calls * {d(1.6)}) AS INTEGER) AS calls_max FROM c), u AS (SELECT *, calls * {d(35)} / 1000 AS usd0, calls_max * {d(35)} / 1000 + calls_max * {d(10.75)} * {d(0.0012)} AS usd1 FROM m) SELECT id, cells, queries, calls, calls_max, {_cents('usd0')} AS usd, {_cents('usd1')} AS usd_max, {_cents(f'usd0 * {d(0.78)}')} AS gbp, {_cents(f'usd1 * {d(0.78)}')} AS gbp_max, CAST(trunc(calls * {d(0.35)} + calls * {d(10.75)} * {d(0.12)}) AS INTEGER) AS seconds, CAST(trunc(calls_max * {d(0.35)} + calls_max * {d(10.75)} * {d(0.12)}) AS INTEGER) AS seconds_max FROM u",
+    "at_scale": f"WITH o AS (SELECT sum(event_id % 1000) / {d(1000000)} AS one FROM events), n(destinations) AS (VALUES (1), (10), (50), (200), (500)) SELECT destinations, round(one * destinations, 4) AS usd, round(one * destinations * {d(0.78)}, 4) AS gbp, round(destinations * {d(240)}, 2) AS manual_gbp, round(destinations * {d(240)} / (one * destinations * {d(0.78)}), 1) AS ratio FROM o, n",
     "taxonomy_prefixes": f"WITH {_TAX} SELECT array_to_string(parts, '/') AS path, parts[-1] AS name, CAST(len(parts) AS INTEGER) AS tier, CASE WHEN len(parts) > 1 THEN array_to_string(parts[1:len(parts) - 1], '/') END AS parent FROM node_v",
     "taxonomy_coverage": f"WITH {_TAX}, u AS (SELECT DISTINCT parts[1:i] AS parts FROM (SELECT parts, unnest(range(1, len(parts) + 1)) AS i FROM path_v WHERE p_size = 7)) SELECT CAST(len(n.parts) AS INTEGER) AS tier, count(*) AS nodes, count(u.parts) AS mapped FROM node_v n LEFT JOIN u ON n.parts = u.parts GROUP BY 1",
     "warehouse_rows": f"WITH {_LEADS} SELECT '20260102T030405Z' AS run_id, '2026-01-02' AS run_date, destination, CAST(id AS VARCHAR) AS place_source_id, round(composite, 4) AS composite, CASE WHEN composite >= {d(0.55)} THEN 'A' WHEN composite >= {d(0.42)} THEN 'B' ELSE 'C' END AS band, CASE WHEN NOT extracted THEN '' ELSE (['en', 'en,hr', 'en,hr,de'])[languages] END AS languages FROM scored_v",

@@ -169,17 +169,6 @@ def point_in_region(spark: SparkSession, sf: str) -> DataFrame:
     return areas.permitted(views.listings(spark, sf)).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
-def cover_circle(spark: SparkSession, sf: str) -> DataFrame:
-    return areas.cover_circle(spark, 43.5081, 16.4402, 15.0, 2.0).select(F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "half_side_km", "depth")
-
-
-def quadtree_cells(spark: SparkSession, sf: str) -> DataFrame:
-    cells = spark.sql("SELECT 43.5081d lat, 16.4402d lng, 4.0d half_side_km, 0 depth")
-    for _ in range(3):
-        cells = areas.subdivide(cells)
-    return cells.select(F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "half_side_km", "depth")
-
-
 def html_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.sha2(text.html_to_text(F.col("html")), 256).alias("text_sha256"))
 
@@ -204,14 +193,6 @@ def token_cost(spark: SparkSession, sf: str) -> DataFrame:
     return costs.token_cost(usage, views.model_rates(spark))
 
 
-def sweep_estimate(spark: SparkSession, sf: str) -> DataFrame:
-    return costs.estimate_sweep(spark.sql("SELECT * FROM VALUES (4, 3), (9, 1), (24, 3), (400, 5) AS t(cells, queries)"))
-
-
-def at_scale(spark: SparkSession, sf: str) -> DataFrame:
-    return costs.at_scale(spark.sql("SELECT * FROM VALUES ('discover', 0.98d), ('classify', 0.3657d), ('enrich', 1.9639d) AS t(stage, usd)"), [1, 10, 50, 200, 500])
-
-
 def _taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     return catalogue.taxonomy_nodes(table(spark, sf, "part").select(F.concat_ws("/", F.replace("p_type", F.lit(" "), F.lit("/")), "p_brand").alias("path")).distinct())
 
@@ -245,7 +226,7 @@ def corruption_histogram(spark: SparkSession, sf: str) -> DataFrame:
 _ALL = [
     name_key, idf, generic_tokens, shared_domains, site_domains, block_candidates, match_verdicts, match_verdicts_fuzzy, match_evidence, token_lcs_ratio, confusion, threshold_sweep, threshold_grid_cost,
     cost_sensitivity, decisions_by_stage, lead_scores, band_cutoffs, bands, category_gaps, rule_classification, stratified_sample, nearest_rank_quantiles, first_wins, distance,
-    point_in_region, cover_circle, quadtree_cells, html_text, site_text_cap, rate_limited, api_cost, token_cost, sweep_estimate, at_scale, taxonomy_prefixes, taxonomy_coverage,
+    point_in_region, html_text, site_text_cap, rate_limited, api_cost, token_cost, taxonomy_prefixes, taxonomy_coverage,
     warehouse_rows, synthetic_suppliers, shared_phones, corruption_histogram,
 ]
 
