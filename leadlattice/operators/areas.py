@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from leadlattice.functions import geo
 from leadlattice.operators import regions as region_joins
+from leadlattice.staging import staged
 
 #: Fixed value: places returned for a cell and query at most, and how far outside a border a region reaches.
 RESULT_CAP, TOLERANCE_KM = 60, 8.0
@@ -181,27 +182,43 @@ def subdivide(cells: DataFrame) -> DataFrame:
     return cells.select(F.explode(quarters).alias("q"), half.alias("half_side_km"), (F.col("depth") + 1).alias("depth")).select("q.*", "half_side_km", "depth")
 
 
-def sweep(cells: DataFrame, queries: DataFrame, search: Callable[[DataFrame], DataFrame], max_depth: int = 3, max_cells: int = 400, area: Area | None = None) -> tuple[DataFrame, DataFrame]:
-    """(places, unresolved cells) of an adaptive sweep.
+@dataclass(frozen=True)
+class Sweep:
+    """What a sweep found: places, cells still full, cells whose search failed, and each search with its count."""
+
+    places: DataFrame
+    unresolved: DataFrame
+    failed: DataFrame
+    searches: DataFrame
+
+
+def sweep(cells: DataFrame, queries: DataFrame, search: Callable[[DataFrame], DataFrame], max_depth: int = 3, max_cells: int = 400, area: Area | None = None) -> Sweep:
+    """An adaptive sweep by rounds.
 
     `search` takes (lat, lng, half_side_km, depth, query) rows and returns them with the found rows' source_id, their own place (place_lat, place_lng, if
-    an area trims them) and raw_count, the number of results before any filter. Cells with a full result are quartered until the greatest depth; those still
-    full, and those beyond `max_cells` in all, are reported. Rounds are few, so the loop on the driver only builds plans; each round asks its search again
-    unless that writes what it finds. First found wins, by depth, then query and cell.
+    an area trims them), raw_count, the number of results before any filter, and error where a search failed. A failed search loses that cell and query only: it is
+    reported, its cell isn't quartered for it, and nothing it returned counts. Cells with a full result are quartered until the greatest depth; those still
+    full, and those beyond `max_cells` in all, are reported. Each round is written before the next asks, so no search runs twice, and the loop
+    on the driver has as many steps as depths. First found wins, by depth, then query and cell.
     """
-    found, open_cells, unresolved = None, cells, None
+    key = ["lat", "lng", "half_side_km", "depth", "query"]
+    rounds, open_cells, unresolved = [], cells, None
     searched = cells.count()
     for depth in range(max_depth + 1):
         got = search(open_cells.crossJoin(F.broadcast(queries)))
-        found = got if found is None else found.unionByName(got)
-        full = got.where(F.col("raw_count") >= RESULT_CAP).select("lat", "lng", "half_side_km", "depth").distinct()
+        rounds.append(staged(got if "error" in got.columns else got.withColumn("error", F.lit(None).cast("string")), "round"))
+        full = rounds[-1].where((F.col("raw_count") >= RESULT_CAP) & F.col("error").isNull()).select(*key[:4]).distinct()
         n = full.count()
         if not n or depth == max_depth or searched + 4 * n > max_cells:
             unresolved = full
             break
         searched += 4 * n
         open_cells = subdivide(full)
-    if area is not None:
-        found = found.where(area.holds(F.col("place_lat"), F.col("place_lng")))
+    every = rounds[0]
+    for more in rounds[1:]:
+        every = every.unionByName(more)
+    good = every.where("error is null")
+    found = good.where(area.holds(F.col("place_lat"), F.col("place_lng"))) if area is not None else good
     places = found.where("source_id is not null").groupBy("source_id").agg(F.min_by(F.struct("depth", "query", "lat", "lng"), F.struct("depth", "query", "lat", "lng")).alias("f"))
-    return places.select("source_id", "f.*"), unresolved
+    failed = every.where("error is not null").groupBy(*key).agg(F.min("error").alias("error"))
+    return Sweep(places.select("source_id", "f.*"), unresolved, failed, good.groupBy(*key).agg(F.max("raw_count").alias("raw_count")))

@@ -95,11 +95,12 @@ def unreadable(results: DataFrame, status: str = "status") -> DataFrame:
     return results.groupBy(text.why_unreadable(F.col(status)).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def sweep_counters(found: DataFrame, unresolved: DataFrame) -> DataFrame:
-    """One row on a sweep's results per cell and query (depth, lat, lng, query, raw_count, calls) and its unresolved cells."""
-    cells = found.select("depth", "lat", "lng", "query", "raw_count", "calls").distinct()
-    one = cells.agg(F.count(F.lit(1)).alias("searches"), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.coalesce(F.sum("raw_count"), F.lit(0)).alias("raw_places"), F.max("depth").alias("deepest"))
-    return one.crossJoin(unresolved.agg(F.count(F.lit(1)).alias("unresolved_cells")))  # one row each
+def sweep_counters(searches: DataFrame, unresolved: DataFrame, failed: DataFrame, pages: int = 20) -> DataFrame:
+    """One row on a sweep's searches (depth, raw_count), its full and its failed cells; a search asks for a page of results at a time, and once at least."""
+    calls = F.greatest(F.lit(1), F.ceil(F.col("raw_count") / pages))
+    one = searches.agg(F.count(F.lit(1)).alias("searches"), F.coalesce(F.sum(calls), F.lit(0)).alias("calls"), F.coalesce(F.sum("raw_count"), F.lit(0)).alias("raw_places"), F.max("depth").alias("deepest"))
+    lost = failed.agg(F.count(F.lit(1)).alias("failed_searches"), F.count_distinct("error").alias("kinds_of_failure"))
+    return one.crossJoin(unresolved.agg(F.count(F.lit(1)).alias("unresolved_cells"))).crossJoin(lost)  # one row each
 
 
 def report(metrics: dict[str, DataFrame], name: Column | str, value: Column | str) -> DataFrame:

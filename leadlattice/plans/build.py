@@ -356,11 +356,37 @@ def _search(spark: SparkSession, sf: str):  # noqa: ANN202
     return search
 
 
-def adaptive_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """How many listings a sweep of two cells finds at each depth, and the cells that stay full."""
+def _sweep(spark: SparkSession, sf: str) -> areas.Sweep:
+    """A sweep of two cells, in which the searches of quarters east of 29 degrees fail."""
     cells = spark.createDataFrame([(53.4, 28.8, 1200.0, 0), (43.5, 16.5, 60.0, 0)], "lat double, lng double, half_side_km double, depth int")
-    found, left = areas.sweep(cells, spark.createDataFrame([("boat tour",)], "query string"), _search(spark, sf), max_depth=2)
-    return found.groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.min("source_id").alias("first_id")).union(left.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(-1), "n", F.lit(-1).cast("long")))
+    fails = F.when((F.col("depth") == 1) & (F.col("lng") > 29), F.concat(F.lit("HTTP "), F.when(F.col("lat") > 53, 503).otherwise(429)))
+    whole = _search(spark, sf)
+    return areas.sweep(cells, spark.createDataFrame([("boat tour",)], "query string"), lambda asked: whole(asked).withColumn("error", fails), max_depth=2)
+
+
+def adaptive_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """How many listings the sweep finds at each depth, and the cells that stay full."""
+    got = _sweep(spark, sf)
+    return got.places.groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.min("source_id").alias("first_id")).union(got.unresolved.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(-1), "n", F.lit(-1).cast("long")))
+
+
+def failed_searches(spark: SparkSession, sf: str) -> DataFrame:
+    return _sweep(spark, sf).failed.select(F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "depth", "query", "error")
+
+
+def sweep_counters(spark: SparkSession, sf: str) -> DataFrame:
+    got = _sweep(spark, sf)
+    return diagnostics.sweep_counters(got.searches, got.unresolved, got.failed)
+
+
+def report(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables of a run in one: finds by band, by verdict and by booking, and the coverage of their fields."""
+    finds, scored = views.finds(spark, sf), scored_finds(spark, sf)
+    tables = {
+        "bands": scored.groupBy(F.col("band").alias("name")).agg(F.count(F.lit(1)).alias("value")), "verdicts": finds.groupBy(F.col("verdict").alias("name")).agg(F.count(F.lit(1)).alias("value")),
+        "booking": diagnostics.booking_histogram(_site_results(spark, sf)).toDF("name", "value"), "types": diagnostics.type_histogram(finds).toDF("name", "value"),
+    }
+    return diagnostics.report(tables, "name", "value")
 
 
 def _attempts(spark: SparkSession, sf: str) -> DataFrame:
@@ -423,6 +449,6 @@ ALL = [
     lead_decoration, address_destination, find_scores, warehouse_columns, csv_export, review_queue, match_log, funnel, lead_gate, already_known, top_and_bottom, leads_page, site_first, console_filter, filter_options,
     console_tallies, sweep_scores, search_terms, terms_by_category, classification_rows, classification_summary, resolved_categories, watched_rejects, landed_classifications, miss_attribution, duplicate_names,
     confusion_examples, band_settings, axis_ceiling, axis_liveness, distinctive_words, generic_explained, field_coverage, type_histogram, enrichment_summary, booking_histogram, unreadable_reasons, descriptions,
-    shared_phone_summary, site_sample, taxonomy_children, taxonomy_tops, register_entries, licences, licence_position, cell_shapes, polygon_cover, cover_circle, quadtree_cells, sweep_estimate, at_scale, points_in_areas, points_in_polygon, area_checks, adaptive_sweep, landed_searches,
+    shared_phone_summary, site_sample, taxonomy_children, taxonomy_tops, register_entries, licences, licence_position, cell_shapes, polygon_cover, cover_circle, quadtree_cells, sweep_estimate, at_scale, points_in_areas, points_in_polygon, area_checks, adaptive_sweep, failed_searches, sweep_counters, report, landed_searches,
     landed_places, landed_ledger, newest_register, not_landed, run_cost, stage_economics, expected_verdicts, synthetic_places,
 ]

@@ -130,13 +130,15 @@ r AS (SELECT area_id, i, sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < x1 + (y - y1
 SELECT area_id, CASE WHEN bool_and(ok) THEN 'inside' WHEN bool_or(ok) THEN 'beyond' ELSE 'outside' END AS verdict, CASE WHEN bool_or(ok) THEN 'croatia' END AS region FROM r GROUP BY area_id"""
 
 
-_SWEEP = f"""WITH RECURSIVE {KEYS_SQL}, c(lat, lng, h, depth) AS (
+_IN_CELL = f"k.lat >= c.lat - h / {d(111.32)} AND k.lat < c.lat + h / {d(111.32)} AND k.lng >= c.lng - h / ({d(111.32)} * cos(radians(c.lat))) AND k.lng < c.lng + h / ({d(111.32)} * cos(radians(c.lat)))"
+_SWEPT = f"""WITH RECURSIVE {KEYS_SQL}, c(lat, lng, h, depth) AS (
   SELECT * FROM (VALUES ({d(53.4)}, {d(28.8)}, {d(1200)}, 0), ({d(43.5)}, {d(16.5)}, {d(60)}, 0)) v(lat, lng, h, depth)
   UNION ALL
   SELECT c.lat + a * h / 2 / {d(111.32)}, c.lng + b * h / 2 / ({d(111.32)} * cos(radians(c.lat))), h / 2, depth + 1 FROM c, (VALUES (1, 1), (1, -1), (-1, 1), (-1, -1)) AS s(a, b)
-  WHERE depth < 2 AND (SELECT count(*) FROM key_v k WHERE k.lat >= c.lat - h / {d(111.32)} AND k.lat < c.lat + h / {d(111.32)} AND k.lng >= c.lng - h / ({d(111.32)} * cos(radians(c.lat))) AND k.lng < c.lng + h / ({d(111.32)} * cos(radians(c.lat)))) >= 60
-), hit AS (SELECT c.lat, c.lng, c.h, c.depth, k.id FROM c JOIN key_v k ON k.lat >= c.lat - h / {d(111.32)} AND k.lat < c.lat + h / {d(111.32)} AND k.lng >= c.lng - h / ({d(111.32)} * cos(radians(c.lat))) AND k.lng < c.lng + h / ({d(111.32)} * cos(radians(c.lat)))),
-first AS (SELECT id, min(depth) AS depth FROM hit GROUP BY id), full_v AS (SELECT lat, lng, h FROM hit WHERE depth = 2 GROUP BY lat, lng, h HAVING count(*) >= 60)
+  WHERE depth < 2 AND NOT (depth = 1 AND lng > 29) AND (SELECT count(*) FROM key_v k WHERE {_IN_CELL}) >= 60
+), ask AS (SELECT *, depth = 1 AND lng > 29 AS lost FROM c), hit AS (SELECT c.lat, c.lng, c.h, c.depth, k.id FROM ask c LEFT JOIN key_v k ON {_IN_CELL} WHERE NOT lost),
+first AS (SELECT id, min(depth) AS depth FROM hit WHERE id IS NOT NULL GROUP BY id), cell_v AS (SELECT lat, lng, h, depth, least(60, count(id)) AS n FROM hit GROUP BY ALL)"""
+_SWEEP = f"""{_SWEPT}, full_v AS (SELECT * FROM cell_v WHERE depth = 2 AND n >= 60)
 SELECT CAST(depth AS INTEGER) AS depth, count(*) AS n, min(id) AS first_id FROM first GROUP BY depth UNION ALL SELECT -1, count(*), -1 FROM full_v HAVING count(*) > 0"""
 _EVENT = "SELECT 'c' || (user_id % 60) AS cell, event_type AS query, event_id % 4 AS page, event_id AS e FROM events"
 _PAGES = f"""ev AS ({_EVENT}), pg AS (SELECT cell, query, page, min(e) AS m, count(*) AS n FROM ev GROUP BY 1, 2, 3), good AS (SELECT * FROM pg WHERE m % 11 <> 0)"""
@@ -207,6 +209,10 @@ k AS (SELECT tier, CASE WHEN dom THEN 500 - least(500, every) ELSE greatest(0, l
     "points_in_polygon": f"WITH {KEYS_SQL}, {_edges(_FIELD)}, a AS (SELECT round(abs(sum(x1 * y2 - x2 * y1)) / 2, 2) AS km2 FROM edge_v), q AS (SELECT id, (lng - lng0) * {d(111.32)} * cos(radians(lat0)) AS x, (lat - lat0) * {d(111.32)} AS y FROM key_v, ref_v), r AS (SELECT id, sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM q, edge_v GROUP BY id) SELECT id, km2 FROM r, a WHERE inside",
     "area_checks": _area_checks(),
     "adaptive_sweep": _SWEEP,
+    "failed_searches": f"{_SWEPT} SELECT round(lat, 6) AS lat, round(lng, 6) AS lng, CAST(depth AS INTEGER) AS depth, 'boat tour' AS query, CASE WHEN lat > 53 THEN 'HTTP 503' ELSE 'HTTP 429' END AS error FROM ask WHERE lost",
+    "sweep_counters": f"{_SWEPT} SELECT count(*) AS searches, CAST(sum(greatest(1, ceil(n / {d(20)}))) AS BIGINT) AS calls, CAST(sum(n) AS BIGINT) AS raw_places, CAST(max(depth) AS INTEGER) AS deepest, count(*) FILTER (n >= 60 AND depth = 2) AS unresolved_cells, (SELECT count(*) FROM ask WHERE lost) AS failed_searches, (SELECT count(DISTINCT lat > 53) FROM ask WHERE lost) AS kinds_of_failure FROM cell_v",
+    "report": f"""WITH {SCORE_SQL} SELECT 'bands' AS section, band AS name, CAST(count(*) AS DOUBLE) AS value FROM banded_v GROUP BY band UNION ALL SELECT 'verdicts', verdict, count(*) FROM find_v GROUP BY verdict UNION ALL SELECT 'types', t, count(*) FROM (SELECT unnest(types) AS t FROM find_v) GROUP BY t
+UNION ALL SELECT 'booking', booking, count(*) FROM find_v WHERE coalesce(website, '') <> '' AND booking IS NOT NULL AND id % 8 NOT IN (1, 2, 3) GROUP BY booking""",
     "landed_searches": f"WITH {_PAGES} SELECT cell, query, count(*) AS calls, CAST(least(sum(n), 20) AS BIGINT) AS raw_count, sum(n) >= 20 AS truncated FROM good GROUP BY 1, 2",
     "landed_places": f"""WITH {_PAGES}, r AS (SELECT ev.*, row_number() OVER (PARTITION BY ev.cell, ev.query ORDER BY ev.page, e) AS rk FROM ev JOIN good g ON g.cell = ev.cell AND g.query = ev.query AND g.page = ev.page)
 SELECT 'p' || e AS source_id, 'Op ' || e AS name, CAST(40 + e % 5 AS DOUBLE) AS lat, (['tour_agency', 'bank', 'bar', 'lodging'])[e % 4 + 1] AS categories FROM r WHERE rk <= 20 AND e % 10 <> 0 AND e % 9 <> 0 AND e % 4 <> 1""",

@@ -38,10 +38,11 @@ def test_cover_and_sweep(spark):
         areas.cover_circle(spark, 43.5, 16.4, 10, 3, max_cells=4)
     one = cells.limit(1)
     search = lambda c: c.select("*", F.concat("query", F.col("depth").cast("string")).alias("source_id"), F.when(F.col("depth") < 2, 60).otherwise(3).alias("raw_count"))
-    found, rest = areas.sweep(one, spark.createDataFrame([("boat",), ("wine",)], "query string"), search, max_depth=3)
+    swept = areas.sweep(one, spark.createDataFrame([("boat",), ("wine",)], "query string"), search, max_depth=3)
+    found, rest = swept.places, swept.unresolved
     assert sorted(r["source_id"] for r in found.collect()) == ["boat0", "boat1", "boat2", "wine0", "wine1", "wine2"]
     assert rest.count() == 0
-    _, full = areas.sweep(one, spark.createDataFrame([("boat",)], "query string"), search, max_depth=1)
+    full = areas.sweep(one, spark.createDataFrame([("boat",)], "query string"), search, max_depth=1).unresolved
     assert full.count() == 4
 
 
