@@ -33,11 +33,17 @@ MARKS = frozenset(
 )
 #: Those of them that mark talk about an article, which may be longer than the article.
 TALK = frozenset("comment comments commentlist disqus replies respond".split())
+#: Those that also name parts of articles: alone they say nothing of what an article holds, unless it is mostly links.
+AMBIGUOUS = frozenset("dialog header masthead menu nav navbar navigation notice notices replies search toolbar".split())
+#: Words that go with a mark in the name of a piece of furniture; any other word beside it makes the name ambiguous.
+PLAIN = frozenset("area bar block bottom box button buttons container content form group holder inner item items large left link links list main mobile module outer panel primary right section secondary side site slot small text title top unit wide wrap wrapper".split())
 #: Words beside which header names the head of an article, not that of a site.
 OF_ARTICLE = frozenset("article content entry page post story title".split())
 _TOKEN = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 #: Deviation of the smoothing in lines, and the ratio of cluster means below which they count as two.
 SIGMA, APART = 1.5, 0.4
+#: Lines of links in a row that make a list of links.
+LINK_LIST = 3
 #: How much text in article and main elements, and text that marks call furniture, weighs in.
 MAIN_WEIGHT, FURNITURE_WEIGHT = 2.0, 0.25
 #: Shares of the weight of content lines from which on an article or main element, or another one, is the region.
@@ -71,6 +77,8 @@ class Mark:
     element: bool = False
     container: int = 0
     chars: int = 0
+    ambiguous: bool = False
+    linked: int = 0
 
 
 @dataclass
@@ -143,7 +151,7 @@ class Lines(HTMLParser):
         mark, container, main = up.mark, up.container, self.containers[up.container].main
         words = self._words(tag, attrs) if attrs and not out and tag not in ("html", "body", "main") else frozenset()
         if not out and (words or (tag in FURNITURE and not (tag == "header" and main))):
-            self.marks.append(Mark(mark, not words.isdisjoint(TALK), tag == "header" or words == {"header"}, tag in FURNITURE and tag != "form", container))
+            self.marks.append(Mark(mark, not words.isdisjoint(TALK), tag == "header" or words == {"header"}, tag in FURNITURE and tag != "form", container, 0, tag not in FURNITURE and self._ambiguous(words, attrs)))
             mark = len(self.marks) - 1
         if tag in REGIONS:
             self.containers.append(Container(container, tag, mark, len(self.containers) if tag in MAIN and not out and not words else main))
@@ -170,6 +178,17 @@ class Lines(HTMLParser):
                     found |= hit
         return frozenset(found)
 
+    @staticmethod
+    def _ambiguous(words: frozenset[str], attrs: list[tuple[str, str | None]]) -> bool:
+        """Whether each name that gave a mark may as well name part of an article."""
+        for name, value in attrs:
+            if name in ("class", "id", "role") and value:
+                for one in value.split():
+                    tokens = {t.lower() for t in _TOKEN.findall(one)}
+                    if (tokens & words) - AMBIGUOUS and tokens <= MARKS | PLAIN:
+                        return False
+        return True
+
     @staticmethod
     def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
         for name, value in attrs:
@@ -211,7 +230,7 @@ class Lines(HTMLParser):
 def doubtful(page: Lines) -> list[bool]:
     """For each mark whether it may be furniture. It isn't, with all marks above it, where it holds a main element or, if no article
     stands outside of all marks, the longest article or most of the page's text that isn't links. Talk and elements such as
-    nav never are content by their length.
+    nav never are content by their length. An ambiguous name inside of an article or main element isn't either, unless most of what it holds is links.
     """
     marks, containers = page.marks, page.containers
     plain, by_container = 0, [0] * len(containers)
@@ -220,12 +239,14 @@ def doubtful(page: Lines) -> list[bool]:
             n = 0 if linked else len(data.strip())
             plain += n
             marks[mark].chars += n
+            marks[mark].linked += len(data.strip()) - n
             by_container[line.container] += n
     for m in reversed(marks[1:]):
         marks[m.parent].chars += m.chars
+        marks[m.parent].linked += m.linked
     for i in range(len(containers) - 1, 0, -1):
         by_container[containers[i].parent] += by_container[i]
-    may = [False] + [True] * (len(marks) - 1)
+    may = [False] + [not (m.ambiguous and containers[m.container].main and m.linked <= m.chars) for m in marks[1:]]
 
     def talks(mark: int) -> bool:
         while mark and not marks[mark].talk:
@@ -281,27 +302,13 @@ def _region(page: Lines, weights: list[float]) -> int:
     return max((i for i in mains if page.containers[i].tag == "article"), default=0) or max(mains, default=0) or max(by_share, default=0)
 
 
-def _region(page: Lines, weights: list[float]) -> int:
-    """The container that holds the content: the innermost article, else main element, else the innermost other one with its share of the weight."""
-    inside = [0.0] * len(page.containers)
-    for line, w in zip(page.lines, weights, strict=True):
-        inside[line.container] += w
-    for i in range(len(inside) - 1, 0, -1):
-        inside[page.containers[i].parent] += inside[i]
-    total = inside[0]
-    by_share = [i for i, c in enumerate(page.containers) if i and inside[i] >= (MAIN_SHARE if c.main == i else REGION_SHARE) * total > 0]
-    mains = [i for i in by_share if page.containers[i].main == i]
-    # Containers that hold most of the weight lie within each other, and inner ones come later.
-    return max((i for i in mains if page.containers[i].tag == "article"), default=0) or max(mains, default=0) or max(by_share, default=0)
-
-
 def main_text(html: str | None) -> str:
     """The main text of a page: blocks in page order, joined by a newline.
 
     Ratios of text to tags, of which articles count more and marked furniture less, are smoothed over lines and parted into two
     clusters. The lines of the upper one choose the region: the innermost element that holds most of their text. Of an
     article or main element all blocks count; of others those from the first content line to the last, with headings before
-    them and neighbours in the same element, but not those that are mostly links. Furniture inside the region goes; marks
+    them, neighbours in the same element and lines whose own ratio is as high beside them. Lists of links and furniture inside the region go; marks
     on the region or around it mean nothing.
 
     Null and empty pages, and pages without text, give an empty text. Malformed markup is read as the parser
@@ -315,7 +322,11 @@ def main_text(html: str | None) -> str:
     share = [FURNITURE_WEIGHT if x else 1.0 for x in may]
     boost = [MAIN_WEIGHT if containers[x.container].main else 1.0 for x in lines]
     lengths = [b * sum(len(data) * share[mark] for mark, data, _ in x.parts) for x, b in zip(lines, boost, strict=True)]
-    upper = _content(smoothed(np.array([n / max(1, x.tags) for n, x in zip(lengths, lines, strict=True)], float)))
+    ratios = np.array([n / max(1, x.tags) for n, x in zip(lengths, lines, strict=True)], float)
+    smooth = smoothed(ratios)
+    upper = _content(smooth)
+    # Of the upper cluster by itself, and not only by what stands beside it.
+    alone = upper & (ratios >= APART * smooth[upper].min())
     chars = [b * sum(len(data.strip()) * share[mark] for mark, data, linked in x.parts if not linked) for x, b in zip(lines, boost, strict=True)]
     holds = {x.container for x, c in zip(lines, upper, strict=True) if c}
     titles = [i for i, x in enumerate(lines) if x.level == 1]
@@ -348,11 +359,21 @@ def main_text(html: str | None) -> str:
         return ""
     first, last = at[0], at[-1]
     around = {lines[i].container for i in at}
-    while first and not linked[first - 1] and (not texts[first - 1] or lines[first - 1].level or (mine[first - 1] and lines[first - 1].container in around)):
+    beside = lambda i: (mine[i] and lines[i].container in around) or (bool(texts[i]) and bool(alone[i]))
+    while first and (lines[first - 1].level or not linked[first - 1]) and (not texts[first - 1] or lines[first - 1].level or beside(first - 1)):
         first -= 1
-    while last + 1 < len(lines) and not linked[last + 1] and mine[last + 1] and lines[last + 1].container in around:
+    while last + 1 < len(lines) and not linked[last + 1] and beside(last + 1):
         last += 1
-    return "\n".join(t for i, t in enumerate(texts) if first <= i <= last and t and not linked[i])
+    kept, row = [], []
+    for i in range(first, last + 1):
+        if texts[i] and linked[i]:
+            row.append(texts[i])
+            continue
+        # One line or two that are links are part of what is told; more are a list of links.
+        kept += row if len(row) < LINK_LIST else []
+        row = []
+        kept += [texts[i]] if texts[i] else []
+    return "\n".join(kept + (row if len(row) < LINK_LIST else []))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -85,3 +85,39 @@ def test_repeated_rows_and_odd_values(spark):
     d = spark.createDataFrame([(1, "u", CASES[1]), (1, "u", CASES[1]), (None, None, None), (2, "v", "")], "page_id long, url string, html string")
     got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in h.extract_main_text(d).collect())
     assert got == [(0, "", 0), (1, TOLD, len(TOLD)), (1, TOLD, len(TOLD)), (2, "", 0)]
+
+
+PARAGRAPH = "<p>" + "A sentence of an article that goes on for a while, with words in it. " * 4 + "</p>"
+KEPT = [
+    ("<body><div>{0}<p><a href=x>The linked paragraph</a></p>{0}</div><ul><li>a<li>b</ul></body>", "The linked paragraph"),
+    ("<body><div><h2><a href=x>The linked heading</a></h2>{0}{0}</div></body>", "The linked heading"),
+    ("<body><div><div><p>The lead paragraph in a div of its own, which says what the article is going to say in so many words, and then some more of it.</p></div><div>{0}{0}{0}{0}{0}{0}</div></div></body>", "The lead paragraph"),
+    ("<article>{0}<section id='related-work'><p>What others wrote about it.</p></section>{0}</article>", "What others wrote"),
+    ("<article>{0}<div class='menu'><ul><li>Soup<li>Fish</ul></div>{0}</article>", "Soup"),
+    ("<article>{0}<div class='promotion-history'><p>Won the league.</p></div>{0}</article>", "Won the league"),
+    ("<article>{0}<div class='social-history'><p>Of towns.</p></div>{0}</article>", "Of towns"),
+    ("<main>{0}<div id='search-algorithms'><p>Binary ones.</p></div></main>", "Binary ones"),
+]
+GONE = [
+    ("<article>{0}<div class='menu'><a href=a>Home page</a> <a href=b>About this</a></div>{0}</article>", "Home page"),
+    ("<article>{0}<div class='ad'>Buy this now</div>{0}</article>", "Buy this"),
+    ("<article>{0}<div class='ad-slot'>Buy this now</div>{0}</article>", "Buy this"),
+    ("<article>{0}<div id='comments'><p>First!</p></div></article>", "First!"),
+    ("<article>{0}<div class='cookie-banner'>We use cookies</div>{0}</article>", "We use"),
+    ("<article>{0}<aside>Beside it</aside>{0}</article>", "Beside it"),
+    ("<body><div>{0}<ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul>{0}</div></body>", "Two"),
+]
+
+
+@pytest.mark.parametrize("html", [x[0] for x in KEPT])
+def test_text_of_articles_is_kept(html):
+    told = dict(KEPT)[html]
+    text = h.main_text(html.format(PARAGRAPH))
+    assert told in text and text.count("A sentence of an article") == 4 * html.count("{0}")
+
+
+@pytest.mark.parametrize("html", [x[0] for x in GONE])
+def test_furniture_in_articles_goes(html):
+    told = dict(GONE)[html]
+    text = h.main_text(html.format(PARAGRAPH))
+    assert told not in text and text.count("A sentence of an article") == 4 * html.count("{0}")
