@@ -7,6 +7,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadlattice import staging
 from leadlattice.functions import text
 from leadlattice.operators import areas, catalogue, classification, costs, diagnostics, evaluation, leads, linkage, market, regions, scoring, synthetic
 from leadlattice.plans import views
@@ -40,6 +41,16 @@ def warehouse_columns(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(*kept, F.date_format("run_at", "yyyy-MM-dd HH:mm:ss").alias("run_at"), F.col("run_date").cast("string").alias("run_date"), F.array_join("languages", ",").alias("languages"), F.size(F.from_json("evidence_json", "map<string,string>")).alias("axes"))
 
 
+def published_leads(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs, of which the first is published twice: rows by run and band as the warehouse has them."""
+    path, scored = staging.new_dir(spark), scored_finds(spark, sf)
+    runs = [files.lead_rows(d, datetime(2026, 1, day, 3, 4, 5, tzinfo=UTC)) for day, d in ((2, scored), (2, scored), (3, scored.where("id % 3 = 0")))]
+    for run in runs:
+        files.append_leads(run.where("destination is not null"), f"{path}/leads")
+    d = files.read_leads(spark, f"{path}/leads").groupBy("run_id", "run_date", "band").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("place_source_id").alias("places"))
+    return d.withColumn("run_date", F.col("run_date").cast("string"))
+
+
 def csv_export(spark: SparkSession, sf: str) -> DataFrame:
     d = views.finds(spark, sf).select("id", F.concat_ws('"', F.lit("a"), "name").alias("name"), "address", F.when(F.col("id") % 7 == 0, F.lit("two\nlines")).alias("note"), F.array(F.lit("x"), F.lit("y")).alias("tags"))
     return files.csv_lines(d)
@@ -446,7 +457,7 @@ def synthetic_places(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ALL = [
-    lead_decoration, address_destination, find_scores, warehouse_columns, csv_export, review_queue, match_log, funnel, lead_gate, already_known, top_and_bottom, leads_page, site_first, console_filter, filter_options,
+    lead_decoration, address_destination, find_scores, warehouse_columns, published_leads, csv_export, review_queue, match_log, funnel, lead_gate, already_known, top_and_bottom, leads_page, site_first, console_filter, filter_options,
     console_tallies, sweep_scores, search_terms, terms_by_category, classification_rows, classification_summary, resolved_categories, watched_rejects, landed_classifications, miss_attribution, duplicate_names,
     confusion_examples, band_settings, axis_ceiling, axis_liveness, distinctive_words, generic_explained, field_coverage, type_histogram, enrichment_summary, booking_histogram, unreadable_reasons, descriptions,
     shared_phone_summary, site_sample, taxonomy_children, taxonomy_tops, register_entries, licences, licence_position, cell_shapes, polygon_cover, cover_circle, quadtree_cells, sweep_estimate, at_scale, points_in_areas, points_in_polygon, area_checks, adaptive_sweep, failed_searches, sweep_counters, report, landed_searches,

@@ -154,6 +154,7 @@ SQL = {
     "address_destination": f"WITH {SCORE_SQL} SELECT id, CASE WHEN id % 25 = 0 THEN 'hvar' ELSE destination END AS destination FROM at_v",
     "find_scores": f"WITH {SCORE_SQL} SELECT id, round(quality, 6) AS quality, round(readiness, 6) AS readiness, round(gap_fit, 6) AS gap_fit, round(composite, 6) AS composite, band FROM banded_v",
     "warehouse_columns": f"WITH {SCORE_SQL} SELECT '20260102T030405Z' AS run_id, '2026-01-02 03:04:05' AS run_at, '2026-01-02' AS run_date, destination, CAST(id AS VARCHAR) AS place_source_id, name, website, phone, address, rating, review_count, band, round(quality, 4) AS quality, round(readiness, 4) AS readiness, round(gap_fit, 4) AS gap_fit, category, category_source, viator_top, viator_label, viator_path, booking, languages, 3 AS axes FROM banded_v",
+    "published_leads": f"WITH {SCORE_SQL}, r AS (SELECT '20260102T030405Z' AS run_id, '2026-01-02' AS run_date, band, id FROM banded_v WHERE destination IS NOT NULL UNION ALL SELECT '20260103T030405Z', '2026-01-03', band, id FROM banded_v WHERE destination IS NOT NULL AND id % 3 = 0) SELECT run_id, run_date, band, count(*) AS n, count(DISTINCT id) AS places FROM r GROUP BY ALL",
     "csv_export": f"WITH {FIND_SQL} SELECT id || ',' || {_CSV.format(chr(39) + 'a' + chr(34) + chr(39) + ' || name')} || ',' || CASE WHEN address IS NULL THEN '' ELSE '\"' || address || '\"' END || ',' || CASE WHEN id % 7 = 0 THEN '\"two' || chr(10) || 'lines\"' ELSE '' END || ',x;y' AS line FROM find_v",
     "review_queue": f"{MATCH_SQL} SELECT place_id, p.name AS discovered_name, p.address AS discovered_address, p.website AS discovered_website, p.phone AS discovered_phone, {_LOCALITY} AS locality, s.id AS supplier_id, s.name AS supplier_name, s.address AS supplier_address, {_SCORE} AS score, {_CONFIDENCE} AS confidence FROM decided_v JOIN {_PLACES_AND_SUPPLIERS} WHERE verdict = 'needs_review'",
     "match_log": f"{MATCH_SQL} SELECT place_id, s.id AS supplier_id, p.name AS discovered_name, s.name AS supplier_name, s.phone AS supplier_phone, s.website AS supplier_website, decided_by, {_CONFIDENCE} AS confidence, '2026-01-02' AS matched_on FROM decided_v JOIN {_PLACES_AND_SUPPLIERS} WHERE verdict = 'existing'",

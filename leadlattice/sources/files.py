@@ -69,15 +69,36 @@ def lead_rows(leads: DataFrame, run_at: datetime | None = None) -> DataFrame:
     return leads.select(*[made.get(name, given(name, kind)).cast(kind).alias(name) for name, kind in fields])
 
 
+def _schema_at(spark: SparkSession, path: str) -> dict[str, str]:
+    """Types by column of what is published at a path, of all its files; none where nothing is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return {}
+    return dict(read_leads(spark, path).dtypes)
+
+
 def append_leads(rows: DataFrame, path: str) -> None:
-    """Appends a run, partitioned by its date and clustered by destination and band; new columns join the schema of older files.
+    """Publishes runs, each a partition of its date and id, clustered by destination and band; new columns join the schema of older files.
 
-    Rows without a required column are an error that names how many there are; nothing is written then.
+    A run that is published again replaces itself, so a rerun adds nothing, and other runs stay as they are. Rows without a required column, a column
+    whose type is not that of older files, and a run id of another date are errors; nothing is written then.
     """
+    spark = rows.sparkSession
     rejected = rows.where(" or ".join(f"{c} is null" for c in REQUIRED if c in rows.columns)).count()
     if rejected:
         raise ValueError(f"{rejected} rows lack one of {', '.join(REQUIRED)}")
-    rows.sortWithinPartitions("destination", "band").write.mode("append").partitionBy("run_date").parquet(path)
+    older, own = _schema_at(spark, path), dict(rows.dtypes)
+    clashes = [f"{c} is {own[c]}, not {older[c]}" for c in sorted(own) if c in older and own[c] != older[c]]
+    if clashes:
+        raise ValueError("; ".join(clashes))
+    if older:
+        dated = rows.select("run_id", "run_date").distinct()  # a row for each run of this call
+        known = read_leads(spark, path).select("run_id", F.col("run_date").alias("other")).distinct()
+        moved = dated.join(known, "run_id").where("run_date <> other").count()
+        if moved:
+            raise ValueError(f"{moved} runs are published under another date")
+    out = rows.sortWithinPartitions("run_date", "run_id", "destination", "band").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("run_date", "run_id").parquet(path)
 
 
 def read_leads(spark: SparkSession, path: str) -> DataFrame:

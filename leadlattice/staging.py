@@ -39,10 +39,16 @@ def release() -> None:
             _remove(*_WRITTEN.pop())
 
 
+def new_dir(spark: SparkSession) -> str:
+    """A folder of its own in the shared one, removed at the end."""
+    path = f"{shared_dir(spark)}/leadlattice-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: what several steps read is worked out once, its lineage ends, and a lost executor loses nothing of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/leadlattice-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
-    df.write.parquet(f"{path}/{name}")
-    return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+    path = f"{new_dir(spark)}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

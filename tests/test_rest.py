@@ -147,9 +147,17 @@ def test_files(spark, tmp_path):
     rows = files.lead_rows(scoring.score_leads(leads, market.demand_table(spark)), datetime(2026, 1, 2, 3, 4, 5, tzinfo=UTC))
     path = str(tmp_path / "leads")
     files.append_leads(rows, path)
-    files.append_leads(rows.withColumn("extra", F.lit(1)), path)
+    files.append_leads(rows.withColumn("extra", F.lit(1)).withColumn("run_id", F.lit("20260102T040000Z")), path)
+    told = lambda: sorted((r["run_id"], r["languages"], r["extra"] or 0) for r in files.read_leads(spark, path).collect())
+    assert told() == [("20260102T030405Z", ["en"], 0), ("20260102T040000Z", ["en"], 1)]
+    files.append_leads(rows, path)  # a rerun adds nothing, and leaves the other run
+    assert told() == [("20260102T030405Z", ["en"], 0), ("20260102T040000Z", ["en"], 1)]
+    with pytest.raises(ValueError, match="composite is string, not double"):
+        files.append_leads(rows.withColumn("composite", F.lit("much")), path)
+    with pytest.raises(ValueError, match="another date"):
+        files.append_leads(rows.withColumn("run_date", F.lit("2026-02-02").cast("date")), path)
+    assert len(told()) == 2
     back = files.read_leads(spark, path)
-    assert sorted((r["run_id"], r["languages"], r["extra"] or 0) for r in back.collect()) == [("20260102T030405Z", ["en"], 0), ("20260102T030405Z", ["en"], 1)]
     assert json.loads(back.first()["evidence_json"])["quality"][0]["name"] == "rating"
 
 
