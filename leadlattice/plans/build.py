@@ -12,7 +12,7 @@ from leadlattice.functions import text
 from leadlattice.operators import areas, catalogue, classification, costs, diagnostics, evaluation, leads, linkage, market, regions, scoring, synthetic
 from leadlattice.plans import views
 from leadlattice.plans.views import table
-from leadlattice.sources import files, landed
+from leadlattice.sources import files, landed, robots
 
 
 def lead_decoration(spark: SparkSession, sf: str) -> DataFrame:
@@ -435,6 +435,30 @@ def not_landed(spark: SparkSession, sf: str) -> DataFrame:
     return landed.not_landed(pages, "url", pages.where("page_id % 3 = 0").select(landed.cache_key("url").alias("key"))).select("page_id", "key")
 
 
+#: Robots files by the number of letters of a host, modulo 3.
+ROBOTS = (
+    "User-agent: *\\nDisallow: /*/8 # eights\\nAllow: /*/82$\\nDisallow: /*?*ref=\\nAllow: /fr/\\n",
+    "# of our own\\nUSER-AGENT: leadlattice\\nuser-agent: otherbot\\nDisallow: /en/\\nDisallow: /about\\n\\nUser-agent: *\\nDisallow: /\\n",
+    "User-agent: *\\nDisallow:\\nUser-agent: leadlattice-images\\nDisallow: /\\n",
+)
+
+
+def _robots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    pages = table(spark, sf, "pages").select("page_id", "url", text.host(F.col("url")).alias("host"))
+    body = F.expr("element_at(array({}), cast(length(host) % 3 + 1 as int))".format(", ".join(f"'{r}'" for r in ROBOTS)))
+    return pages, robots.robot_rules(pages.select("host").distinct().withColumn("body", body), "leadlattice")
+
+
+def robots_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return robots.allowed(*_robots(spark, sf))
+
+
+def robots_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of each site that a reader of sites would ask for next."""
+    pages, rules = _robots(spark, sf)
+    return robots.candidate_pages(pages.select("host").distinct(), rules)
+
+
 def run_cost(spark: SparkSession, sf: str) -> DataFrame:
     skus = ", ".join(f"'{s}'" for s in costs.RATES)
     ledger = table(spark, sf, "events").select(F.expr(f"element_at(array({skus}), cast(user_id % 5 + 1 as int))").alias("sku"), F.lit(1).cast("long").alias("n"))
@@ -461,5 +485,5 @@ ALL = [
     console_tallies, sweep_scores, search_terms, terms_by_category, classification_rows, classification_summary, resolved_categories, watched_rejects, landed_classifications, miss_attribution, duplicate_names,
     confusion_examples, band_settings, axis_ceiling, axis_liveness, distinctive_words, generic_explained, field_coverage, type_histogram, enrichment_summary, booking_histogram, unreadable_reasons, descriptions,
     shared_phone_summary, site_sample, taxonomy_children, taxonomy_tops, register_entries, licences, licence_position, cell_shapes, polygon_cover, cover_circle, quadtree_cells, sweep_estimate, at_scale, points_in_areas, points_in_polygon, area_checks, adaptive_sweep, failed_searches, sweep_counters, report, landed_searches,
-    landed_places, landed_ledger, newest_register, not_landed, run_cost, stage_economics, expected_verdicts, synthetic_places,
+    landed_places, landed_ledger, newest_register, not_landed, robots_verdicts, robots_candidates, run_cost, stage_economics, expected_verdicts, synthetic_places,
 ]

@@ -220,6 +220,13 @@ SELECT 'p' || e AS source_id, 'Op ' || e AS name, CAST(40 + e % 5 AS DOUBLE) AS
     "landed_ledger": f"WITH {_PAGES} SELECT 'places.text_search.enterprise' AS sku, CAST(sum(m % 3 + 1) AS BIGINT) AS calls, round(sum(m % 3 + 1) * {d(35)} / 1000, 4) AS usd, count(*) FILTER (m % 11 = 0) AS unanswered FROM pg",
     "newest_register": "SELECT '/docs/' || max(s) || '_Popis_TA..xlsx' AS url, max(s) AS stamp FROM (SELECT lpad(CAST(230101 + p_partkey * 37 % 20000 AS VARCHAR), 6, '0') AS s FROM part)",
     "not_landed": "SELECT page_id, substr(sha256(url), 1, 20) AS key FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)",
+    "robots_verdicts": r"""WITH h AS (SELECT page_id, length(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))) % 3 AS k, regexp_replace(url, '^[a-z]+://[^/?#]*', '') AS path FROM pages),
+v AS (SELECT page_id, CASE k WHEN 0 THEN CASE WHEN regexp_matches(path, '^/.*\?.*ref=') THEN '/*?*ref=' WHEN regexp_matches(path, '^/.*/82$') THEN '/*/82$' WHEN path LIKE '/fr/%' THEN '/fr/' WHEN regexp_matches(path, '^/.*/8') THEN '/*/8' END
+  WHEN 1 THEN CASE WHEN path LIKE '/about%' THEN '/about' WHEN path LIKE '/en/%' THEN '/en/' END END AS pattern FROM h)
+SELECT page_id, coalesce(pattern IN ('/*/82$', '/fr/'), true) AS allowed, pattern FROM v""",
+    "robots_candidates": r"""WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages), c(nr, path) AS (VALUES (0, '/'), (1, '/about'), (2, '/contact'), (3, '/tours'), (4, '/booking')),
+r AS (SELECT host, path, CAST(row_number() OVER (PARTITION BY host ORDER BY nr) AS INTEGER) AS nth FROM h, c WHERE NOT (length(host) % 3 = 1 AND path = '/about'))
+SELECT host, 'https://' || host || path AS url, nth FROM r WHERE nth <= 3""",
     "run_cost": f"""WITH r(k, rate, free) AS (VALUES (0, 35, 1000), (1, 32, 5000), (2, 0, 0), (3, 20, 1000), (4, 5, 10000)), a AS (SELECT count(*) AS n, rate, free FROM events JOIN r ON user_id % 5 = k GROUP BY k, rate, free), s AS (SELECT sum(n * {d('rate')} / 1000) AS a, sum(greatest(0, n - free) * {d('rate')} / 1000) AS f, CAST(sum(n) AS BIGINT) AS n FROM a),
 m(model, ri, ro) AS (VALUES ('click', {d(3)}, {d(15)}), ('view', {d(1)}, {d(5)}), ('signup', {d(3)}, {d(15)}), ('purchase', {d(0.25)}, {d(1.25)})), t AS (SELECT event_type AS model, count(*) AS calls, sum(event_id % 997) AS i, sum(event_id % 89) AS o, sum(event_id % 13) AS w, sum(event_id % 211) AS r, bool_or(event_id % 5000 = 4999) AS b FROM events GROUP BY 1),
 c AS (SELECT round(sum(round(CASE WHEN b THEN {d(0.5)} ELSE {d(1)} END * ((i * ri + w * ri * {d(1.25)} + r * ri * {d(0.1)} + o * ro) / {d(1000000)}), 6)), 6) AS m, CAST(sum(calls) AS BIGINT) AS k FROM t LEFT JOIN m USING (model)), z AS (SELECT n + k AS calls, m AS model_usd, round(a + m, 6) AS usd, round(f + m, 6) AS usd_after_free FROM s, c)
