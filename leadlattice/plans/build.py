@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlattice import staging
-from leadlattice.functions import text
+from leadlattice.functions import numbers, text
 from leadlattice.operators import areas, catalogue, classification, costs, diagnostics, evaluation, leads, linkage, market, regions, scoring, synthetic
 from leadlattice.plans import views
 from leadlattice.plans.views import table
@@ -223,10 +223,21 @@ def unreadable_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 def descriptions(spark: SparkSession, sf: str) -> DataFrame:
     f = views.finds(spark, sf)
-    made = text.describe(F.col("name"), F.col("types"), F.col("address"), F.col("website"), F.col("review_count"), F.col("id"), F.col("query"))
+    made = text.describe(F.col("name"), F.col("types"), F.col("address"), F.col("website"), F.col("rating"), F.col("review_count"), F.col("query"))
     return f.select("id", F.sha2(made, 256).alias("text_sha256"))
 
 
+def phone_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers of customers of three countries, written in five ways; two in five are of no plan or of a wrong length."""
+    tail = lambda k: f"lpad(cast(c_custkey * 7919 % {10**k} as string), {k}, '0')"
+    kinds = [[("91", 7), ("1", 7), ("21", 6), ("96", 7), ("21", 4)], [("31", 6), ("1", 7), ("68", 6), ("99", 6), ("31", 8)], [("64", 7), ("11", 6), ("63", 6), ("99", 7), ("64", 3)]]
+    pick = lambda xs, by: f"element_at(array({', '.join(xs)}), cast({by} + 1 as int))"
+    national = pick([pick([f"concat('{a}', {tail(k)})" for a, k in row], "c_custkey % 5") for row in kinds], "c_custkey div 5 % 3")
+    d = table(spark, sf, "customer").selectExpr("c_custkey", f"{national} as nat", pick(["'HR'", "'SI'", "'RS'"], "c_custkey div 5 % 3") + " as region", pick(["'385'", "'386'", "'381'"], "c_custkey div 5 % 3") + " as code")
+    written = ["concat('+', code, ' ', substring(nat, 1, 2), ' ', substring(nat, 3))", "concat('00', code, nat)", "concat('0', substring(nat, 1, 2), '/', substring(nat, 3))", "concat('+', code, ' (0)', nat)", "concat(substring(nat, 1, 3), '-', substring(nat, 4))"]
+    return numbers.numbered(d.selectExpr("c_custkey as id", pick(written, "c_custkey div 15 % 5") + " as phone", "region"), numbers.plan_table(spark))
+
+
 def shared_phone_summary(spark: SparkSession, sf: str) -> DataFrame:
     return catalogue.shared_summary(linkage.with_keys(views.listings(spark, sf)), "e164")
 
@@ -483,7 +494,7 @@ def synthetic_places(spark: SparkSession, sf: str) -> DataFrame:
 ALL = [
     lead_decoration, address_destination, find_scores, warehouse_columns, published_leads, csv_export, review_queue, match_log, funnel, lead_gate, already_known, top_and_bottom, leads_page, site_first, console_filter, filter_options,
     console_tallies, sweep_scores, search_terms, terms_by_category, classification_rows, classification_summary, resolved_categories, watched_rejects, landed_classifications, miss_attribution, duplicate_names,
-    confusion_examples, band_settings, axis_ceiling, axis_liveness, distinctive_words, generic_explained, field_coverage, type_histogram, enrichment_summary, booking_histogram, unreadable_reasons, descriptions,
+    confusion_examples, band_settings, axis_ceiling, axis_liveness, distinctive_words, generic_explained, field_coverage, type_histogram, enrichment_summary, booking_histogram, unreadable_reasons, descriptions, phone_numbers,
     shared_phone_summary, site_sample, taxonomy_children, taxonomy_tops, register_entries, licences, licence_position, cell_shapes, polygon_cover, cover_circle, quadtree_cells, sweep_estimate, at_scale, points_in_areas, points_in_polygon, area_checks, adaptive_sweep, failed_searches, sweep_counters, report, landed_searches,
     landed_places, landed_ledger, newest_register, not_landed, robots_verdicts, robots_candidates, run_cost, stage_economics, expected_verdicts, synthetic_places,
 ]

@@ -154,6 +154,9 @@ SQL = {
     "address_destination": f"WITH {SCORE_SQL} SELECT id, CASE WHEN id % 25 = 0 THEN 'hvar' ELSE destination END AS destination FROM at_v",
     "find_scores": f"WITH {SCORE_SQL} SELECT id, round(quality, 6) AS quality, round(readiness, 6) AS readiness, round(gap_fit, 6) AS gap_fit, round(composite, 6) AS composite, band FROM banded_v",
     "warehouse_columns": f"WITH {SCORE_SQL} SELECT '20260102T030405Z' AS run_id, '2026-01-02 03:04:05' AS run_at, '2026-01-02' AS run_date, destination, CAST(id AS VARCHAR) AS place_source_id, name, website, phone, address, rating, review_count, band, round(quality, 4) AS quality, round(readiness, 4) AS readiness, round(gap_fit, 4) AS gap_fit, category, category_source, viator_top, viator_label, viator_path, booking, languages, 3 AS axes FROM banded_v",
+    "phone_numbers": """WITH c AS (SELECT c_custkey AS id, c_custkey % 5 AS k, (['HR', 'SI', 'RS'])[c_custkey // 5 % 3 + 1] AS region, (['385', '386', '381'])[c_custkey // 5 % 3 + 1] AS code,
+  (CASE c_custkey // 5 % 3 WHEN 0 THEN ['91', '1', '21'] WHEN 1 THEN ['31', '1', '68'] ELSE ['64', '11', '63'] END)[c_custkey % 5 + 1] AS head, (CASE c_custkey // 5 % 3 WHEN 0 THEN [7, 7, 6] WHEN 1 THEN [6, 7, 6] ELSE [7, 6, 6] END)[c_custkey % 5 + 1] AS n FROM customer)
+SELECT id, CASE WHEN k < 3 THEN '+' || code || head || lpad(CAST(id * 7919 % CAST(power(10, n) AS BIGINT) AS VARCHAR), n, '0') END AS e164, CASE WHEN k < 3 THEN region END AS region FROM c""",
     "published_leads": f"WITH {SCORE_SQL}, r AS (SELECT '20260102T030405Z' AS run_id, '2026-01-02' AS run_date, band, id FROM banded_v WHERE destination IS NOT NULL UNION ALL SELECT '20260103T030405Z', '2026-01-03', band, id FROM banded_v WHERE destination IS NOT NULL AND id % 3 = 0) SELECT run_id, run_date, band, count(*) AS n, count(DISTINCT id) AS places FROM r GROUP BY ALL",
     "csv_export": f"WITH {FIND_SQL} SELECT id || ',' || {_CSV.format(chr(39) + 'a' + chr(34) + chr(39) + ' || name')} || ',' || CASE WHEN address IS NULL THEN '' ELSE '\"' || address || '\"' END || ',' || CASE WHEN id % 7 = 0 THEN '\"two' || chr(10) || 'lines\"' ELSE '' END || ',x;y' AS line FROM find_v",
     "review_queue": f"{MATCH_SQL} SELECT place_id, p.name AS discovered_name, p.address AS discovered_address, p.website AS discovered_website, p.phone AS discovered_phone, {_LOCALITY} AS locality, s.id AS supplier_id, s.name AS supplier_name, s.address AS supplier_address, {_SCORE} AS score, {_CONFIDENCE} AS confidence FROM decided_v JOIN {_PLACES_AND_SUPPLIERS} WHERE verdict = 'needs_review'",
@@ -192,7 +195,7 @@ WHEN true_supplier IS NOT NULL THEN 'false_negative' ELSE 'true_negative' END AS
     "enrichment_summary": f"WITH {_SITE} SELECT count(*) AS operators, count(*) FILTER (error IS NULL AND booking IS NOT NULL) AS extracted, count(*) FILTER (no_site) AS skipped_no_site, count(*) FILTER (error = 'blocked by robots.txt') AS blocked_by_robots, count(*) FILTER (error LIKE 'blocked:%') AS blocked_by_site, count(*) FILTER (error IN ('page not found', 'empty')) AS fetch_failures, CAST(coalesce(sum(pages) FILTER (NOT no_site), 0) AS BIGINT) AS pages_fetched, count(*) FILTER (NOT no_site AND cached) AS cache_hits FROM site_v",
     "booking_histogram": f"WITH {_SITE} SELECT booking, count(*) AS n FROM site_v WHERE error IS NULL AND booking IS NOT NULL GROUP BY 1",
     "unreadable_reasons": "SELECT (['blocked by bot protection (HTTP 202)', 'blocked: the site refuses our user agent', 'page not found', 'the operator''s site is erroring (HTTP 503)', 'the page is not HTML', 'HTTP 418'])[p_partkey % 6 + 1] AS reason, count(*) AS n FROM part GROUP BY 1",
-    "descriptions": f"WITH {FIND_SQL} SELECT id, sha256('Name: ' || name || chr(10) || 'Google categories: ' || array_to_string(types, ', ') || coalesce(chr(10) || 'Address: ' || address, '') || CASE WHEN website <> '' THEN chr(10) || 'Website: ' || website ELSE '' END || coalesce(chr(10) || 'Rating: ' || review_count || ' from ' || id || ' reviews', '') || coalesce(chr(10) || 'Found by searching: ' || query, '')) AS text_sha256 FROM find_v",
+    "descriptions": f"WITH {FIND_SQL} SELECT id, sha256('Name: ' || name || chr(10) || 'Google categories: ' || array_to_string(types, ', ') || coalesce(chr(10) || 'Address: ' || address, '') || CASE WHEN website <> '' THEN chr(10) || 'Website: ' || website ELSE '' END || coalesce(chr(10) || 'Rating: ' || printf('%.1f', rating) || ' from ' || coalesce(review_count, 0) || ' reviews', '') || coalesce(chr(10) || 'Found by searching: ' || query, '')) AS text_sha256 FROM find_v",
     "shared_phone_summary": f"WITH {KEYS_SQL}, k AS (SELECT e164, count(*) AS n FROM key_v WHERE e164 IS NOT NULL GROUP BY 1) SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, count(*) AS distinct_keys, count(*) FILTER (n > 1) AS shared_keys, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS affected, round(coalesce(sum(n) FILTER (n > 1), 0) / greatest(1, coalesce(sum(n), 0)), 4) AS affected_share FROM k",
     "site_sample": f"""WITH {FIND_SQL}, i AS (SELECT id, coalesce(viator_top, 'unmapped') AS tier FROM deco_v WHERE website <> ''), s AS (SELECT tier, count(*) AS n, min(id) AS f FROM i GROUP BY tier), t AS (SELECT *, row_number() OVER (ORDER BY n DESC, f) = 1 AS dom FROM s),
 w AS (SELECT *, CASE WHEN dom THEN 0 WHEN tier = 'unmapped' THEN least(3, n) ELSE n END AS want FROM t), b AS (SELECT *, coalesce(sum(want) OVER (ORDER BY n, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef, sum(want) OVER () AS every FROM w),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from leadlattice.operators import areas, market
 from leadlattice.plans.views import KEYS_SQL
 
 def d(x: object) -> str:
@@ -21,7 +20,16 @@ def _cents(x: str) -> str:
     return f"(CASE WHEN {up} / 100 - ({x}) > {d(0.005)} THEN {up} - 1 ELSE {up} END) / 100"
 
 
-_DEMAND = ", ".join(f"('{dest}', '{c}', {a}, {b})" for dest, cells in market.DEMAND.items() for c, (a, b) in cells.items())
+#: Fixed values, written out here so that a slip in the library shows: demand and supply by destination and category.
+_DEMAND = """('split', 'boat_tour', 100, 74), ('split', 'day_trip', 78, 41), ('split', 'food_drink', 61, 14), ('split', 'water_sports', 54, 26), ('split', 'walking_tour', 48, 33), ('split', 'adventure', 44, 19),
+('split', 'cultural', 39, 27), ('split', 'private_guide', 31, 9), ('split', 'transfer', 29, 22), ('dubrovnik', 'walking_tour', 92, 68), ('dubrovnik', 'boat_tour', 84, 55), ('dubrovnik', 'day_trip', 71, 44),
+('dubrovnik', 'cultural', 66, 51), ('dubrovnik', 'food_drink', 52, 11), ('dubrovnik', 'water_sports', 41, 18), ('dubrovnik', 'private_guide', 37, 12), ('dubrovnik', 'adventure', 24, 13), ('hvar', 'boat_tour', 88, 47),
+('hvar', 'water_sports', 46, 15), ('hvar', 'food_drink', 43, 8), ('hvar', 'day_trip', 38, 21), ('hvar', 'walking_tour', 22, 12), ('zadar', 'day_trip', 64, 30), ('zadar', 'boat_tour', 57, 28),
+('zadar', 'adventure', 49, 16), ('zadar', 'food_drink', 36, 7), ('zadar', 'walking_tour', 33, 19), ('sibenik', 'day_trip', 58, 24), ('sibenik', 'adventure', 47, 13), ('sibenik', 'boat_tour', 42, 20),
+('sibenik', 'cultural', 29, 17), ('rovinj', 'food_drink', 69, 16), ('rovinj', 'walking_tour', 44, 26), ('rovinj', 'boat_tour', 41, 23), ('rovinj', 'cultural', 35, 21), ('pula', 'cultural', 63, 39),
+('pula', 'day_trip', 45, 22), ('pula', 'food_drink', 42, 10), ('pula', 'adventure', 31, 14), ('zagreb', 'walking_tour', 71, 52), ('zagreb', 'food_drink', 66, 19), ('zagreb', 'cultural', 58, 40),
+('zagreb', 'day_trip', 51, 33), ('korcula', 'food_drink', 54, 9), ('korcula', 'boat_tour', 47, 24), ('korcula', 'water_sports', 28, 11), ('omis', 'adventure', 76, 31), ('omis', 'water_sports', 52, 20),
+('omis', 'boat_tour', 34, 18), ('trogir', 'boat_tour', 49, 27), ('trogir', 'walking_tour', 27, 16), ('makarska', 'water_sports', 45, 19), ('makarska', 'adventure', 38, 15), ('makarska', 'boat_tour', 36, 21)"""
 _IDF = """, n_v AS (SELECT greatest(count(*), 1) AS n FROM key_v),
 name_df AS (SELECT token, count(*) AS df FROM (SELECT unnest(name_set) AS token FROM key_v) GROUP BY token),
 name_idf AS (SELECT token, df, ln((n + 1) / (1 + df)) AS idf, df >= 3 AND df / n > CAST(0.1 AS DOUBLE) AS is_generic FROM name_df, n_v),
@@ -36,18 +44,26 @@ _HAVERSINE = "2 * CAST(6371.0088 AS DOUBLE) * asin(least(CAST(1 AS DOUBLE), sqrt
 _NEAR = "greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), 1 - ({0} - CAST(0.1 AS DOUBLE)) / (CAST(2.0 AS DOUBLE) - CAST(0.1 AS DOUBLE))))"
 
 
+#: The outline of the open market.
+_OPEN_MARKET = (
+    (45.60, 13.55), (45.52, 13.95), (45.60, 14.25), (45.48, 14.60), (45.45, 14.90), (45.50, 15.15), (45.62, 15.35), (45.72, 15.55), (45.88, 15.70), (46.05, 16.00),
+    (46.22, 16.15), (46.38, 16.30), (46.54, 16.60), (46.48, 16.90), (46.32, 17.20), (46.10, 17.55), (45.98, 17.95), (45.92, 18.35), (46.02, 18.60), (46.18, 18.80),
+    (45.92, 19.00), (45.78, 19.05), (45.48, 19.15), (45.20, 19.45), (45.10, 19.10), (45.15, 18.75), (45.05, 18.35), (45.10, 17.60), (45.20, 16.90), (45.00, 16.50),
+    (44.85, 16.20), (44.55, 16.10), (44.25, 16.35), (43.95, 16.70), (43.65, 17.05), (43.45, 17.30), (43.20, 17.65), (42.95, 17.90), (42.75, 18.35), (42.55, 18.55),
+    (42.35, 18.55), (42.30, 17.90), (42.60, 17.20), (42.85, 16.30), (43.10, 15.60), (43.60, 15.10), (44.20, 14.55), (44.60, 14.30), (44.62, 13.85), (44.68, 13.50),
+    (45.10, 13.32), (45.45, 13.35),
+)
+
+
 def _ring_sql(outline: tuple) -> str:
-    """Inside by ray casting, or within the tolerance of an edge, of x and y in the region's plane."""
-    ring, _, _ = areas.local_ring(outline)
-    edges = list(zip(ring, [*ring[1:], ring[0]], strict=True))
-    rows = ", ".join(f"({d(x1)}, {d(y1)}, {d(x2)}, {d(y2)})" for (x1, y1), (x2, y2) in edges)
-    return rows
+    """Edges of an outline in the plane at the mean of its points, as rows."""
+    n, (_, lat, lng) = len(outline), _region_outline()
+    at = lambda p: (f"({d(p[1])} - {d(lng)}) * {d(111.32)} * cos(radians({d(lat)}))", f"({d(p[0])} - {d(lat)}) * {d(111.32)}")
+    return ", ".join("(" + ", ".join((*at(outline[i]), *at(outline[(i + 1) % n]))) + ")" for i in range(n))
 
 
 def _region_outline() -> tuple:
-    outline = areas.REGIONS["croatia"][1]
-    _, lat, lng = areas.local_ring(outline)
-    return outline, lat, lng
+    return _OPEN_MARKET, sum(a for a, _ in _OPEN_MARKET) / len(_OPEN_MARKET), sum(b for _, b in _OPEN_MARKET) / len(_OPEN_MARKET)
 
 
 def _region() -> str:
