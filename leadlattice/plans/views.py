@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadlattice import staging
 from leadlattice.operators import linkage
 
 #: A name's words, made from a digest of a whole text: two that very many names have, one that some have, and one that few have.
@@ -43,6 +44,12 @@ def linked(spark: SparkSession, sf_dir: str, fuzzy: bool = False) -> DataFrame:
     return _PLANS[key]
 
 
+def forget() -> None:
+    """Lets go of plans that were kept, and of what was written for them."""
+    _PLANS.clear()
+    staging.release()
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(place_id, true_supplier): the first supplier of the same name."""
     p, s = (linkage.with_keys(x).where("norm_name <> ''") for x in (places(spark, sf_dir), suppliers(spark, sf_dir)))
