@@ -38,7 +38,7 @@ def test_suffixes(spark):
 
 def test_slug_takes_compatibility_forms_apart(spark):
     got = spark.createDataFrame([("Ｓplit  ŠIBENIK",), ("Đakovo Ǆ",), ("Ängelholm é",)], "v string").select(text.slug(F.col("v"))).collect()
-    assert [r[0] for r in got] == ["split sibenik", "dakovo ǆ", "angelholm e"]
+    assert [r[0] for r in got] == ["split sibenik", "dakovo dz", "angelholm e"]
 
 
 def indel(a, b):
