@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leadlattice.functions import geo
+from leadlattice.functions.text import let
 
 #: Cells across an area's longer side, at most, in its index.
 ACROSS = 8
@@ -109,29 +110,45 @@ def _near_span(e: Column, tolerance: float) -> Column:
     ax, ay, dx, dy = F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     square, length = dx * dx + dy * dy, F.sqrt(F.pow(e["bx"] - e["ax"], 2) + F.pow(e["by"] - e["ay"], 2))
 
-    def disc(px: Column, py: Column) -> tuple[Column, Column]:
-        b, c = dx * (ax - px) + dy * (ay - py), F.pow(ax - px, 2) + F.pow(ay - py, 2) - tolerance * tolerance
-        root = F.when(b * b - square * c >= 0, F.sqrt(b * b - square * c))
-        # A way of no length is near as a whole or not at all.
-        still = lambda v: F.when(c <= 0, F.lit(v))
-        return F.when(square == 0, still(0.0)).otherwise(F.try_divide(-b - root, square)), F.when(square == 0, still(1.0)).otherwise(F.try_divide(-b + root, square))
-
-    ux, uy = F.try_divide(e["bx"] - e["ax"], length), F.try_divide(e["by"] - e["ay"], length)
-
-    def between(at: Column, step: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
-        still = F.when((at >= lo) & (at <= hi), True)
-        one, two = F.try_divide(lo - at, step), F.try_divide(hi - at, step)
-        return F.when(step == 0, F.when(still, F.lit(float("-inf")))).otherwise(F.least(one, two)), F.when(step == 0, F.when(still, F.lit(float("inf")))).otherwise(F.greatest(one, two))
-
-    along = between((ax - e["ax"]) * ux + (ay - e["ay"]) * uy, dx * ux + dy * uy, F.lit(0.0), length)
-    beside = between((ay - e["ay"]) * ux - (ax - e["ax"]) * uy, dy * ux - dx * uy, F.lit(-tolerance), F.lit(tolerance))
-    known = along[0].isNotNull() & beside[0].isNotNull()
-    low, high = F.greatest(along[0], beside[0]), F.least(along[1], beside[1])
-    strip = F.when(known & (low <= high), low), F.when(known & (low <= high), high)
-    spans = [disc(e["ax"], e["ay"]), disc(e["bx"], e["by"]), strip]
-    lows, highs = F.least(*[s[0] for s in spans]), F.greatest(*[s[1] for s in spans])
-    clipped = F.struct(F.greatest(F.lit(0.0), lows).alias("low"), F.least(F.lit(1.0), highs).alias("high"))
-    return F.when(lows.isNotNull() & (clipped["low"] <= clipped["high"]), clipped)
+    span = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def disc(px: Column, py: Column) -> Column:
+        terms = F.struct((dx * (ax - px) + dy * (ay - py)).alias("b"), (F.pow(ax - px, 2) + F.pow(ay - py, 2) - tolerance * tolerance).alias("c"), square.alias("q"))
+
+        def solved(v: Column) -> Column:
+            root = F.when(v["b"] * v["b"] - v["q"] * v["c"] >= 0, F.sqrt(v["b"] * v["b"] - v["q"] * v["c"]))
+            # A way of no length is near as a whole or not at all.
+            still = lambda x: F.when(v["c"] <= 0, F.lit(x))
+            return span(F.when(v["q"] == 0, still(0.0)).otherwise(F.try_divide(-v["b"] - root, v["q"])), F.when(v["q"] == 0, still(1.0)).otherwise(F.try_divide(-v["b"] + root, v["q"])))
+
+        return let(terms, solved)
+
+    def between(at: Column, step: Column, lo: Column, hi: Column) -> Column:
+        def solved(v: Column) -> Column:
+            still = F.when((v["at"] >= lo) & (v["at"] <= hi), True)
+            one, two = F.try_divide(lo - v["at"], v["step"]), F.try_divide(hi - v["at"], v["step"])
+            return span(F.when(v["step"] == 0, F.when(still, F.lit(float("-inf")))).otherwise(F.least(one, two)), F.when(v["step"] == 0, F.when(still, F.lit(float("inf")))).otherwise(F.greatest(one, two)))
+
+        return let(F.struct(at.alias("at"), step.alias("step")), solved)
+
+    def strip(v: Column) -> Column:
+        along = between((ax - e["ax"]) * v["ux"] + (ay - e["ay"]) * v["uy"], dx * v["ux"] + dy * v["uy"], F.lit(0.0), v["len"])
+        beside = between((ay - e["ay"]) * v["ux"] - (ax - e["ax"]) * v["uy"], dy * v["ux"] - dx * v["uy"], F.lit(-tolerance), F.lit(tolerance))
+
+        def met(w: Column) -> Column:
+            low, high = F.greatest(w["a"]["lo"], w["b"]["lo"]), F.least(w["a"]["hi"], w["b"]["hi"])
+            return F.when(w["a"]["lo"].isNotNull() & w["b"]["lo"].isNotNull() & (low <= high), span(low, high))
+
+        return let(F.struct(along.alias("a"), beside.alias("b")), met)
+
+    side = let(length, lambda n: F.struct(F.try_divide(e["bx"] - e["ax"], n).alias("ux"), F.try_divide(e["by"] - e["ay"], n).alias("uy"), n.alias("len")))
+    three = F.struct(disc(e["ax"], e["ay"]).alias("a"), disc(e["bx"], e["by"]).alias("b"), let(side, strip).alias("c"))
+
+    def clipped(v: Column) -> Column:
+        lows, highs = F.least(*[v[k]["lo"] for k in "abc"]), F.greatest(*[v[k]["hi"] for k in "abc"])
+        return F.when(lows.isNotNull() & (F.greatest(F.lit(0.0), lows) <= F.least(F.lit(1.0), highs)), F.struct(F.greatest(F.lit(0.0), lows).alias("low"), F.least(F.lit(1.0), highs).alias("high")))
+
+    return let(three, clipped)
 
 
 def share_outside(lines: DataFrame, ring: list[tuple[float, float]], tolerance: float) -> DataFrame:
