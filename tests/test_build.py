@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadlattice.functions import similarity, text
 from leadlattice.operators import areas, catalogue, costs, evaluation, leads, market, synthetic
+from leadlattice.plans import build
 from leadlattice.sources import files, landed, settings
 
 
@@ -195,3 +196,12 @@ def test_pairwise_areas_of_cells(spark):
     r = areas.cell_shapes(cells).first()
     assert all(a < b for a, b in pairwise([r["south"], r["lat"], r["north"]]))
     assert abs(r["radius_km"] - 2.0 * 2**0.5 * 1.002) < 1e-9
+
+
+def test_register_and_licences_are_dealt_and_made_once(spark, tmp_path):
+    """A register in one small file is parsed on all cores, and licences don't parse it, or make keys, anew at every step."""
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    entries = build.register_entries(spark, str(tmp_path))
+    assert entries.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    hits, entries = build._licences(spark, str(tmp_path))
+    assert not any("part.parquet" in f for d in (hits, entries) for f in d.inputFiles())
