@@ -37,10 +37,10 @@ _PLANS: dict[tuple, DataFrame] = {}
 
 
 def linked(spark: SparkSession, sf_dir: str, fuzzy: bool = False) -> DataFrame:
-    """Decisions about every place. Many queries read them, so the plan is made once for each session and folder."""
+    """Decisions about every place. Many queries read them, so the plan is made once for each session and folder. Runners-up are told by the fuzzy ones alone."""
     key = (spark.sparkContext.applicationId, sf_dir, fuzzy)
     if key not in _PLANS:
-        _PLANS[key] = linkage.link(places(spark, sf_dir), suppliers(spark, sf_dir), fuzzy=fuzzy)
+        _PLANS[key] = linkage.link(places(spark, sf_dir), suppliers(spark, sf_dir), fuzzy=fuzzy, runner_up=fuzzy)
     return _PLANS[key]
 
 
