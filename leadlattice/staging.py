@@ -46,9 +46,9 @@ def new_dir(spark: SparkSession) -> str:
     return path
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores, for long work on each of its rows: a small file is read by few tasks, however many rows it has."""
-    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt over all cores, by keys if there are any, for long work on each of its rows: a small file is read by few tasks, however many rows it has."""
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
